@@ -60,9 +60,10 @@ class Balance:
         return (self.minority + self.needed) / total if total else 0.0
 
 
-def balance_of(
+def balance_table(
     df: DataFrame, target: str, spec: TableSpec | None = None, ratio: float = fixed.BALANCE_TARGET
-) -> Balance:
+) -> DataFrame:
+    """syn_needed: rows, minority_value, minority and needed, as one row."""
     kind = kinds(df)[target]
     given = spec.get(target).minority_value if spec and spec.get(target) else None
     cell = present(target, kind)
@@ -75,7 +76,7 @@ def balance_of(
         chosen = text(given)
         same = f"{size} = try_cast({text(given)} AS DOUBLE)" if is_numeric(kind) else f"value = {text(given)}"
         minority = f"sum(n) FILTER (WHERE {same})"
-    row = (
+    return (
         counts.agg(F.expr("count(1) AS n"))
         .selectExpr(
             "coalesce(sum(n), 0L) AS rows",
@@ -87,9 +88,13 @@ def balance_of(
             f"CASE WHEN minority_value IS NULL THEN 0L "
             f"ELSE {rows_needed('rows', 'minority', ratio)} END AS needed",
         )
-        .first()
     )
-    return Balance(row["rows"], row["minority_value"], row["minority"], row["needed"])
+
+
+def balance_of(
+    df: DataFrame, target: str, spec: TableSpec | None = None, ratio: float = fixed.BALANCE_TARGET
+) -> Balance:
+    return Balance(*balance_table(df, target, spec, ratio).first())
 
 
 def synthesize_minority(
