@@ -138,7 +138,7 @@ def _drawn(column: str, seed: int, kind: str, digits: int | None = None) -> str:
     cut = f"least(greatest({normal(seed, column, 'i')} * {sd} + {_stat(column, 'mean')}, {low}), {high})"
     if kind == "integer":
         return f"CAST(trunc({cut}) AS BIGINT) AS {column}"
-    return f"round({cut}, {digits or 4}) AS {column}"
+    return f"round({cut}, {digits or 2}) AS {column}"
 
 
 def _chosen(column: str, seed: int) -> str:
@@ -178,7 +178,7 @@ def _synthetic(columns=ALL, seed: int = SEED) -> str:
 
 def _union() -> str:
     items = _synthetic_items()
-    base = ", ".join(f"round({c}, 4) AS {c}" if c in ("balance", "sparse") else c for c in ALL)
+    base = ", ".join(f"round({c}, 2) AS {c}" if c in ("balance", "sparse") else c for c in ALL)
     return f"SELECT {base} FROM src UNION ALL SELECT {', '.join(items[c] for c in ALL)} FROM {ROWS}"
 
 
@@ -345,7 +345,7 @@ def _pipe_apply() -> str:
     def chosen(column: str) -> str:
         return _chosen(column, SEED).replace("FROM counts ", "FROM acounts ")
 
-    select = f"""SELECT customer_id, age, round(balance, 4) AS balance, country, market, segment,
+    select = f"""SELECT customer_id, age, round(balance, 2) AS balance, country, market, segment,
         nation_code, churn FROM imputed
       UNION ALL
       SELECT {_SYN_ID}, {drawn('age', 'integer')}, {drawn('balance', 'float')}, {chosen('country')},
@@ -372,7 +372,7 @@ def _rem_chain() -> str:
     return profile_sql(
         "dirty",
         """SELECT customer_id, age, round(CASE WHEN bad THEN (SELECT quantile_cont(balance, 0.5)
-             FROM bad2 WHERE NOT bad) ELSE balance END, 4) AS balance, nation_code, churn FROM bad2""",
+             FROM bad2 WHERE NOT bad) ELSE balance END, 2) AS balance, nation_code, churn FROM bad2""",
         extra=stages,
     )
 

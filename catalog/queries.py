@@ -486,7 +486,7 @@ def rem_chain(spark, d):
             "balance": "STATISTICAL_IMPUTE",
         },
     )
-    return _rounded(out, "balance").select("customer_id", "age", "balance", "nation_code", "churn")
+    return _rounded(out, "balance", digits=2).select("customer_id", "age", "balance", "nation_code", "churn")
 
 
 # --- synthesis ---------------------------------------------------------------
@@ -496,7 +496,7 @@ def _synthetic(spark, d, *columns, seed=42):
     df, spec = dirty(spark, d), _spec(spark, d)
     balance = synthesize.balance_of(df, "churn", spec)
     rows = synthesize.synthetic_rows(df, "churn", balance, spec, seed)
-    return _rounded(rows.select(*(columns or df.columns)), "balance", "sparse")
+    return _rounded(rows.select(*(columns or df.columns)), "balance", "sparse", digits=2)
 
 
 def syn_needed(spark, d):
@@ -568,7 +568,7 @@ def _balanced(spark, d, **kwargs):
 
 
 def syn_cast_union(spark, d):
-    return _rounded(_balanced(spark, d), "balance", "sparse")
+    return _rounded(_balanced(spark, d), "balance", "sparse", digits=2)
 
 
 def syn_balance(spark, d):
@@ -620,7 +620,7 @@ def pipe_plan(spark, d):
 def pipe_apply(spark, d):
     df = dirty(spark, d)
     out = pipeline.apply(df, pipeline.plan(df)).data
-    return _rounded(out.drop("name"), "balance")
+    return _rounded(out.drop("name"), "balance", digits=2)
 
 
 QUERIES = {

@@ -102,8 +102,8 @@ SELECT r.*, CASE WHEN r.col = t.target THEN 'target' WHEN rule = 'id' THEN 'id'
   CASE WHEN rule = 'id' THEN CASE WHEN kind = 'string' THEN 'text' ELSE 'numerical' END
        WHEN rule = 'ignore_text' THEN 'text' WHEN rule = 'binary' THEN 'binary'
        WHEN rule IN ('nominal', 'numerical') THEN 'numerical' ELSE 'categorical' END AS semantic,
-  round(CASE WHEN f.lo < 0 AND nonneg / filled >= 0.95 THEN 0.0 ELSE f.lo END, 2) AS low,
-  round(f.hi, 2) AS high,
+  round_even(CASE WHEN f.lo < 0 AND nonneg / filled >= 0.95 THEN 0.0 ELSE f.lo END, 2) AS low,
+  round_even(f.hi, 2) AS high,
   CASE WHEN rule = 'binary' THEN m.v END AS minority_value,
   CASE rule
     WHEN 'id' THEN printf({lit(fixed.DESC_ID)}, n_unique)

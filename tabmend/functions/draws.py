@@ -10,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def steady(statistic: float | None) -> float | None:
+    """A statistic to 12 digits.  Sums of doubles differ in the last digits with
+    the order in which partial sums arrive; draws must not."""
+    return None if statistic is None else float(f"{statistic:.12g}")
+
+
 def uniform(seed: int, column: str, tag: str, key: Column, digits: int = 8) -> Column:
     """Uniform double in the open interval (0, 1), from ``digits`` hex digits (at
     most 13, the precision of a double)."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabmend.functions import fixed
 from tabmend.functions.kinds import kinds, measure, text
 from tabmend.operators.aliases import detect_aliases
-from tabmend.operators.colstats import collect_stats
+from tabmend.operators.colstats import FINE_ERROR, collect_stats, share_matters
 from tabmend.operators.quantiles import exact_quantiles
 from tabmend.operators.values import FEW_VALUES, extremes, unique_counts
 from tabmend.session import local_table
@@ -45,9 +45,9 @@ COLSTATS_SCHEMA = pa.schema(
     ]
 )
 
-# An estimated distinct count decides a rule only when it is this far (relative)
-# from the threshold: more than six standard errors of the sketch.
-SAFE_MARGIN = 0.20
+# An estimated uniqueness share decides a rule only when it is at least five
+# standard errors away from the threshold.
+SAFE_ERRORS = 5
 
 # rule -> (role, semantic type)
 _OUTCOME = {
@@ -165,11 +165,14 @@ def _collect(df: DataFrame, exact: bool) -> dict[str, dict]:
 
 
 def _near_threshold(s: dict) -> bool:
-    """Could the estimate's error change a rule?  Only the two uniqueness shares
-    apply to a column with thousands of values."""
+    """Could the estimate's error change a rule?  To a column with thousands of
+    values only the two uniqueness shares apply."""
+    if not share_matters(s["column"], s["kind"]):
+        return False
     share = s["approx_unique"] / s["filled"]
+    error = SAFE_ERRORS * FINE_ERROR * share
     limits = (fixed.ID_UNIQUENESS, fixed.NOMINAL_UNIQUENESS)
-    return any(abs(share - limit) <= limit * SAFE_MARGIN for limit in limits)
+    return any(abs(share - limit) <= error for limit in limits)
 
 
 def fences(q25: float, q75: float, low: float, high: float, nonneg_share: float) -> tuple[float, float]:

@@ -295,7 +295,7 @@ def _gauss_message(s: _Step) -> bool:
 
 def gaussian(s: _Step, key: Column, seed: int) -> Column:
     """Normal(mean, std of the valid cells), cut to the domain and to mean + 3 std."""
-    mean, std = s.stats["avg"], s.stats["sd"]
+    mean, std = draws.steady(s.stats["avg"]), draws.steady(s.stats["sd"])
     low, high = s.bounds
     top = mean + 3 * std if high is None else min(high, mean + 3 * std)
     z = draws.normal(seed, s.column, key)

@@ -219,7 +219,8 @@ def _normal(column, kind, bounds, stats: dict, seed: int, i: Column) -> Column:
     low, high = bounds or (None, None)
     low = stats["min"] if low is None else low
     high = stats["max"] if high is None else high
-    drawn = draws.normal(seed, column, i) * F.lit(stats["std"] or 1.0) + F.lit(stats["mean"])
+    mean, std = draws.steady(stats["mean"]), draws.steady(stats["std"]) or 1.0
+    drawn = draws.normal(seed, column, i) * F.lit(std) + F.lit(mean)
     cut = F.least(F.greatest(drawn, F.lit(float(low))), F.lit(float(high)))
     return cut.cast("bigint") if kind == "integer" else cut
 
