@@ -407,6 +407,24 @@ def _lines() -> str:
     return f"SELECT {line} AS row FROM customer WHERE {fields} <> 3"
 
 
+def _types() -> str:
+    names = " ".join(
+        f"WHEN '{duck}' THEN '{spark}'"
+        for duck, spark in {
+            "VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double",
+        }.items()
+    )
+    parts = [
+        f"SELECT {i} AS ord, '{c}' AS \"column\", '{k}' AS kind, "
+        f"CASE typeof(any_value({c})) {names} END AS dtype FROM src"
+        for i, (c, k) in enumerate(dirty_kinds().items())
+    ]
+    return f"WITH src AS ({dirty_sql()}) " + " UNION ALL ".join(parts)
+
+
+# entries of a plan's ledger: inference, profile, stripping, one per aliased column
+_PLANNED = "3 + (SELECT count(DISTINCT col) FROM aliased)"
+
 ADVICE_ENTRY = (
     "concat('• ''', a.\"column\", ''' (', a.description, '):', chr(10), "
     "'  ➜ Recommended Decision: ', a.strategy, chr(10), '  ➜ Decision Impact: ', a.impact)"
@@ -438,6 +456,14 @@ ORACLES = {
     "snk_audit": dirty_profile(
         "SELECT \"column\", strategy, 'Human Approved' AS authorization FROM advised", strip=True
     ),
+    "ledger_status": dirty_profile(
+        f"""SELECT 'run-1' AS run_id, 'dirty' AS source, CAST(NULL AS VARCHAR) AS target,
+              false AS is_completed, count(*) > 0 AS is_waiting, 42 AS seed, {_PLANNED} AS entries,
+              true AS timed, CAST(NULL AS BOOLEAN) AS has_duration FROM issues""",
+        strip=True,
+        extra=ALIAS_STAGES,
+    ),
+    "prof_type": _types(),
     "prof_rowcount": "SELECT count(*) AS total_rows, 11 AS total_columns FROM lineitem",
     "prof_nulls": dirty_profile(
         'SELECT ord, col AS "column", nrows AS rows, nulls, round(nulls / nrows, 4) AS null_ratio FROM stats'
@@ -508,7 +534,7 @@ ORACLES = {
         """SELECT a.col AS "column", a.v AS minority_value, a.n AS minority_n,
              b.v AS mode_value, b.n AS mode_n
            FROM ranked a JOIN ranked b USING (ord)
-           WHERE a.least = 1 AND b.most = 1 AND a.classes <= 5000 AND a.col NOT IN ('balance', 'sparse')"""
+           WHERE a.least = 1 AND b.most = 1 AND a.col NOT IN ('balance', 'sparse')"""
     ),
     "inf_nominal": _rule("nominal", "customer", "part", "orders"),
     "inf_discrete": _rule("discrete", "dirty", "lineitem", "conversations"),
@@ -645,6 +671,13 @@ ORACLES = {
            FROM judged b JOIN after a USING (ord) WHERE b.col IN ('age', 'balance', 'nation_code', 'churn')""",
         extra=_after_stages(),
     ),
+    "ver_telemetry": dirty_profile(
+        f"""SELECT 'dirty' AS source, 'nowhere' AS target, true AS is_completed, false AS is_waiting,
+              7 AS seed, {_PLANNED} + count(*) + 1 AS entries, true AS timed, true AS has_duration
+            FROM advised""",
+        strip=True,
+        extra=ALIAS_STAGES,
+    ),
     "pipe_plan": dirty_profile(
         'SELECT "column", types, description, strategy, impact FROM advised', strip=True
     ),

@@ -80,6 +80,15 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns if c in df.columns})
 
 
+def _timed(status: DataFrame) -> DataFrame:
+    """Times differ between runs; compare that they are there and in order."""
+    return status.selectExpr(
+        "run_id", "source", "target", "is_completed", "is_waiting", "seed", "entries",
+        "start_time IS NOT NULL AND coalesce(end_time >= start_time, true) AS timed",
+        "duration_sec >= 0 AS has_duration",
+    )
+
+
 # --- sources and sinks -------------------------------------------------------
 
 
@@ -124,9 +133,9 @@ def snk_csv(spark, d):
 
 
 def snk_audit(spark, d):
-    plan = pipeline.plan(dirty(spark, d), source="dirty")
-    applied = pipeline.apply(dirty(spark, d), plan)
-    path = pipeline.export(applied, plan, shared_folder(spark))
+    df = dirty(spark, d)
+    path = shared_folder(spark)
+    pipeline.export(df, pipeline.plan(df, source="dirty"), path)
     return decision_rows(spark.read.parquet(f"{path}/decisions")).drop("ord")
 
 
@@ -134,7 +143,7 @@ def ledger_status(spark, d):
     plan = pipeline.plan(dirty(spark, d), run_id="run-1", source="dirty")
     path = shared_folder(spark)
     ledgers.append(plan.ledger(), path)
-    return ledgers.status(spark.read.parquet(path), "run-1")
+    return _timed(ledgers.status(spark.read.parquet(path), "run-1"))
 
 
 # --- profiling ---------------------------------------------------------------
@@ -259,10 +268,9 @@ def _of_rule(rule: str, *names: str):
 
 
 def inf_minority(spark, d):
-    stats = infer.colstats_table(dirty(spark, d))
-    return stats.where("minority_value IS NOT NULL AND column NOT IN ('balance', 'sparse')").select(
-        "column", "minority_value", "minority_n", "mode_value", "mode_n"
-    )
+    """Least and most frequent values; doubles are left out of the comparison."""
+    ends = values.extremes(dirty(spark, d).drop("balance", "sparse"))
+    return ends.select("column", "minority_value", "minority_n", "mode_value", "mode_n")
 
 
 def inf_bounds(spark, d):
@@ -607,9 +615,9 @@ def ver_telemetry(spark, d):
     plan = pipeline.plan(dirty(spark, d), source="dirty", seed=7)
     applied = pipeline.apply(dirty(spark, d), plan)
     log = ledgers.ledger_table(
-        spark, plan.run_id, applied.entries, "completed", plan.source, "none", plan.seed
+        spark, plan.run_id, applied.entries, "completed", plan.source, "nowhere", plan.seed
     )
-    return ledgers.status(log)
+    return _timed(ledgers.status(log)).drop("run_id")
 
 
 def pipe_plan(spark, d):

@@ -55,13 +55,15 @@ def text(value: str) -> str:
 def number(value: float) -> str:
     """A double as a SQL literal, digit for digit."""
     value = float(value)
-    return f"{value!r}D" if math.isfinite(value) else f"CAST('{value}' AS DOUBLE)"
+    if math.isfinite(value):
+        return f"{value!r}D"
+    return f"CAST('{'NaN' if math.isnan(value) else 'Infinity' if value > 0 else '-Infinity'}' AS DOUBLE)"
 
 
 def present(name: str, kind: str) -> str:
     """The cell value with NaN read as missing."""
     if kind == "float":
-        return f"CASE WHEN NOT isnan({quoted(name)}) THEN {quoted(name)} END"
+        return f"nanvl({quoted(name)}, NULL)"
     return quoted(name)
 
 

@@ -19,7 +19,8 @@ DECISIONS_SCHEMA = pa.schema(
 
 def group_issues(issues: DataFrame) -> DataFrame:
     """adv_group: one row per column, in the order its first issue was reported."""
-    return issues.groupBy("column").agg(
+    # a handful of rows per column: one task, no shuffle
+    return issues.coalesce(1).groupBy("column").agg(
         F.expr("min(ord) AS ord"),
         F.expr("sort_array(collect_list(struct(ord, type, ratio))) AS entries"),
         F.expr("array_join(sort_array(collect_set(type)), ',') AS types"),

@@ -77,7 +77,7 @@ def acronym_aliases(values: DataFrame, limit: int = fixed.ALIAS_SAMPLE) -> DataF
     names = free.where("several").select(
         "column", F.col("value").alias("canonical"), initials(F.col("value")).alias("key")
     )
-    edges = keys.join(names, ["column", "key"]).where("alias <> canonical")
+    edges = keys.join(names.hint("merge"), ["column", "key"]).where("alias <> canonical")
     return _claim(edges.select("column", "alias", "several", "canonical"))
 
 
@@ -98,7 +98,7 @@ def _claim(edges: DataFrame) -> DataFrame:
                   ELSE array_union(lost, array(c.name)) END) AS inactive""",
     )
     return (
-        edges.join(inactive, "column", "left")
+        edges.join(inactive.hint("merge"), "column", "left")
         .where("NOT coalesce(array_contains(inactive, canonical), false)")
         .groupBy("column", "alias")
         .agg(F.min("canonical").alias("canonical"))
@@ -109,7 +109,7 @@ def detect_aliases(df: DataFrame, columns: list[str]) -> dict[str, dict[str, str
     """Both passes over the sampled values of ``columns``: alias maps per column."""
     sampled = alias_sample(value_counts(df, columns)).select("column", "value")
     # at most ``ALIAS_SAMPLE`` values per column: a small driver table from here
-    values = df.sparkSession.createDataFrame(sampled.toArrow())
+    values = df.sparkSession.createDataFrame(sampled.toArrow()).coalesce(1)
     found: dict[str, dict[str, str]] = {}
     pairs = key_aliases(values).unionByName(acronym_aliases(values)).collect()
     for row in sorted(pairs, key=lambda r: (r["column"], r["canonical"], r["alias"])):

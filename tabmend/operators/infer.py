@@ -16,8 +16,8 @@ from tabmend.functions.kinds import kinds, measure, text
 from tabmend.operators.aliases import detect_aliases
 from tabmend.operators.colstats import FINE_ERROR, collect_stats, share_matters
 from tabmend.operators.quantiles import exact_quantiles
-from tabmend.operators.values import FEW_VALUES, extremes, unique_counts
-from tabmend.session import local_table
+from tabmend.operators.values import FEW_VALUES, extremes, unique_sizes
+from tabmend.session import local_table, spread
 from tabmend.spec import ColumnSpec, TableSpec
 
 COLSTATS_SCHEMA = pa.schema(
@@ -40,8 +40,6 @@ COLSTATS_SCHEMA = pa.schema(
         ("nonneg", pa.int64()),
         ("minority_value", pa.string()),
         ("minority_n", pa.int64()),
-        ("mode_value", pa.string()),
-        ("mode_n", pa.int64()),
     ]
 )
 
@@ -115,11 +113,12 @@ def classify(stats: DataFrame) -> DataFrame:
     types = {r: text(t) for r, (_, t) in _OUTCOME.items() if t}
     types["id"] = "CASE WHEN kind = 'string' THEN 'text' ELSE 'numerical' END"
     about = {r: f"format_string({text(t)}, n_unique)" for r, t in _DESCRIPTION.items()}
+    estimated = f"regexp_replace({_by_rule(about)}, '[(]', '(about ')"
     return stats.selectExpr("*", f"{rule()} AS rule").selectExpr(
         "*",
         f"{_by_rule(roles)} AS role",
         f"{_by_rule(types)} AS semantic_type",
-        f"{_by_rule(about)} AS description",
+        f"CASE WHEN unique_exact THEN {_by_rule(about)} ELSE {estimated} END AS description",
     )
 
 
@@ -131,39 +130,43 @@ def select_target(classified: DataFrame) -> DataFrame:
 
 
 def colstats_table(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Statistics with distinct counts, least and most frequent values.
+    """Statistics with distinct counts, and the rarer value of two-valued columns.
 
     ``exact=False`` keeps the sketch estimate of a distinct count wherever it is
     too far from every threshold to matter; such rows say ``unique_exact`` false.
     Roles come out the same, and the values of wide, high-cardinality columns
     are never shuffled."""
-    return local_table(df.sparkSession, list(_collect(df, exact).values()), COLSTATS_SCHEMA)
-
-
-def _collect(df: DataFrame, exact: bool) -> dict[str, dict]:
-    stats = collect_stats(df)
-    countable = {c: s for c, s in stats.items() if s["kind"] != "nested" and s["filled"] > 0}
-    few = [c for c, s in countable.items() if s["approx_unique"] <= FEW_VALUES]
-    rest = [c for c in countable if c not in few]
-    if not exact:
-        rest = [c for c in rest if _near_threshold(countable[c])]
-    known: dict[str, dict] = {}
-    if few:
-        known |= {r["column"]: r.asDict() for r in extremes(df, few).collect()}
-    if rest:
-        known |= {r["column"]: r.asDict() for r in unique_counts(df, rest).collect()}
+    stats = with_unique(df, collect_stats(df, distinct=not exact), exact)
+    return local_table(df.sparkSession, list(stats.values()), COLSTATS_SCHEMA)
+
+
+def with_unique(df: DataFrame, stats: dict[str, dict], exact: bool) -> dict[str, dict]:
+    """Collected statistics (with sketches unless ``exact``) plus distinct counts."""
+    stats = {c: dict(s) for c, s in stats.items()}
+    countable = [c for c, s in stats.items() if s["kind"] != "nested" and s["filled"] > 0]
+    asked = countable if exact else [c for c in countable if _needs_count(stats[c])]
+    known: dict[str, int] = {}
+    if asked:
+        known = {df.columns[r["ord"]]: r["n_unique"] for r in unique_sizes(df, asked).collect()}
     for name, s in stats.items():
-        got = known.get(name, {})
-        nothing = 0 if s["kind"] != "nested" else None
-        estimate = s["approx_unique"] if name in countable else nothing
-        s["n_unique"] = got.get("n_unique", estimate)
+        if name in countable:
+            s["n_unique"] = known.get(name, s["approx_unique"])
+        else:
+            s["n_unique"] = None if s["kind"] == "nested" else 0
         s["unique_exact"] = name in known or name not in countable
         s["uniqueness"] = (s["n_unique"] or 0) / s["filled"] if s["filled"] else 0.0
-        for key in ("minority_value", "minority_n", "mode_value", "mode_n"):
-            s[key] = got.get(key)
+    two = [c for c in known if known[c] == 2]
+    rarer = {r["column"]: r.asDict() for r in extremes(df, two).collect()} if two else {}
+    for name, s in stats.items():
+        for key in ("minority_value", "minority_n"):
+            s[key] = rarer.get(name, {}).get(key)
     return stats
 
 
+def _needs_count(s: dict) -> bool:
+    return s["approx_unique"] <= FEW_VALUES or _near_threshold(s)
+
+
 def _near_threshold(s: dict) -> bool:
     """Could the estimate's error change a rule?  To a column with thousands of
     values only the two uniqueness shares apply."""
@@ -202,9 +205,17 @@ def estimate_bounds(
     }
 
 
-def infer_rules(df: DataFrame, exact: bool = True) -> TableSpec:
-    """Inference by rule alone."""
-    stats = _collect(df, exact)
+def infer_rules(
+    df: DataFrame, exact: bool = True, stats: dict[str, dict] | None = None
+) -> TableSpec:
+    """Inference by rule alone.  ``stats`` are collected statistics of ``df``, with
+    sketches unless ``exact``."""
+    stats = stats or collect_stats(df, distinct=not exact)
+    with spread(df, next(iter(stats.values()))["rows"]) as data:
+        return _infer(data, with_unique(data, stats, exact))
+
+
+def _infer(df: DataFrame, stats: dict[str, dict]) -> TableSpec:
     table = local_table(df.sparkSession, list(stats.values()), COLSTATS_SCHEMA)
     classified = classify(table)
     rows = sorted(classified.collect(), key=lambda r: r["ord"])

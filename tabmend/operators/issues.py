@@ -56,14 +56,19 @@ _ORDER = {
 }
 
 
-def profile(df: DataFrame, spec: TableSpec | None = None) -> DataFrame:
-    """The profile table: one row per column, empty for an empty table."""
-    rows = collect_profile(df, spec or TableSpec())
+def profile(
+    df: DataFrame, spec: TableSpec | None = None, stats: dict[str, dict] | None = None
+) -> DataFrame:
+    """The profile table: one row per column, empty for an empty table.  Collected
+    ``stats`` of the same frame save the first scan."""
+    rows = collect_profile(df, spec or TableSpec(), stats)
     return local_table(df.sparkSession, rows, PROFILE_SCHEMA)
 
 
-def collect_profile(df: DataFrame, spec: TableSpec) -> list[dict]:
-    stats = collect_stats(df, distinct=False)
+def collect_profile(
+    df: DataFrame, spec: TableSpec, stats: dict[str, dict] | None = None
+) -> list[dict]:
+    stats = {c: dict(s) for c, s in (stats or collect_stats(df, distinct=False)).items()}
     if not stats or not next(iter(stats.values()))["rows"]:
         return []
     for name, s in stats.items():

@@ -17,6 +17,7 @@ Sketch errors can only cost another round, never change the answer.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -44,8 +45,9 @@ class _Search:
     cells: int
     low: float
     high: float
-    below: int = 0
-    inside: int = 0
+    below: int
+    inside: int
+    distinct: int
 
     @property
     def first(self) -> int:
@@ -111,70 +113,65 @@ def _direct(df, values, probs, names) -> dict[str, dict[float, float]]:
 
 def _narrowed(df, values, probs, cells, keep) -> dict[str, dict[float, float]]:
     x = {n: f"CAST({v} AS DOUBLE)" for n, v in values.items()}
-    names = list(x)
-    ends = df.selectExpr(
-        *[f"{f}({x[n]}) AS {f}{i}" for i, n in enumerate(names) for f in ("min", "max")]
-    ).first()
-    searches = [
-        _Search(n, p, cells[n], ends[2 * i], ends[2 * i + 1], 0, cells[n])
-        for i, n in enumerate(names)
-        for p in probs
-    ]
+    everything = (-math.inf, math.inf)
+    searches = [_Search(n, p, cells[n], *everything, 0, cells[n], cells[n]) for n in x for p in probs]
     for _ in range(MAX_ROUNDS):
-        todo = _still_wide(df, x, searches, keep)
+        todo = [s for s in searches if s.low < s.high and s.distinct > keep]
         if not todo:
             break
         _tighten(df, x, todo)
     return _order_statistics(df, x, searches)
 
 
-def _still_wide(df, x, searches: list[_Search], keep: int) -> list[_Search]:
-    todo = [s for s in searches if s.low < s.high and s.inside > keep]
-    if not todo:
-        return []
-    seen = df.selectExpr(
-        *[f"approx_count_distinct({s.kept(x[s.name])}) AS n{i}" for i, s in enumerate(todo)]
-    ).first()
-    return [s for s, n in zip(todo, seen) if n > keep]
-
-
 def _tighten(df, x, searches: list[_Search]) -> None:
-    """One narrowing round: sketch, propose, confirm by exact counts."""
+    """One narrowing round, two scans: sketch the range of every search (searches
+    with one range share a sketch), then count the proposed ranges."""
+    ranges = list(dict.fromkeys((s.name, s.low, s.high) for s in searches))
+    slot = {r: i for i, r in enumerate(ranges)}
+    kept = {(s.name, s.low, s.high): s.kept(x[s.name]) for s in searches}
     grouped = (
         df.selectExpr(
             f"spark_partition_id() % {SKETCH_GROUPS} AS part",
-            *[f"{s.kept(x[s.name])} AS s{i}" for i, s in enumerate(searches)],
+            *[f"{kept[r]} AS s{i}" for r, i in slot.items()],
         )
         .groupBy("part")
-        .agg(*[F.expr(f"kll_sketch_agg_double(s{i}, {SKETCH_K}) AS k{i}") for i in range(len(searches))])
+        .agg(*[F.expr(f"kll_sketch_agg_double(s{i}, {SKETCH_K}) AS k{i}") for i in slot.values()])
     )
-    wanted = []
-    for i, s in enumerate(searches):
-        low = max((s.first - s.below) / s.inside - SKETCH_PAD, 0.0)
-        high = min((s.second - s.below) / s.inside + SKETCH_PAD, 1.0)
-        wanted.append(
+    wanted: dict[int, list[float]] = {i: [] for i in slot.values()}
+    for s in searches:
+        wanted[slot[s.name, s.low, s.high]] += [
+            max((s.first - s.below) / s.inside - SKETCH_PAD, 0.0),
+            min((s.second - s.below) / s.inside + SKETCH_PAD, 1.0),
+        ]
+    found = grouped.selectExpr(
+        *[
             f"kll_sketch_get_quantile_double(kll_merge_agg_double(k{i}, {SKETCH_K}), "
-            f"array({number(low)}, {number(high)})) AS r{i}"
-        )
+            f"array({', '.join(map(number, ps))})) AS r{i}"
+            for i, ps in wanted.items()
+        ]
+    ).first()
+    answers = {i: iter(found[i]) for i in wanted}
     proposed = []
-    for s, (low, high) in zip(searches, grouped.selectExpr(*wanted).first()):
+    for s in searches:
+        answer = answers[slot[s.name, s.low, s.high]]
+        low, high = next(answer), next(answer)
         at_start = (s.first - s.below) / s.inside <= SKETCH_PAD
         at_end = (s.second - s.below) / s.inside >= 1.0 - SKETCH_PAD
         proposed.append((s.low if at_start else low, s.high if at_end else high))
-    counts = df.selectExpr(
-        *[
-            expr
-            for i, (s, (low, high)) in enumerate(zip(searches, proposed))
-            for expr in (
-                f"count_if({x[s.name]} < {number(low)}) AS b{i}",
-                f"count_if({x[s.name]} BETWEEN {number(low)} AND {number(high)}) AS i{i}",
-            )
+    counts = []
+    for i, (s, (low, high)) in enumerate(zip(searches, proposed)):
+        v = x[s.name]
+        inside = f"{v} BETWEEN {number(low)} AND {number(high)}"
+        counts += [
+            f"count_if({v} < {number(low)}) AS b{i}",
+            f"count_if({inside}) AS i{i}",
+            f"approx_count_distinct(CASE WHEN {inside} THEN {v} END) AS d{i}",
         ]
-    ).first()
+    got = df.selectExpr(*counts).first()
     for i, (s, (low, high)) in enumerate(zip(searches, proposed)):
-        below, inside = counts[2 * i], counts[2 * i + 1]
+        below, inside, distinct = got[3 * i : 3 * i + 3]
         if s.holds(below, inside):
-            s.low, s.high, s.below, s.inside = low, high, below, inside
+            s.low, s.high, s.below, s.inside, s.distinct = low, high, below, inside, distinct
 
 
 def _order_statistics(df, x, searches: list[_Search]) -> dict[str, dict[float, float]]:

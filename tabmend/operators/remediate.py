@@ -18,6 +18,7 @@ from tabmend.operators.quantiles import exact_quantiles
 from tabmend.operators.rowkeys import ROW_KEY, with_row_key
 from tabmend.operators.synthesize import synthesize_minority
 from tabmend.operators.values import extremes
+from tabmend.session import spread
 from tabmend.spec import TableSpec
 
 
@@ -99,9 +100,11 @@ def _column_local(df, run, spec, seed, key, include_outliers, entries) -> DataFr
         else:
             skipped = f"Skipped '{column}': column not found in dataset."
             steps.append(_Step(column, "", "none", message=skipped))
-    _moments(df, steps)
-    _medians(df, steps)
-    _modes(df, steps)
+    rows = _moments(df, steps)
+    with spread(df, rows) as data:
+        _counts(data, steps)
+        _medians(data, steps)
+        _modes(data, steps)
     key = key if key is not None else [c for c in spec.id_columns if c in df.columns]
     result = _project(df, steps, key, seed)
     entries += [{"step": "remediate", "column": s.column, "message": s.message} for s in steps]
@@ -171,33 +174,44 @@ def typed_value(df: DataFrame, column: str, kind: str, text: str):
     return value
 
 
-def _moments(df: DataFrame, steps: list[_Step]) -> None:
-    """One scan: row count, moments for z-scores; a second one counts the cells
-    to replace and, for Gaussian replacement, the moments of the valid cells."""
-    asked = [s for s in steps if s.action not in ("none", "mode")]
+_COUNTED = ("median", "manual", "gauss")
+
+
+def _moments(df: DataFrame, steps: list[_Step]) -> int:
+    """First scan: the row count, and the moments behind z-scores."""
+    asked = [s for s in steps if s.action in ("drop", *_COUNTED)]
     if not asked:
-        return
-    numeric = [s for s in asked if s.action in ("median", "manual", "gauss") and is_numeric(s.kind)]
-    first = ["count(1) AS rows"]
+        return 0
+    numeric = [s for s in asked if s.action in _COUNTED and is_numeric(s.kind)]
+    aggregates = ["count(1) AS rows"]
     for i, s in enumerate(numeric):
         x = s.number()
-        first += [f"count({x}) AS filled{i}", f"avg({x}) AS mean{i}", f"stddev_pop({x}) AS std{i}"]
-    got = df.selectExpr(*first).first()
+        aggregates += [
+            f"count({x}) AS filled{i}",
+            f"avg({x}) AS mean{i}",
+            f"stddev_pop({x}) AS std{i}",
+        ]
+    got = df.selectExpr(*aggregates).first()
     for s in asked:
         s.stats["rows"] = got["rows"]
     for i, s in enumerate(numeric):
         s.stats |= {k: got[f"{k}{i}"] for k in ("filled", "mean", "std")}
+    return got["rows"]
+
 
-    counted = [s for s in asked if s.action != "drop"]
+def _counts(df: DataFrame, steps: list[_Step]) -> None:
+    """Second scan: the cells to replace and, for Gaussian replacement, the
+    moments of the cells that stay."""
+    counted = [s for s in steps if s.action in _COUNTED]
     if not counted:
         return
-    second = []
+    aggregates = []
     for i, s in enumerate(counted):
-        second.append(f"count_if({s.mask()}) AS hit{i}")
+        aggregates.append(f"count_if({s.mask()}) AS hit{i}")
         if s.action == "gauss":
             valid = f"CASE WHEN NOT {s.mask()} THEN {s.number()} END"
-            second += [f"avg({valid}) AS avg{i}", f"stddev_pop({valid}) AS sd{i}"]
-    got = df.selectExpr(*second).first()
+            aggregates += [f"avg({valid}) AS avg{i}", f"stddev_pop({valid}) AS sd{i}"]
+    got = df.selectExpr(*aggregates).first()
     for i, s in enumerate(counted):
         s.stats["hit"] = got[f"hit{i}"]
         if s.action == "gauss":

@@ -26,14 +26,16 @@ def with_row_key(df: DataFrame, id_columns: list[str]) -> DataFrame:
     if id_columns:
         return df.withColumn(ROW_KEY, key_of(id_columns))
     names = df.columns
-    digest = F.xxhash64(*[ref(c) for c in names]).cast("string")
+    digest = F.xxhash64(*[ref(c) for c in names])
     counted = df.groupBy(*[ref(c) for c in names]).agg(F.count(F.lit(1)).alias(_COPIES))
     last_chunk = F.expr(f"({_COPIES} - 1) div {COPIES_PER_CHUNK}")
     chunked = counted.withColumn(_CHUNK, F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
-    # only rows with more than one chunk would gain from a second shuffle; AQE
-    # splits the rebalanced partitions by size either way
-    spread = chunked.hint("rebalance")
+    # A chunk is one small row that becomes a million: a fixed number of partitions,
+    # because adaptive execution would merge partitions that look empty.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = chunked.repartition(tasks, digest, F.col(_CHUNK))
     start = F.col(_CHUNK) * COPIES_PER_CHUNK
     end = F.least(start + COPIES_PER_CHUNK, F.col(_COPIES)) - 1
     copies = spread.withColumn(_CHUNK, F.explode(F.sequence(start, end)))
-    return copies.withColumn(ROW_KEY, F.concat_ws("|", digest, F.col(_CHUNK))).drop(_COPIES, _CHUNK)
+    key = F.concat_ws("|", digest.cast("string"), F.col(_CHUNK))
+    return copies.withColumn(ROW_KEY, key).drop(_COPIES, _CHUNK)

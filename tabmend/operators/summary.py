@@ -8,7 +8,7 @@ from tabmend.functions.kinds import is_numeric, kinds, measure
 from tabmend.operators.colstats import collect_stats
 from tabmend.operators.infer import COLSTATS_SCHEMA, colstats_table
 from tabmend.operators.quantiles import exact_quantiles
-from tabmend.session import local_table
+from tabmend.session import local_table, spread
 from tabmend.sources.csv import sample_values
 
 
@@ -18,11 +18,14 @@ def moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     names = [c for c in (columns or df.columns) if is_numeric(kind[c])]
     stats = collect_stats(df, names, distinct=False)
     values = {c: measure(c, kind[c]) for c in names}
-    medians = exact_quantiles(df, values, (0.5,), {c: stats[c]["filled"] for c in names})
+    cells = {c: stats[c]["filled"] for c in names}
+    with spread(df, max((stats[c]["rows"] for c in names), default=0)) as data:
+        medians = exact_quantiles(data, values, (0.5,), cells)
     schema = COLSTATS_SCHEMA
-    for name in ("approx_unique", "n_unique", "unique_exact", "uniqueness", "nonneg"):
-        schema = schema.remove(schema.get_field_index(name))
-    for name in ("minority_value", "minority_n", "mode_value", "mode_n"):
+    for name in (
+        "approx_unique", "n_unique", "unique_exact", "uniqueness", "nonneg",
+        "minority_value", "minority_n",
+    ):
         schema = schema.remove(schema.get_field_index(name))
     schema = schema.append(schema.field("mean").with_name("median"))
     rows = [{**s, "median": medians.get(c, {}).get(0.5)} for c, s in stats.items()]

@@ -319,7 +319,7 @@ def _value_lists(df: DataFrame, columns: list[str]) -> dict[str, _Values]:
     return {
         c: _Values(
             *sizes.get(c, (0, 0)),
-            counts.where(F.col("column") == c).select("value"),
+            value_counts(df, [c]).select("value"),
             [(value, n) for _, _, value, n in sorted(rows[c])],
         )
         for c in columns

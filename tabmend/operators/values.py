@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from tabmend.functions.kinds import is_numeric, kinds, measure, present, text
 from tabmend.session import local_table
 
-# Columns with at most this many (estimated) values have their counts reduced to
-# one row each on the way to the driver; it also bounds the text kept per key.
+# Up to this many (estimated) values a distinct count is taken exactly: the partial
+# aggregate leaves next to nothing to shuffle.
 FEW_VALUES = 5_000
 LONG_TEXT = 32
 
@@ -65,25 +65,26 @@ def countable(df: DataFrame) -> list[str]:
     return [name for name, kind in kinds(df).items() if kind != "nested"]
 
 
-def unique_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """prof_nunique: exact distinct non-null count and uniqueness per column."""
-    names = columns if columns is not None else countable(df)
-    distinct = _long(df, names, _as_key).groupBy("ord", "value", "num").agg(F.expr("count(1) AS n"))
-    per_column = distinct.groupBy("ord").agg(
+def unique_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(ord, n_unique, filled) of the columns that have values."""
+    distinct = (
+        _long(df, columns, _as_key).groupBy("ord", "value", "num").agg(F.expr("count(1) AS n"))
+    )
+    return distinct.groupBy("ord").agg(
         F.expr("count(1) AS n_unique"), F.expr("sum(n) AS filled")
     )
-    return _all_columns(df, names, per_column)
 
 
-def _all_columns(df: DataFrame, names: list[str], per_column: DataFrame) -> DataFrame:
-    """Keep columns without any value: they count zero."""
-    order = {name: i for i, name in enumerate(df.columns)}
+def unique_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """prof_nunique: exact distinct non-null count and uniqueness per column; a
+    column without any value counts zero."""
+    names = columns if columns is not None else countable(df)
     listed = local_table(
         df.sparkSession,
-        [{"ord": order[n], "column": n} for n in names],
+        [{"ord": df.columns.index(n), "column": n} for n in names],
         pa.schema([("ord", pa.int32()), ("column", pa.string())]),
     )
-    return listed.join(per_column, "ord", "left").selectExpr(
+    return listed.join(unique_sizes(df, names), "ord", "left").selectExpr(
         "ord",
         "column",
         "coalesce(n_unique, 0) AS n_unique",

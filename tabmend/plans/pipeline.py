@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabmend.functions import fixed
 from tabmend.operators import advise, clean, infer, issues, manifest, remediate, verify
 from tabmend.operators.advise import as_decisions, decisions_table
-from tabmend.session import local_table
+from tabmend.operators.colstats import collect_stats
+from tabmend.session import local_table, spread
 from tabmend.sources import ledger as ledgers
-from tabmend.sources.csv import write_csv
+from tabmend.sources.csv import read_csv, write_csv
 from tabmend.sources.report import render_report, write_report
 from tabmend.spec import TableSpec
 
@@ -114,9 +115,14 @@ def plan(
     """pipe_plan: strip, infer, profile, recommend.  Aliases are found on stripped
     text, so a canonical never carries padding."""
     stripped = clean.strip_strings(df)
-    spec = infer.infer(stripped, override, exact)
+    stats = collect_stats(stripped, distinct=not (exact or override))
+    with spread(stripped, next(iter(stats.values()))["rows"]) as data:
+        if override:
+            spec = infer.override_spec(data, override)
+        else:
+            spec = infer.infer_rules(data, exact, stats)
+        profile = issues.profile(data, spec, stats)
     entries = [_entry("infer", None, _inferred(spec))]
-    profile = issues.profile(stripped, spec)
     found = issues.issues_of(profile)
     count = found.count()
     entries.append(
@@ -159,6 +165,7 @@ class Applied:
     profile: DataFrame
     decisions: dict[str, str]
     entries: list[dict]
+    path: str | None = None
 
 
 def apply(
@@ -166,37 +173,56 @@ def apply(
     plan: Plan,
     decisions: DataFrame | dict[str, str] | None = None,
     include_outliers: bool = True,
+    path: str | None = None,
+    format: str = "parquet",
 ) -> Applied:
     """pipe_apply: clean, apply the decisions, profile again under the plan's schema.
 
     ``decisions`` defaults to the recommendations; a table or dict given here
-    replaces them, and an empty one means nothing to remediate."""
+    replaces them, and an empty one means nothing to remediate.  With ``path`` the
+    result is written there once, and verified from what was written; without,
+    it stays a lazy frame."""
     if decisions is None:
         decisions = plan.decisions
     chosen = dict(decisions) if isinstance(decisions, dict) else as_decisions(decisions)
     cleaned = clean.replace_aliases(clean.strip_strings(df), plan.spec)
-    entries = list(plan.entries)
-    fixed_df, log = remediate.apply_decisions(
+    result, log = remediate.apply_decisions(
         cleaned, chosen, plan.spec, plan.seed, include_outliers=include_outliers
     )
-    entries += [_entry(**e) for e in log]
-    after = issues.profile(fixed_df, plan.spec)
+    entries = [*plan.entries, *(_entry(**e) for e in log)]
+    if path:
+        result = _write(result, path, format)
+    after = issues.profile(result, plan.spec)
     residual = issues.issues_of(after)
     if chosen:
         entries.append(_entry("verify", None, verify.verification_message(residual.count())))
-    return Applied(fixed_df, residual, after, chosen, entries)
+    return Applied(result, residual, after, chosen, entries, path)
 
 
-def export(applied: Applied, plan: Plan, path: str, format: str = "parquet") -> str:
-    """Write the result, before/after tables, decisions, ledger and report below
-    ``path``: data/, decisions/, delta/, residual/, ledger/, report/."""
-    spark = plan.spark
-    data = f"{path}/data"
+def _write(df: DataFrame, path: str, format: str) -> DataFrame:
+    """Write ``df`` and return the written table: what follows reads files, not
+    the whole lineage again."""
+    spark = df.sparkSession
     if format == "csv":
-        write_csv(applied.data, data)
-    else:
-        applied.data.write.mode("overwrite").format(format).save(data)
-    entries = [*applied.entries, _entry("export", None, f"Final clean dataset exported to '{data}'.")]
+        return read_csv(spark, write_csv(df, path), df.schema)
+    df.write.mode("overwrite").format(format).save(path)
+    return spark.read.format(format).schema(df.schema).load(path)
+
+
+def export(
+    df: DataFrame,
+    plan: Plan,
+    path: str,
+    decisions: DataFrame | dict[str, str] | None = None,
+    format: str = "parquet",
+    include_outliers: bool = True,
+) -> Applied:
+    """Apply a plan and write everything below ``path``: data/, decisions/, delta/,
+    residual/, ledger/ and report/."""
+    spark = plan.spark
+    applied = apply(df, plan, decisions, include_outliers, f"{path}/data", format)
+    done = _entry("export", None, f"Final clean dataset exported to '{applied.path}'.")
+    entries = [*applied.entries, done]
     chosen = decisions_table(spark, applied.decisions)
     tables = {
         "decisions": chosen,
@@ -206,23 +232,26 @@ def export(applied: Applied, plan: Plan, path: str, format: str = "parquet") ->
     for name, table in tables.items():
         table.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
     log = ledgers.ledger_table(
-        spark, plan.run_id, entries, "completed", plan.source, data, plan.seed
+        spark, plan.run_id, entries, "completed", plan.source, applied.path, plan.seed
     )
     ledgers.append(log, f"{path}/ledger")
-    run = ledgers.status(log).first()
     text = render_report(
         plan.source or "",
-        data,
+        applied.path,
         _rows(plan.profile),
         _rows(applied.profile),
         applied.residual.count(),
         chosen,
         [e["message"] for e in entries],
         plan.advice,
-        {"run_id": plan.run_id, "seed": plan.seed, "duration_sec": run["duration_sec"]},
+        {
+            "run_id": plan.run_id,
+            "seed": plan.seed,
+            "duration_sec": ledgers.status(log).first()["duration_sec"],
+        },
     )
     write_report(spark, text, f"{path}/report")
-    return path
+    return applied
 
 
 def _rows(profile: DataFrame) -> int:

@@ -57,8 +57,9 @@ def test_orders_end_to_end(spark, tmp_path):
     df = orders(spark)
     p = plan(df, source="orders.csv")
     assert p.state == "waiting"
-    result = apply(df, p, {"amount": "STATISTICAL_IMPUTE", "status": "SYNTHETIC_SYNTHESIS"})
-    out = export(result, p, str(tmp_path / "run"), format="csv")
+    out = str(tmp_path / "run")
+    decisions = {"amount": "STATISTICAL_IMPUTE", "status": "SYNTHETIC_SYNTHESIS"}
+    result = export(df, p, out, decisions, format="csv")
     back = csvs.read_csv(spark, f"{out}/data", result.data.schema)
     row = back.selectExpr("count(1)", "count_if(amount IS NULL)", "max(amount)").first()
     assert row[0] > 60 and row[1] == 0 and row[2] < 50000
