@@ -1,16 +1,17 @@
 """Exact percentiles (linear interpolation) with bounded state.
 
 Spark's ``percentile`` keeps every distinct value of a column in one reducer.
-That is fine while the columns of one job hold a bounded number of cells, and it
-is what small tables get: one fused aggregate.  Beyond that the search is
+That is the fastest way for small tables: one fused aggregate.  Beyond that the
+distinct values are counted in one grouped aggregate, a value that fills a third
+of the table being one row, and the order statistics are read off a running sum.
+Where a column may hold too many values for one task's running sum, the search is
 narrowed first:
 
 1. a KLL sketch per partition group, merged, proposes a value range around the
    wanted ranks;
-2. an exact count of the cells below and inside the range confirms it (or the
-   range is widened to the last confirmed end);
-3. once the range holds few distinct values, their counts come from one grouped
-   aggregate, and the order statistics from a running sum over them.
+2. an exact count of the cells below and inside the range confirms it, or the
+   range before it stays;
+3. until the range holds few enough distinct values.
 
 Sketch errors can only cost another round, never change the answer.
 """
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 from tabmend.functions.kinds import number
 
 # Cells one fused ``percentile`` job may keep, over all its columns.
-DIRECT_CELLS = 4_000_000
-# Distinct values a confirmed range may hold before they are counted one by one.
-RANGE_VALUES = 200_000
+DIRECT_CELLS = 200_000
+# Distinct values a range may hold when its values are counted and ranked; also the
+# number of rows one task of the running sum may get.
+RANGE_VALUES = 1_000_000
 SKETCH_K = 1000
 SKETCH_PAD = 0.01
 SKETCH_GROUPS = 256
@@ -175,35 +177,37 @@ def _tighten(df, x, searches: list[_Search]) -> None:
 
 
 def _order_statistics(df, x, searches: list[_Search]) -> dict[str, dict[float, float]]:
-    """Count the distinct values left in each range and read off the two ranks."""
-    slots = [
-        f"named_struct('slot', {i}, 'value', {s.kept(x[s.name])}, "
-        f"'first', {s.first - s.below}L, 'second', {s.second - s.below}L)"
-        for i, s in enumerate(searches)
-    ]
+    """Count the distinct values left in each range and read off the two ranks.
+    Searches with one range share its counts."""
+    ranges = list(dict.fromkeys((s.name, s.low, s.high) for s in searches))
+    slot = {r: i for i, r in enumerate(ranges)}
+    kept = {(s.name, s.low, s.high): s.kept(x[s.name]) for s in searches}
+    cells = ", ".join(f"named_struct('slot', {i}, 'value', {kept[r]})" for r, i in slot.items())
     counted = (
-        df.selectExpr(f"inline(array({', '.join(slots)}))")
+        df.selectExpr(f"inline(array({cells}))")
         .where("value IS NOT NULL")
-        .groupBy("slot", "value", "first", "second")
+        .groupBy("slot", "value")
         .agg(F.expr("count(1) AS n"))
     )
-    found = (
+    wanted = []
+    for i, s in enumerate(searches):
+        here = f"slot = {slot[s.name, s.low, s.high]}"
+        wanted += [
+            f"min(value) FILTER (WHERE {here} AND upto > {s.first - s.below}L) AS a{i}",
+            f"min(value) FILTER (WHERE {here} AND upto > {s.second - s.below}L) AS b{i}",
+        ]
+    row = (
         counted.selectExpr(
             "*",
             "sum(n) OVER (PARTITION BY slot ORDER BY value "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto",
         )
-        .groupBy("slot")
-        .agg(
-            F.expr("min(value) FILTER (WHERE upto > first) AS a"),
-            F.expr("min(value) FILTER (WHERE upto > second) AS b"),
-        )
-        .collect()
+        .selectExpr(*wanted)
+        .first()
     )
-    pairs = {row["slot"]: (row["a"], row["b"]) for row in found}
     result: dict[str, dict[float, float]] = {}
     for i, s in enumerate(searches):
-        a, b = pairs[i]
+        a, b = row[f"a{i}"], row[f"b{i}"]
         exact = a if s.weight == 0.0 else (1.0 - s.weight) * a + s.weight * b
         result.setdefault(s.name, {})[s.prob] = float(exact)
     return result

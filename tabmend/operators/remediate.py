@@ -18,7 +18,6 @@ from tabmend.operators.quantiles import exact_quantiles
 from tabmend.operators.rowkeys import ROW_KEY, with_row_key
 from tabmend.operators.synthesize import synthesize_minority
 from tabmend.operators.values import extremes
-from tabmend.session import spread
 from tabmend.spec import TableSpec
 
 
@@ -100,11 +99,10 @@ def _column_local(df, run, spec, seed, key, include_outliers, entries) -> DataFr
         else:
             skipped = f"Skipped '{column}': column not found in dataset."
             steps.append(_Step(column, "", "none", message=skipped))
-    rows = _moments(df, steps)
-    with spread(df, rows) as data:
-        _counts(data, steps)
-        _medians(data, steps)
-        _modes(data, steps)
+    _moments(df, steps)
+    _counts(df, steps)
+    _medians(df, steps)
+    _modes(df, steps)
     key = key if key is not None else [c for c in spec.id_columns if c in df.columns]
     result = _project(df, steps, key, seed)
     entries += [{"step": "remediate", "column": s.column, "message": s.message} for s in steps]
@@ -177,11 +175,11 @@ def typed_value(df: DataFrame, column: str, kind: str, text: str):
 _COUNTED = ("median", "manual", "gauss")
 
 
-def _moments(df: DataFrame, steps: list[_Step]) -> int:
+def _moments(df: DataFrame, steps: list[_Step]) -> None:
     """First scan: the row count, and the moments behind z-scores."""
     asked = [s for s in steps if s.action in ("drop", *_COUNTED)]
     if not asked:
-        return 0
+        return
     numeric = [s for s in asked if s.action in _COUNTED and is_numeric(s.kind)]
     aggregates = ["count(1) AS rows"]
     for i, s in enumerate(numeric):
@@ -196,7 +194,6 @@ def _moments(df: DataFrame, steps: list[_Step]) -> int:
         s.stats["rows"] = got["rows"]
     for i, s in enumerate(numeric):
         s.stats |= {k: got[f"{k}{i}"] for k in ("filled", "mean", "std")}
-    return got["rows"]
 
 
 def _counts(df: DataFrame, steps: list[_Step]) -> None:
