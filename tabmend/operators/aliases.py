@@ -6,6 +6,8 @@ not rows.  Two passes: spellings with one alias key, then acronyms.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -107,11 +109,16 @@ def _claim(edges: DataFrame) -> DataFrame:
 
 def detect_aliases(df: DataFrame, columns: list[str]) -> dict[str, dict[str, str]]:
     """Both passes over the sampled values of ``columns``: alias maps per column."""
-    sampled = alias_sample(value_counts(df, columns)).select("column", "value")
     # at most ``ALIAS_SAMPLE`` values per column: a small driver table from here
-    values = df.sparkSession.createDataFrame(sampled.toArrow()).coalesce(1)
+    sampled = alias_sample(value_counts(df, columns)).select("column", "value").toArrow()
+    values = df.sparkSession.createDataFrame(sampled).coalesce(1)
+    pairs = key_aliases(values)
+    # only a value of several words can have an acronym
+    phrased = {r["column"] for r in sampled.to_pylist() if re.search(r"\S[\s_\-]+\S", r["value"])}
+    if phrased:
+        own = values.where(F.col("column").isin(*phrased))
+        pairs = pairs.unionByName(acronym_aliases(own))
     found: dict[str, dict[str, str]] = {}
-    pairs = key_aliases(values).unionByName(acronym_aliases(values)).collect()
-    for row in sorted(pairs, key=lambda r: (r["column"], r["canonical"], r["alias"])):
+    for row in sorted(pairs.collect(), key=lambda r: (r["column"], r["canonical"], r["alias"])):
         found.setdefault(row["column"], {})[row["alias"]] = row["canonical"]
     return found

@@ -17,7 +17,7 @@ from tabmend.operators.aliases import detect_aliases
 from tabmend.operators.colstats import FINE_ERROR, collect_stats, share_matters
 from tabmend.operators.quantiles import exact_quantiles
 from tabmend.operators.values import FEW_VALUES, extremes, unique_sizes
-from tabmend.session import local_table, spread
+from tabmend.session import local_table
 from tabmend.spec import ColumnSpec, TableSpec
 
 COLSTATS_SCHEMA = pa.schema(
@@ -210,12 +210,7 @@ def infer_rules(
 ) -> TableSpec:
     """Inference by rule alone.  ``stats`` are collected statistics of ``df``, with
     sketches unless ``exact``."""
-    stats = stats or collect_stats(df, distinct=not exact)
-    with spread(df, next(iter(stats.values()))["rows"]) as data:
-        return _infer(data, with_unique(data, stats, exact))
-
-
-def _infer(df: DataFrame, stats: dict[str, dict]) -> TableSpec:
+    stats = with_unique(df, stats or collect_stats(df, distinct=not exact), exact)
     table = local_table(df.sparkSession, list(stats.values()), COLSTATS_SCHEMA)
     classified = classify(table)
     rows = sorted(classified.collect(), key=lambda r: r["ord"])

@@ -8,7 +8,7 @@ network once per map task.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabmend.functions.kinds import is_numeric, kinds, measure, present, text
 from tabmend.session import local_table
@@ -28,23 +28,38 @@ def _long(df: DataFrame, columns: list[str], key) -> DataFrame:
         size = measure(name, k) if is_numeric(k) else "CAST(NULL AS DOUBLE)"
         cells.append(
             f"named_struct('ord', {df.columns.index(name)}, "
-            f"'value', {key(present(name, k), k)}, 'num', {size})"
+            f"'value', {key(present(name, k), df.schema[name].dataType)}, 'num', {size})"
         )
     return df.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
 
 
-def _as_text(cell: str, _kind: str) -> str:
+def _as_text(cell: str, _dtype: T.DataType) -> str:
     return f"CAST({cell} AS STRING)"
 
 
-def _as_key(cell: str, kind: str) -> str:
-    """Text of bounded length: long strings are told apart by their digest, and
-    floats by the number beside the text."""
-    if kind == "float":
+# the largest integer below which every integer is a double
+_EXACT = 2**53
+
+
+def _as_key(cell: str, dtype: T.DataType) -> str:
+    """Text that tells values apart, cheaply and in bounded length: none for numbers
+    that the double beside it holds exactly, a count of microseconds or days for
+    times, a digest for long strings."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType, T.ByteType, T.ShortType, T.IntegerType)):
         return f"CASE WHEN {cell} IS NOT NULL THEN '' END"
-    if kind != "string":
-        return _as_text(cell, kind)
-    return f"CASE WHEN length({cell}) <= {LONG_TEXT} THEN {cell} ELSE concat('#md5:', md5({cell})) END"
+    if isinstance(dtype, T.LongType):
+        return f"CASE WHEN {cell} BETWEEN -{_EXACT} AND {_EXACT} THEN '' ELSE CAST({cell} AS STRING) END"
+    if isinstance(dtype, T.StringType):
+        digest = f"concat('#md5:', md5({cell}))"
+        return f"CASE WHEN length({cell}) <= {LONG_TEXT} THEN {cell} ELSE {digest} END"
+    if isinstance(dtype, T.TimestampNTZType):
+        start = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+        return f"CAST(timestampdiff(MICROSECOND, {start}, {cell}) AS STRING)"
+    if isinstance(dtype, T.TimestampType):
+        return f"CAST(unix_micros({cell}) AS STRING)"
+    if isinstance(dtype, T.DateType):
+        return f"CAST(unix_date({cell}) AS STRING)"
+    return _as_text(cell, dtype)
 
 
 def _named(df: DataFrame, counted: DataFrame) -> DataFrame:

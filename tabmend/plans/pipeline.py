@@ -17,7 +17,7 @@ from tabmend.functions import fixed
 from tabmend.operators import advise, clean, infer, issues, manifest, remediate, verify
 from tabmend.operators.advise import as_decisions, decisions_table
 from tabmend.operators.colstats import collect_stats
-from tabmend.session import local_table, spread
+from tabmend.session import local_table
 from tabmend.sources import ledger as ledgers
 from tabmend.sources.csv import read_csv, write_csv
 from tabmend.sources.report import render_report, write_report
@@ -116,12 +116,11 @@ def plan(
     text, so a canonical never carries padding."""
     stripped = clean.strip_strings(df)
     stats = collect_stats(stripped, distinct=not (exact or override))
-    with spread(stripped, next(iter(stats.values()))["rows"]) as data:
-        if override:
-            spec = infer.override_spec(data, override)
-        else:
-            spec = infer.infer_rules(data, exact, stats)
-        profile = issues.profile(data, spec, stats)
+    if override:
+        spec = infer.override_spec(stripped, override)
+    else:
+        spec = infer.infer_rules(stripped, exact, stats)
+    profile = issues.profile(stripped, spec, stats)
     entries = [_entry("infer", None, _inferred(spec))]
     found = issues.issues_of(profile)
     count = found.count()

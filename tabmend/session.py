@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,27 +40,6 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tabmend-")
 
 
-# Tables of this many rows, several passes over which follow, are spread over all
-# cores and kept for the passes.  Smaller ones are read faster than moved; larger
-# ones arrive in enough partitions and are never cached.
-SPREAD_ROWS = (100_000, 2_000_000)
-
-
-@contextmanager
-def spread(df: DataFrame, rows: int) -> Iterator[DataFrame]:
-    """``df`` for several passes.  A table of a middling size, which may be one
-    file that one task reads, is repartitioned and persisted for their duration."""
-    low, high = SPREAD_ROWS
-    if not low <= rows <= high or df.is_cached:
-        yield df
-        return
-    kept = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
-
-
 def local_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
     """A driver-side table of a few rows (one per column, issue or decision).
 
