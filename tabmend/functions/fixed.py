@@ -130,6 +130,57 @@ ACTION_ALIAS = "Normalize aliases to canonical values"
 ACTION_SYNTHESIS = "Generate +%d synthetic rows to balance class"
 ACTION_MANUAL = "Manual override: %s"
 
+# --- ledger messages (str.format) -------------------------------------------
+LOG_STRIP = "Applied whitespace stripping across {n} string features."
+LOG_ALIAS = "Normalized {n} aliases in '{column}' to canonical values: {canonicals}."
+LOG_NO_COLUMN = "Skipped '{column}': column not found in dataset."
+LOG_DROP = (
+    "Applied DROP strategy on '{column}': removed feature column "
+    "from dataset (preserved all {rows} records)."
+)
+LOG_MEDIAN = "Applied STATISTICAL_IMPUTE on '{column}': imputed anomalies with median ({value})."
+LOG_MODE = "Applied STATISTICAL_IMPUTE on '{column}': imputed nulls with mode ('{value}')."
+LOG_IMPUTE_EMPTY = "STATISTICAL_IMPUTE skipped for '{column}': no valid values to compute {what}."
+LOG_IMPUTE_TYPE = "STATISTICAL_IMPUTE skipped for '{column}': unsupported type '{dtype}'."
+LOG_MANUAL = (
+    "Applied MANUAL_INPUT on '{column}': replaced {n} "
+    "anomalous records with override value '{value}'."
+)
+LOG_MANUAL_EMPTY = "MANUAL_INPUT on '{column}' skipped: no override value provided."
+LOG_MANUAL_CAST = "MANUAL_INPUT failed on '{column}': could not cast '{value}' to {dtype} ({error})."
+LOG_UNKNOWN = "Unknown strategy '{strategy}' for column '{column}'. Skipped."
+LOG_GAUSS = (
+    "Synthesized and imputed {n} anomalous/missing values in '{column}' using "
+    "Gaussian distribution (mean={mean:,.0f}, bounds=[{low:,.0f}, {high:,.0f}])."
+)
+LOG_GAUSS_EMPTY = "No valid data in '{column}' to compute distribution. Skipped synthesis."
+LOG_GAUSS_NONE = "No anomalous values in '{column}'. Nothing synthesized."
+LOG_GAUSS_TYPE = (
+    "SYNTHETIC_SYNTHESIS selected for '{column}', "
+    "but no synthesis method available for type '{dtype}'. Skipped."
+)
+LOG_ROWS = (
+    "Synthesized {n} realistic minority records for '{column}'. "
+    "Imbalance corrected from {old:.1f}% to {new:.1f}%."
+)
+LOG_ROWS_EMPTY = "Empty dataset provided for '{column}'. Skipped synthesis."
+LOG_ROWS_CLASS = "Could not determine minority class for '{column}'. Skipped synthesis."
+LOG_ROWS_BALANCED = (
+    "Class balance already adequate for '{column}' ({old:.1f}%). Skipped synthesis."
+)
+LOG_ROWS_NONE = "No whole row is missing for '{column}'. Skipped synthesis."
+LOG_INFERRED = (
+    "Schema inferred via {method}: target='{target}', id_cols={ids}, "
+    "ignore_cols={ignored}, {n} columns classified."
+)
+LOG_PROFILED = "Dataset profiling completed: {n} critical issues detected."
+LOG_RESIDUAL = "Post-remediation verification: {n} residual issues detected."
+LOG_VERIFIED = "Post-remediation verification passed: dataset is clean and validated."
+LOG_EXPORTED = "Final clean dataset exported to '{path}'."
+
+# texts read as true for a boolean override
+TRUE_WORDS = ("true", "1", "yes", "t")
+
 # --- characters trimmed as whitespace (Unicode White_Space) -----------------
 WHITESPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabmend.functions import fixed
 from tabmend.functions.kinds import kinds, ref
 from tabmend.functions.text import strip
 from tabmend.operators.infer import infer_rules
@@ -57,7 +58,7 @@ def clean_messages(df: DataFrame, spec: TableSpec) -> list[dict]:
             {
                 "step": "clean",
                 "column": None,
-                "message": f"Applied whitespace stripping across {len(strings)} string features.",
+                "message": fixed.LOG_STRIP.format(n=len(strings)),
             }
         )
     for name in df.columns:
@@ -68,8 +69,9 @@ def clean_messages(df: DataFrame, spec: TableSpec) -> list[dict]:
                 {
                     "step": "clean",
                     "column": name,
-                    "message": f"Normalized {len(column.aliases)} aliases in '{name}' "
-                    f"to canonical values: {canonicals}.",
+                    "message": fixed.LOG_ALIAS.format(
+                        n=len(column.aliases), column=name, canonicals=canonicals
+                    ),
                 }
             )
     return entries

@@ -97,8 +97,8 @@ def _column_local(df, run, spec, seed, key, include_outliers, entries) -> DataFr
         if column in kind:
             steps.append(_plan(df, column, kind[column], strategy, spec, include_outliers))
         else:
-            skipped = f"Skipped '{column}': column not found in dataset."
-            steps.append(_Step(column, "", "none", message=skipped))
+            message = fixed.LOG_NO_COLUMN.format(column=column)
+            steps.append(_Step(column, "", "none", message=message))
     _moments(df, steps)
     _counts(df, steps)
     _medians(df, steps)
@@ -110,42 +110,35 @@ def _column_local(df, run, spec, seed, key, include_outliers, entries) -> DataFr
 
 
 def _plan(df, column, kind, strategy, spec: TableSpec, include_outliers: bool) -> _Step:
+    """What a decision means for its column; ``none`` with a message if nothing."""
     name, param = parse_strategy(strategy)
     bounds, numeric = spec.bounds(column), is_numeric(kind)
-    if name in (fixed.DROP, fixed.DROP_COLUMN) and param is None:
-        return _Step(column, kind, "drop")
-    if name == fixed.STATISTICAL_IMPUTE and param is None:
-        if kind == "string" or spec.semantic(column) == "categorical":
-            return _Step(column, kind, "mode")
-        if numeric:
-            return _Step(column, kind, "median", bounds)
-        message = f"STATISTICAL_IMPUTE skipped for '{column}': unsupported type '{_type(df, column)}'."
-        return _Step(column, kind, "none", message=message)
-    if name == fixed.SYNTHETIC_SYNTHESIS and param is None:
-        if numeric:
-            low, high = bounds or (None, None)
-            return _Step(column, kind, "gauss", (0.0 if low is None else low, high), include_outliers)
-        message = (
-            f"SYNTHETIC_SYNTHESIS selected for '{column}', "
-            f"but no synthesis method available for type '{_type(df, column)}'. Skipped."
-        )
-        return _Step(column, kind, "none", message=message)
+
+    def nothing(template: str, **facts) -> _Step:
+        facts = {"column": column, "dtype": _type(df, column), "value": param, **facts}
+        return _Step(column, kind, "none", message=template.format(**facts))
+
     if name.startswith(fixed.MANUAL_INPUT):
         if not param:
-            message = f"MANUAL_INPUT on '{column}' skipped: no override value provided."
-            return _Step(column, kind, "none", message=message)
+            return nothing(fixed.LOG_MANUAL_EMPTY)
         try:
-            value = typed_value(df, column, kind, param)
+            return _Step(column, kind, "manual", bounds, typed_value(df, column, kind, param))
         except (ValueError, OverflowError) as e:
-            message = (
-                f"MANUAL_INPUT failed on '{column}': "
-                f"could not cast '{param}' to {_type(df, column)} ({e})."
-            )
-            return _Step(column, kind, "none", message=message)
-        return _Step(column, kind, "manual", bounds, value)
-    label = name if param is None else f"{name}:{param}"
-    message = f"Unknown strategy '{label}' for column '{column}'. Skipped."
-    return _Step(column, kind, "none", message=message)
+            return nothing(fixed.LOG_MANUAL_CAST, error=e)
+    if param is not None:
+        return nothing(fixed.LOG_UNKNOWN, strategy=f"{name}:{param}")
+    if name in (fixed.DROP, fixed.DROP_COLUMN):
+        return _Step(column, kind, "drop")
+    if name == fixed.STATISTICAL_IMPUTE:
+        if kind == "string" or spec.semantic(column) == "categorical":
+            return _Step(column, kind, "mode")
+        return _Step(column, kind, "median", bounds) if numeric else nothing(fixed.LOG_IMPUTE_TYPE)
+    if name == fixed.SYNTHETIC_SYNTHESIS:
+        if not numeric:
+            return nothing(fixed.LOG_GAUSS_TYPE)
+        low, high = bounds or (None, None)
+        return _Step(column, kind, "gauss", (0.0 if low is None else low, high), include_outliers)
+    return nothing(fixed.LOG_UNKNOWN, strategy=name)
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -162,7 +155,7 @@ def typed_value(df: DataFrame, column: str, kind: str, text: str):
     if kind == "float":
         return float(text)
     if kind == "boolean":
-        return text.lower() in ("true", "1", "yes", "t")
+        return text.lower() in fixed.TRUE_WORDS
     if kind == "string":
         return text
     cast = F.lit(text).try_cast(df.schema[column].dataType)
@@ -245,10 +238,7 @@ def _project(df: DataFrame, steps: list[_Step], key: list[str], seed: int) -> Da
     for s in steps:
         if s.action == "drop":
             dropped.append(s.column)
-            s.message = (
-                f"Applied DROP strategy on '{s.column}': removed feature column "
-                f"from dataset (preserved all {s.stats['rows']} records)."
-            )
+            s.message = fixed.LOG_DROP.format(column=s.column, rows=s.stats["rows"])
         elif s.action == "gauss":
             if _gauss_message(s):
                 drawn.append(s)
@@ -265,43 +255,28 @@ def _project(df: DataFrame, steps: list[_Step], key: list[str], seed: int) -> Da
 
 def _replacement(s: _Step):
     """The constant a step puts in, or None when it has nothing to put in."""
-    if s.action == "manual":
-        s.message = (
-            f"Applied MANUAL_INPUT on '{s.column}': replaced {s.stats['hit']} "
-            f"anomalous records with override value '{s.param}'."
-        )
-        return s.param
-    value = s.stats.get(s.action)
-    if value is None:
-        s.message = (
-            f"STATISTICAL_IMPUTE skipped for '{s.column}': no valid values to compute {s.action}."
-        )
-    elif s.action == "median":
-        s.message = (
-            f"Applied STATISTICAL_IMPUTE on '{s.column}': imputed anomalies with median ({value})."
-        )
-    else:
-        s.message = (
-            f"Applied STATISTICAL_IMPUTE on '{s.column}': imputed nulls with mode ('{value}')."
-        )
+    value = s.param if s.action == "manual" else s.stats.get(s.action)
+    template = {"manual": fixed.LOG_MANUAL, "median": fixed.LOG_MEDIAN, "mode": fixed.LOG_MODE}
+    chosen = fixed.LOG_IMPUTE_EMPTY if value is None else template[s.action]
+    s.message = chosen.format(column=s.column, value=value, n=s.stats.get("hit"), what=s.action)
     return value
 
 
 def _gauss_message(s: _Step) -> bool:
     """Whether there is a distribution to draw from and anything to replace."""
-    if s.stats["avg"] is None:
-        s.message = f"No valid data in '{s.column}' to compute distribution. Skipped synthesis."
-        return False
-    if not s.stats["hit"]:
-        s.message = f"No anomalous values in '{s.column}'. Nothing synthesized."
-        return False
     low, high = s.bounds
-    top = float("inf") if high is None else high
-    s.message = (
-        f"Synthesized and imputed {s.stats['hit']} anomalous/missing values in '{s.column}' using "
-        f"Gaussian distribution (mean={s.stats['avg']:,.0f}, bounds=[{low:,.0f}, {top:,.0f}])."
+    if s.stats["avg"] is None:
+        template = fixed.LOG_GAUSS_EMPTY
+    else:
+        template = fixed.LOG_GAUSS if s.stats["hit"] else fixed.LOG_GAUSS_NONE
+    s.message = template.format(
+        column=s.column,
+        n=s.stats["hit"],
+        mean=s.stats["avg"],
+        low=low,
+        high=float("inf") if high is None else high,
     )
-    return True
+    return template == fixed.LOG_GAUSS
 
 
 def gaussian(s: _Step, key: Column, seed: int) -> Column:

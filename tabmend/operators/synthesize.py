@@ -106,22 +106,22 @@ def synthesize_minority(
 ) -> tuple[DataFrame, str]:
     """Append the rows that bring the minority class to ``ratio``; and a message."""
     balance = balance_of(df, target, spec, ratio)
-    if balance.rows == 0:
-        return df, f"Empty dataset provided for '{target}'. Skipped synthesis."
-    if balance.minority_value is None:
-        return df, f"Could not determine minority class for '{target}'. Skipped synthesis."
-    if balance.ratio >= ratio:
-        return df, (
-            f"Class balance already adequate for '{target}' "
-            f"({balance.ratio * 100:.1f}%). Skipped synthesis."
-        )
-    if balance.needed <= 0:
-        return df, f"No whole row is missing for '{target}'. Skipped synthesis."
-    rows = synthetic_rows(df, target, balance, spec, seed)
-    return df.unionByName(rows), (
-        f"Synthesized {balance.needed} realistic minority records for '{target}'. Imbalance "
-        f"corrected from {balance.ratio * 100:.1f}% to {balance.new_ratio * 100:.1f}%."
+    message = _outcome(balance, ratio).format(
+        column=target, n=balance.needed, old=balance.ratio * 100, new=balance.new_ratio * 100
     )
+    if not balance.needed:
+        return df, message
+    return df.unionByName(synthetic_rows(df, target, balance, spec, seed)), message
+
+
+def _outcome(balance: Balance, ratio: float) -> str:
+    if balance.needed:
+        return fixed.LOG_ROWS
+    if not balance.rows:
+        return fixed.LOG_ROWS_EMPTY
+    if balance.minority_value is None:
+        return fixed.LOG_ROWS_CLASS
+    return fixed.LOG_ROWS_BALANCED if balance.ratio >= ratio else fixed.LOG_ROWS_NONE
 
 
 def synthetic_rows(

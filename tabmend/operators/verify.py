@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabmend.functions import fixed
 from tabmend.operators.issues import issues_of, profile
 from tabmend.spec import TableSpec
 
@@ -14,9 +15,7 @@ def reprofile(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def verification_message(residual: int) -> str:
-    if residual:
-        return f"Post-remediation verification: {residual} residual issues detected."
-    return "Post-remediation verification passed: dataset is clean and validated."
+    return fixed.LOG_RESIDUAL.format(n=residual) if residual else fixed.LOG_VERIFIED
 
 
 def compare_profiles(before: DataFrame, after: DataFrame) -> DataFrame:

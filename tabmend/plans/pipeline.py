@@ -125,7 +125,7 @@ def plan(
     found = issues.issues_of(profile)
     count = found.count()
     entries.append(
-        _entry("profile", None, f"Dataset profiling completed: {count} critical issues detected.")
+        _entry("profile", None, fixed.LOG_PROFILED.format(n=count))
     )
     entries += [_entry(**e) for e in clean.clean_messages(df, spec)]
     recommended = advise.advised_strategies(advise.recommend(found, profile), advice)
@@ -148,10 +148,12 @@ def _entry(step: str, column: str | None, message: str) -> dict:
 
 
 def _inferred(spec: TableSpec) -> str:
-    return (
-        f"Schema inferred via {spec.method}: target='{spec.target}', "
-        f"id_cols={spec.id_columns}, ignore_cols={spec.ignore_columns}, "
-        f"{len(spec.columns)} columns classified."
+    return fixed.LOG_INFERRED.format(
+        method=spec.method,
+        target=spec.target,
+        ids=spec.id_columns,
+        ignored=spec.ignore_columns,
+        n=len(spec.columns),
     )
 
 
@@ -220,7 +222,7 @@ def export(
     residual/, ledger/ and report/."""
     spark = plan.spark
     applied = apply(df, plan, decisions, include_outliers, f"{path}/data", format)
-    done = _entry("export", None, f"Final clean dataset exported to '{applied.path}'.")
+    done = _entry("export", None, fixed.LOG_EXPORTED.format(path=applied.path))
     entries = [*applied.entries, done]
     chosen = decisions_table(spark, applied.decisions)
     tables = {
