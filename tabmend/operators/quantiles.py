@@ -30,6 +30,8 @@ DIRECT_CELLS = 200_000
 # Distinct values a range may hold when its values are counted and ranked; also the
 # number of rows one task of the running sum may get.
 RANGE_VALUES = 1_000_000
+# Columns searched together in the same scans.
+COLUMNS_PER_SEARCH = 32
 SKETCH_K = 1000
 SKETCH_PAD = 0.01
 SKETCH_GROUPS = 256
@@ -101,7 +103,9 @@ def exact_quantiles(
         result |= _direct(df, values, probs, batch)
     if wide:
         keep = RANGE_VALUES if range_values is None else range_values
-        result |= _narrowed(df, {n: values[n] for n in wide}, probs, cells, keep)
+        for i in range(0, len(wide), COLUMNS_PER_SEARCH):
+            group = {n: values[n] for n in wide[i : i + COLUMNS_PER_SEARCH]}
+            result |= _narrowed(df, group, probs, cells, keep)
     return result
 
 

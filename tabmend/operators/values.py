@@ -7,10 +7,13 @@ network once per map task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabmend.functions.kinds import is_numeric, kinds, measure, present, text
+from tabmend.operators import colstats
 from tabmend.session import local_table
 
 # Up to this many (estimated) values a distinct count is taken exactly: the partial
@@ -20,7 +23,17 @@ LONG_TEXT = 32
 
 
 def _long(df: DataFrame, columns: list[str], key) -> DataFrame:
-    """(ord, value, num) per non-null cell; ``num`` orders numbers by size."""
+    """(ord, value, num) per non-null cell; ``num`` orders numbers by size.
+
+    Wide tables are read in groups of columns, each scan reading its own only."""
+    groups = [
+        columns[i : i + colstats.COLUMNS_PER_SCAN]
+        for i in range(0, len(columns), colstats.COLUMNS_PER_SCAN)
+    ]
+    return reduce(DataFrame.unionAll, [_long_group(df, group, key) for group in groups])
+
+
+def _long_group(df: DataFrame, columns: list[str], key) -> DataFrame:
     kind = kinds(df)
     cells = []
     for name in columns:

@@ -134,6 +134,11 @@ def test_wide_tables_are_scanned_in_groups(spark, monkeypatch):
     df = spark.range(10).selectExpr(*[f"id + {i} AS c{i}" for i in range(8)])
     stats = colstats.collect_stats(df)
     assert [stats[f"c{i}"]["min"] for i in range(8)] == [float(i) for i in range(8)]
+    assert [r["n_unique"] for r in values.unique_counts(df).collect()] == [10] * 8
+    monkeypatch.setattr(quantiles, "COLUMNS_PER_SEARCH", 3)
+    names = {c: c for c in df.columns}
+    found = quantiles.exact_quantiles(df, names, (0.5,), dict.fromkeys(names, 10), direct_cells=0)
+    assert [found[c][0.5] for c in df.columns] == [4.5 + i for i in range(8)]
 
 
 def test_odd_column_names(spark):
