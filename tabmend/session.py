@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,17 @@ def build_session(master: str | None = None, app: str = "tabmend", **conf) -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests, a new local temporary folder is used."""
+    Where that is unset, a session whose tasks run in this process gets one local folder
+    as its ``spark.checkpoint.dir``; on a cluster, whose executors would not see such a
+    folder, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/tabmend-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="tabmend-")
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tabmend-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tabmend-{uuid.uuid4().hex}"
 
 
 def local_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
