@@ -102,4 +102,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM w LEFT JOIN spots USING (rid) LEFT JOIN items USING (rid)
 """.replace("LOWERED", LOWER.format("coalesce(text, '')"))
 
-ORACLES = {"op7_quality_rules": OP7, "op9_line_dedup": OP9, "op10_decontaminate": OP10}
+OP8 = """
+WITH p AS (SELECT page_id, url AS uri, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to, coalesce(uri, '') AS uri, true AS ok
+FROM f
+"""
+
+ORACLES = {"op8_warc": OP8, "op7_quality_rules": OP7, "op9_line_dedup": OP9, "op10_decontaminate": OP10}

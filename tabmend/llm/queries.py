@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmend.llm.common import full, table
+from tabmend.llm.common import Workspace, full, table
 from tabmend.llm.decontaminate import decontaminate
+from tabmend.llm.html_extract import extract_text
 from tabmend.llm.line_dedup import dedup_lines
 from tabmend.llm.mixing import mix_sources
 from tabmend.llm.quality_rules import quality_rules
+from tabmend.llm.warc import read_warc, resolved, write_warc
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,27 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark).path("warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    return resolved(read_warc(spark, path)).select(
+        number(F.col("id")).alias("page_id"),
+        F.col("n").alias("payload_bytes"),
+        F.regexp_replace("digest", "^sha256:", "").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        number(F.col("refers")).alias("refers_to"),
+        "uri",
+        "ok",
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -39,7 +62,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_html_text": op4_html_text,
     "op7_quality_rules": op7_quality_rules,
+    "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
