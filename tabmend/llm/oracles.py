@@ -111,4 +111,32 @@ SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
 FROM f
 """
 
-ORACLES = {"op8_warc": OP8, "op7_quality_rules": OP7, "op9_line_dedup": OP9, "op10_decontaminate": OP10}
+OP5 = """
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+call AS (
+  SELECT u.*, a.text AS answer, a.turn IS NOT NULL AS linked, 'c' || u.conv_id || '_' || u.turn AS call_id
+  FROM m u LEFT JOIN m a ON a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user'),
+lost AS (
+  SELECT a.*, 'c' || a.conv_id || '_' || (a.turn - 1) AS call_id FROM m a
+  WHERE a.role = 'assistant' AND NOT EXISTS (FROM m u WHERE u.role = 'user' AND u.conv_id = a.conv_id AND u.turn = a.turn - 1))
+SELECT conv_id, turn AS at_turn, 0 AS level, 0 AS number, 0 AS step, 'message' AS kind, NULL AS call_id, true AS linked,
+  '' AS problems,
+  CASE WHEN role = 'user' THEN '{"content":"","role":"assistant"}'
+       ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
+FROM m WHERE role <> 'assistant'
+UNION ALL
+SELECT conv_id, turn, 0, 0, 1, 'call', call_id, linked,
+  concat_ws('; ', CASE WHEN NOT linked THEN 'no result' END, CASE WHEN length(text) > 300 THEN 'over question' END),
+  '{"arguments":{"question":' || to_json(text) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply"}'
+FROM call
+UNION ALL
+SELECT conv_id, turn, 0, 0, 2, 'result', call_id, true, '',
+  '{"content":' || to_json(answer) || ',"role":"tool","tool_call_id":"' || call_id || '"}'
+FROM call WHERE linked
+UNION ALL
+SELECT conv_id, turn, 0, 0, 2, 'result', call_id, false, 'no call for it',
+  '{"content":' || to_json(text) || ',"role":"tool","tool_call_id":"' || call_id || '"}'
+FROM lost
+"""
+
+ORACLES = {"op5_chat_tools": OP5, "op8_warc": OP8, "op7_quality_rules": OP7, "op9_line_dedup": OP9, "op10_decontaminate": OP10}

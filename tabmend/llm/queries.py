@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabmend.llm.chat_tools import format_chat
 from tabmend.llm.common import Workspace, full, table
 from tabmend.llm.decontaminate import decontaminate
 from tabmend.llm.html_extract import extract_text
 from tabmend.llm.line_dedup import dedup_lines
 from tabmend.llm.mixing import mix_sources
+from tabmend.llm.near_dedup import near_duplicates
+from tabmend.llm.quality_model import score_quality
 from tabmend.llm.quality_rules import quality_rules
 from tabmend.llm.warc import read_warc, resolved, write_warc
 
@@ -20,12 +23,46 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
     )
 
 
+def op5_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn is a call of the tool ``reply``, made after the one before, and the
+    assistant's turn that follows is its result."""
+    talk = table(spark, sf_dir, "conversations")
+    call_id = lambda back: F.concat(F.lit("c"), "conv_id", F.lit("_"), F.col("turn") - back)
+    call = F.struct(
+        call_id(0).alias("id"),
+        F.lit("reply").alias("name"),
+        F.to_json(F.struct("turn", full(F.col("text")).alias("question"))).alias("arguments"),
+        F.array(call_id(2)).alias("after"),
+    )
+    asks = F.to_json(F.struct(F.lit("").alias("content"), F.array(call).alias("tool_calls")))
+    tells = F.to_json(F.struct(full(F.col("text")).alias("content"), call_id(1).alias("tool_call_id")))
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    wire = talk.select(
+        "conv_id", "turn",
+        F.when(user, "assistant").when(assistant, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(user, asks).when(assistant, tells).otherwise(F.col("text")).alias("text"),
+    )
+    schemas = spark.createDataFrame(
+        [("reply", "question", "string", True, 300.0), ("reply", "turn", "integer", True, None), ("reply", "lang", "string", False, None)],
+        "name string, param string, type string, required boolean, most double",
+    )
+    return format_chat(wire, schemas)
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark).path("warc")
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -62,7 +99,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_quality_model": op3_quality_model,
     "op4_html_text": op4_html_text,
+    "op5_chat_tools": op5_chat_tools,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
