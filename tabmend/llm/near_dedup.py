@@ -15,14 +15,15 @@ Classes are the connected components of the links found.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabmend.llm.common import Workspace, full, named, words
+from tabmend.llm.common import Workspace, full, named, shipped, words
+
+shipped(__name__)
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -44,7 +45,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> U(11)).astype(np.float64) * 2.0**-53
 
 
-@lru_cache(256)
 def _poisson(mean: float) -> np.ndarray:
     """Chances of at most 0, 1, 2 ... darts."""
     n = np.arange(int(mean + 12 * mean**0.5 + 24))
@@ -78,6 +78,7 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, sets:
     """The earliest rank of each coordinate (a row for each set, infinite for empty sets)."""
     sums = np.bincount(owner, weight, sets)
     least = np.full(sets * k, np.inf)
+    chances: dict[float, np.ndarray] = {}
     reach = np.where(sums > 0, (k * np.log(k) + 2 * k) / np.maximum(sums, 1e-300), 0.0)
     todo = sums > 0
     while todo.any():
@@ -93,8 +94,11 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, sets:
                 here = np.flatnonzero((w > w_low) & (limit > r_low))
                 if not len(here):
                     continue
-                cell = _mix(e[here] + U((nu * 4096 + rho + 2048) * 2 + 1) * U(0x9E3779B97F4A7C15))
-                count = np.searchsorted(_poisson(w_wide * r_wide), _unit(_mix(cell)), side="right")
+                cell = _mix(e[here] + U(((nu * 4096 + rho + 2048) * 2 + 1) * 0x9E3779B97F4A7C15 % 2**64))
+                area = w_wide * r_wide
+                if area not in chances:
+                    chances[area] = _poisson(area)
+                count = np.searchsorted(chances[area], _unit(_mix(cell)), side="right")
                 hit = np.flatnonzero(count)
                 times = count[hit]
                 src = np.repeat(hit, times)

@@ -17,7 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabmend.llm.common import Workspace, full, named, words
+from tabmend.llm.common import Workspace, full, named, shipped, words
+
+shipped(__name__)
 
 #: Most labelled rows that training takes, those of the smallest hashes of their ids.
 SAMPLE_ROWS = 50_000
@@ -34,9 +36,12 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % FOLDS == 0
 
 
-def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, one double per feature) of every whole text; an empty text has zeros."""
-    df = docs.select(named(id_col).alias("id"), full(named(text_col)).alias("text"))
+def features(docs: DataFrame, id_col: str, text_col: str, rows: bool = False) -> DataFrame:
+    """(id, one double per feature) of every whole text; an empty text has zeros.
+
+    With ``rows``, ``id`` is the whole row instead."""
+    key = F.struct(*[named(c) for c in docs.columns]) if rows else named(id_col)
+    df = docs.select(key.alias("id"), full(named(text_col)).alias("text"))
     df = df.withColumn("w", words(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(
@@ -207,13 +212,32 @@ def score_quality(
     kind, all rows get the same score.  Equal texts get equal scores.  Empty tables give no rows."""
     space = Workspace(docs.sparkSession)
     rows = space.stored(features(docs, id_col, text_col), "features")
-    model = train(rows, labels, id_col, label_col, sample_rows)
+    score = scorer(train(rows, labels, id_col, label_col, sample_rows))
+    rows = rows.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    threshold: float = THRESHOLD,
+    sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+    space = Workspace(docs.sparkSession)
+    known = docs.join(labels.select(named(id_col).alias("l_")).distinct(), named(id_col) == F.col("l_"), "left_semi")
+    known = space.stored(features(known.select(named(id_col), named(text_col)), id_col, text_col), "features")
+    score = scorer(train(known, labels, id_col, label_col, sample_rows))
+    return features(docs, id_col, text_col, rows=True).filter(score >= threshold).select("id.*")
+
 
+def scorer(model: Model) -> Column:
     @F.pandas_udf("double")
     def scored(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             yield pd.Series(model.score(np.column_stack([c.to_numpy(np.float64) for c in columns])))
 
-    return rows.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), scored(*FEATURES).alias("score")).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")
-    )
+    return scored(*FEATURES)

@@ -14,9 +14,18 @@ from tabmend.llm.mixing import mix_sources
 from tabmend.llm.near_dedup import near_duplicates
 from tabmend.llm.quality_model import score_quality
 from tabmend.llm.quality_rules import quality_rules
+from tabmend.llm.substring_dedup import dedup_substrings
 from tabmend.llm.warc import read_warc, resolved, write_warc
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies"
@@ -98,6 +107,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_quality_model": op3_quality_model,
     "op4_html_text": op4_html_text,

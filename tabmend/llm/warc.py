@@ -21,7 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmend.llm.common import full, named, ordered
+from tabmend.llm.common import full, named, ordered, shipped
+
+shipped(__name__)
 
 SEGMENT = 16_384
 CHUNK = 4_096
