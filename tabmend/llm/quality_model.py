@@ -228,8 +228,8 @@ def good_documents(
 ) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
     space = Workspace(docs.sparkSession)
-    known = docs.join(labels.select(named(id_col).alias("l_")).distinct(), named(id_col) == F.col("l_"), "left_semi")
-    known = space.stored(features(known.select(named(id_col), named(text_col)), id_col, text_col), "features")
+    # counting twice costs less than moving the texts to their labels
+    known = space.stored(features(docs, id_col, text_col), "features")
     score = scorer(train(known, labels, id_col, label_col, sample_rows))
     return features(docs, id_col, text_col, rows=True).filter(score >= threshold).select("id.*")
 
