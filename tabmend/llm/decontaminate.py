@@ -19,43 +19,40 @@ WINDOW = 10
 SHINGLE = 3
 #: Up to so many prefixes or shingles (under 100 MB) go to every executor.
 BROADCAST_ROWS = 200_000
-#: Words before lower-casing; A-Z is lowered later, which moves no word's ends.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words: ASCII but for digits and letters.
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
-def raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(full(text), F.lit(RAW_WORD), F.lit(0))
-
-
-def lowered(text: Column) -> Column:
-    return F.translate(text, UPPER, UPPER.lower())
+def plain_words(text: Column) -> Column:
+    """The words, A-Z in lower case."""
+    even = F.translate(full(text), BETWEEN + UPPER, " " * len(BETWEEN) + UPPER.lower())
+    return F.array_remove(F.split(even, " "), "")
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, shingle: int) -> DataFrame:
     """(item, window, len, k, at, t): each window once per shingle in it."""
-    df = items.select(named(id_col).cast("string").alias("item"), raw_words(named(text_col)).alias("w"))
+    df = items.select(named(id_col).cast("string").alias("item"), plain_words(named(text_col)).alias("w"))
     df = df.select("item", "w", F.size("w").alias("n")).filter("n > 0")
     df = df.withColumns({"len": F.least("n", F.lit(window)), "k": F.least("n", F.lit(min(shingle, window)))})
     df = df.select("item", "len", "k", "w", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("len"))).alias("s"))
     df = df.select("item", "len", "k", F.slice("w", F.col("s") + 1, "len").alias("w"))
     df = df.select("*", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))).alias("at"))
     return df.select(
-        "item", lowered(F.array_join("w", " ")).alias("window"), "len", "k", "at", _token("w", F.col("at"), "k", shingle)
+        "item", F.array_join("w", " ").alias("window"), "len", "k", "at", _token("w", F.col("at"), "k", shingle)
     ).distinct()
 
 
 def _token(array: str, at: Column, k, most: int) -> Column:
-    """Hash of ``k`` words from ``at`` on.  Lower case of all letters is coarser than that
-    of A-Z alone, so equal windows have equal hashes; the words decide."""
+    """Hash of ``k`` words from ``at`` on."""
     k = F.col(k) if isinstance(k, str) else F.lit(k)
-    parts = [F.when(k > j, F.lower(F.get(F.col(array), at + j))) for j in range(most)]
+    parts = [F.when(k > j, F.get(F.col(array), at + j)) for j in range(most)]
     return F.xxhash64(k.cast("int"), *parts).alias("t")
 
 
 def _positions(docs: DataFrame, id_col: str, text_col: str, k: int, shingle: int) -> DataFrame:
     text = full(named(text_col))
     df = docs.select(
-        ordered(named(id_col)).alias("doc"), F.xxhash64(text).alias("part"), raw_words(text).alias("words")
+        ordered(named(id_col)).alias("doc"), F.xxhash64(text).alias("part"), plain_words(text).alias("words")
     )
     df = df.select("doc", "part", "words", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
     return df.select("doc", "part", "words", "n", "p", _token("words", F.col("p"), k, shingle))
@@ -104,7 +101,7 @@ def decontaminate(
         rows = rare.count()
         start = F.col("p") - F.col("at")
         fits = (start >= 0) & (start + F.col("len") <= F.col("n"))
-        same = lowered(F.array_join(F.slice("words", start + 1, F.col("len")), " ")) == F.col("window")
+        same = F.array_join(F.slice("words", start + 1, F.col("len")), " ") == F.col("window")
         if rows <= broadcast_rows:
             hits = places.join(F.broadcast(rare), F.col("t") == F.col("t_")).filter(fits).filter(same)
         else:
@@ -113,14 +110,14 @@ def decontaminate(
             near = near.withColumnsRenamed({"doc": "doc_", "part": "part_"})
             text = full(named(text_col))
             whole = docs.select(
-                ordered(named(id_col)).alias("doc"), F.xxhash64(text).alias("part"), raw_words(text).alias("words")
+                ordered(named(id_col)).alias("doc"), F.xxhash64(text).alias("part"), plain_words(text).alias("words")
             ).dropDuplicates(["doc", "part"])
             hits = near.join(whole, (F.col("doc") == F.col("doc_")) & (F.col("part") == F.col("part_"))).filter(same)
         hits = hits.select("doc", "part", start.alias("s"), "len", "items")
         found = hits if found is None else found.unionByName(hits)
     text = full(named(text_col))
     left = docs.withColumns(
-        {"doc_": ordered(named(id_col)), "part_": F.xxhash64(text), "n_words": F.size(raw_words(text)).cast("long")}
+        {"doc_": ordered(named(id_col)), "part_": F.xxhash64(text), "n_words": F.size(plain_words(text)).cast("long")}
     )
     none = F.array().cast("array<string>")
     if found is None:
