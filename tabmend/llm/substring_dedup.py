@@ -244,14 +244,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[order] = first
-    # separators differ from each other, by their places
-    gaps = np.flatnonzero(symbols == 0)
-    rank[gaps] = np.arange(len(gaps))
-    tied = np.ones(n, bool)
-    tied[:-1] = ~new[1:]
-    tied[new & ~np.append(~new[1:], False)] = False
     left = order[(~new) | np.append(~new[1:], False)]
-    left = left[symbols[left] != 0]
     step = 7
     while len(left):
         ahead = rank[np.minimum(left + step, n)]
