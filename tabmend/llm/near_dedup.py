@@ -6,9 +6,11 @@ as far in rank as the set needs for about ``k ln k + 2k`` darts.  Each dart belo
 ``k`` coordinates; the earliest dart of a coordinate is its minimum.  The cost depends on the
 darts, not on elements times coordinates.  Equal minima are as likely as the sets are similar.
 
-Copies with equal shingles become one representative.  Coordinates are joined in bands; members of a
-band's bucket are compared with the bucket's most central member, and what that leaves in other
-classes is compared with every member of those classes in the bucket.  All comparisons are exact.
+Copies with equal shingles become one representative.  Coordinates are joined in bands, and members of a
+band's bucket are compared with its most central member.  Where a bucket still holds several classes,
+its members are dealt anew into finer buckets, each of three bands that must all agree, and compared with
+a member picked by hash; texts at 0.8 share some ten of these, which hold few others.  So the
+comparisons grow with the members of a bucket, not with its pairs.  They are made on all shingles.
 Classes are the connected components of the links found.
 """
 
@@ -30,6 +32,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares no bucket in 1 of 300,000 cases
 LOW_CELL = -6  # ranks below 2**LOW_CELL are one cell
 ROUNDS = 100
+#: Finer buckets of a text: each of three bands, spread evenly by a fixed rule.
+TRIPLES = 300
 
 U = np.uint64
 
@@ -217,6 +221,20 @@ def components(nodes: DataFrame, edges: DataFrame, space: Workspace) -> DataFram
     return full_.select("id", F.coalesce("comp", "id").alias("comp"))
 
 
+def triples(bands: int, count: int) -> list[tuple[int, int, int]]:
+    """``count`` different threes of bands (fewer if there are no more), by steps of a fixed generator."""
+    found: dict[tuple[int, ...], None] = {}
+    most = bands * (bands - 1) * (bands - 2) // 6
+    x = 1
+    while len(found) < min(count, most):
+        picked = set()
+        while len(picked) < 3:
+            x = x * 48271 % (2**31 - 1)
+            picked.add(x % bands)
+        found[tuple(sorted(picked))] = None
+    return list(found)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -226,13 +244,13 @@ def near_duplicates(
     rows: int = ROWS,
     weights: str = "set",
 ) -> DataFrame:
-    """Per row of ``docs``: id, class_id (the smallest id of its class) and n_links.
+    """Per row of ``docs``: id and class_id, the smallest id of its class.
 
     Words are lower-cased.  Similarity is that of sets (``weights="set"``) or of counts
     (``"count"``).  Texts of fewer than five words are one shingle; null and empty texts have
     equal (empty) sets and are one class.  A null id can't name a class: such a row is a class
     of its own, null.  Rows that repeat an id should have one text; else pairs of any of them count.  An
-    empty table gives no rows.  ``n_links`` counts the linked representatives of the row's own."""
+    empty table gives no rows."""
     space = Workspace(docs.sparkSession)
     known = docs.filter(named(id_col).isNotNull())
     rows_ = space.stored(sketched(known, id_col, text_col, bands, rows, weights), "sketches")
@@ -254,33 +272,35 @@ def near_duplicates(
     nodes = reps.select(F.col("rep").alias("id"))
     comp = space.stored(components(spots.select(F.col("rep").alias("id")).distinct(), links, space), "classes")
     # buckets that still hold several classes: all members of the smaller ones meet all others
-    placed = spots.select("key", "rep", "n").join(comp, F.col("rep") == F.col("id")).drop("id")
-    placed = space.stored(placed, "placed")
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.groupBy(F.col("key").alias("k_")).agg(
-        F.count(F.lit(1)).alias("classes"), F.max(F.struct("c", "comp"))["comp"].alias("largest")
-    ).filter("classes > 1")
-    mixed = space.stored(placed.join(sizes.drop("classes"), F.col("key") == F.col("k_")).drop("k_"), "mixed")
-    small = mixed.filter(F.col("comp") != F.col("largest")).select(
-        F.col("key").alias("k_"), F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_c")
+    placed = space.stored(spots.select("key", "rep").join(comp, F.col("rep") == F.col("id")).drop("id"), "placed")
+    mixed = placed.groupBy(F.col("key").alias("k_")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    mixed = placed.join(mixed.select("k_"), F.col("key") == F.col("k_")).select(F.col("rep").alias("m_"), "comp").distinct()
+    fine = F.array(*[
+        F.struct(*[F.lit(i).alias(c) for c, i in zip("abc", three, strict=True)]) for three in triples(bands, TRIPLES)
+    ])
+    again = reps.join(mixed, F.col("rep") == F.col("m_")).select("rep", "n", "comp", "keys", F.explode(fine).alias("f"))
+    at = lambda c: F.get(F.col("keys"), F.col(f"f.{c}"))
+    again = again.select("rep", "n", "comp", F.xxhash64("f", at("a"), at("b"), at("c")).alias("key"))
+    lead = again.groupBy(F.col("key").alias("k_")).agg(
+        F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "n", "comp")).alias("l"),
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+    ).filter("lo <> hi")
+    more = again.join(
+        lead, (F.col("key") == F.col("k_")) & (F.col("comp") != F.col("l.comp")) & close(F.col("n"), F.col("l.n"))
     )
-    more = mixed.join(small, (F.col("key") == F.col("k_")) & (F.col("comp") != F.col("x_c")) & close(F.col("n"), F.col("x_n")))
-    more = more.select(F.greatest("rep", "x").alias("a"), F.least("rep", "x").alias("b")).distinct()
+    one, two = F.least(F.col("rep"), F.col("l.rep")), F.greatest(F.col("rep"), F.col("l.rep"))
+    more = more.select(two.alias("a"), one.alias("b")).distinct()
     done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = space.stored(more.join(done, ["a", "b"], "left_anti"), "pairs")
     new = similar(more, known, id_col, text_col, similarity, weights)
-    links = space.stored(links.unionByName(new).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    comp = components(nodes, links, space)
-    ends = links.select(F.explode(F.array("a", "b")).alias("e_")).groupBy("e_").agg(F.count(F.lit(1)).alias("n_links"))
-    comp = comp.join(ends, F.col("id") == F.col("e_"), "left").select(
-        F.col("id").alias("r_"), "comp", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
-    )
+    links = space.stored(links.unionByName(new).distinct(), "links")
+    comp = components(nodes, links, space).withColumnRenamed("id", "r_")
     told = reps.select("same1", "same2", "rep").join(comp, F.col("rep") == F.col("r_")).select(
-        F.col("same1").alias("s1"), F.col("same2").alias("s2"), "comp", "n_links"
+        F.col("same1").alias("s1"), F.col("same2").alias("s2"), "comp"
     )
     members = rows_.select("id", "same1", "same2").join(told, (F.col("same1") == F.col("s1")) & (F.col("same2") == F.col("s2")))
-    result = members.select(F.col("id").alias(id_col), F.col("comp").alias("class_id"), "n_links")
+    result = members.select(F.col("id").alias(id_col), F.col("comp").alias("class_id"))
     alone = docs.filter(named(id_col).isNull()).select(
-        named(id_col).alias(id_col), named(id_col).alias("class_id"), F.lit(0).cast("long").alias("n_links")
+        named(id_col).alias(id_col), named(id_col).alias("class_id")
     )
     return result.unionByName(alone)
