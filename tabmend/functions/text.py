@@ -19,7 +19,7 @@ def alias_key(value: Column) -> Column:
 
 def is_title(value: Column) -> Column:
     """Every run of letters starts upper case and continues lower case."""
-    return ~value.rlike(r"(?:^|[^A-Za-z])[a-z]|[A-Za-z][A-Z]")
+    return ~value.rlike(r"(?:^|[^\p{L}])\p{Ll}|\p{L}\p{Lu}")
 
 
 def words(value: Column) -> Column:

@@ -6,8 +6,6 @@ not rows.  Two passes: spellings with one alias key, then acronyms.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -24,18 +22,13 @@ def alias_sample(counts: DataFrame, size: int = fixed.ALIAS_SAMPLE) -> DataFrame
 
 def spelling_groups(values: DataFrame) -> DataFrame:
     """Every value with its alias key, the number of its spellings and their
-    canonical: a title-cased, then longest spelling; ties go to the smaller.
-
-    ``size`` is the number of values of the column; counting it first places the
-    values by column, which also serves the second window."""
-    group = Window.partitionBy("column", "key")
+    canonical: a title-cased, then longest spelling; ties go to the smaller."""
     order = F.struct(~is_title(F.col("value")), -F.length("value"), F.col("value"))
-    return (
-        values.select("column", "value", alias_key(F.col("value")).alias("key"))
-        .withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("column")))
-        .withColumn("spellings", F.count(F.lit(1)).over(group))
-        .withColumn("canonical", F.min_by("value", order).over(group))
+    keyed = values.select("column", "value", alias_key(F.col("value")).alias("key"))
+    groups = keyed.groupBy("column", "key").agg(
+        F.count(F.lit(1)).alias("spellings"), F.min_by("value", order).alias("canonical")
     )
+    return keyed.join(groups, ["column", "key"])
 
 
 def key_aliases(values: DataFrame) -> DataFrame:
@@ -47,18 +40,17 @@ def key_aliases(values: DataFrame) -> DataFrame:
     )
 
 
-def acronym_aliases(values: DataFrame, limit: int = fixed.ALIAS_SAMPLE) -> DataFrame:
+def acronym_aliases(values: DataFrame) -> DataFrame:
     """inf_alias_acronym: ``US``, ``USA`` and ``US_OFFICIAL`` for ``United States``.
 
     An alias equals the initials, or extends them by one character, or starts
     with the initials and an underscore; that makes every match an equality on
     one of three keys of the alias.  Values with other spellings take no part,
     an alias belongs to the smallest canonical that matches it, and a value
-    claimed by a smaller canonical claims nothing itself.  Columns with more
-    than ``limit`` values are left alone."""
+    claimed by a smaller canonical claims nothing itself."""
     free = (
         spelling_groups(values)
-        .where((F.col("size") <= limit) & ((F.col("key") == "") | (F.col("spellings") == 1)))
+        .where((F.col("key") == "") | (F.col("spellings") == 1))
         .select(
             "column",
             "value",
@@ -108,17 +100,17 @@ def _claim(edges: DataFrame) -> DataFrame:
 
 
 def detect_aliases(df: DataFrame, columns: list[str]) -> dict[str, dict[str, str]]:
-    """Both passes over the sampled values of ``columns``: alias maps per column."""
-    # at most ``ALIAS_SAMPLE`` values per column: a small driver table from here
-    sampled = alias_sample(value_counts(df, columns)).select("column", "value").toArrow()
-    values = df.sparkSession.createDataFrame(sampled).coalesce(1)
+    """Both passes over all values of ``columns``: alias maps per column."""
+    values = value_counts(df, columns).select("column", "value").persist()
     pairs = key_aliases(values)
     # only a value of several words can have an acronym
-    phrased = {r["column"] for r in sampled.to_pylist() if re.search(r"\S[\s_\-]+\S", r["value"])}
+    phrased = values.where(F.col("value").rlike(r"\S[\s_\-]+\S")).select("column").distinct().collect()
     if phrased:
-        own = values.where(F.col("column").isin(*phrased))
+        own = values.where(F.col("column").isin(*[r["column"] for r in phrased]))
         pairs = pairs.unionByName(acronym_aliases(own))
     found: dict[str, dict[str, str]] = {}
-    for row in sorted(pairs.collect(), key=lambda r: (r["column"], r["canonical"], r["alias"])):
+    rows = pairs.collect()
+    values.unpersist()
+    for row in sorted(rows, key=lambda r: (r["column"], r["canonical"], r["alias"])):
         found.setdefault(row["column"], {})[row["alias"]] = row["canonical"]
     return found

@@ -35,6 +35,8 @@ class _Step:
     param: object = None
     stats: dict = field(default_factory=dict)
     message: str = ""
+    classes: bool = False  # whether the values name classes, of which a rare one is no outlier
+    semantic: str | None = None
 
     def value(self) -> str:
         return present(self.column, self.kind)
@@ -47,7 +49,7 @@ class _Step:
         if self.action == "mode" or not is_numeric(self.kind):
             return f"({self.value()} IS NULL)"
         mean, std = self.stats.get("mean"), self.stats.get("std")
-        if self.action == "gauss" and not self.param:
+        if self.action == "gauss" and not self.param or self.classes and self.stats.get("classes", True):
             mean = std = None  # missing and out-of-bounds cells only
         return anomalous(self.number(), self.bounds, mean, std)
 
@@ -129,15 +131,21 @@ def _plan(df, column, kind, strategy, spec: TableSpec, include_outliers: bool) -
         return nothing(fixed.LOG_UNKNOWN, strategy=f"{name}:{param}")
     if name in (fixed.DROP, fixed.DROP_COLUMN):
         return _Step(column, kind, "drop")
+    classes = spec.semantic(column) in ("binary", "categorical")
     if name == fixed.STATISTICAL_IMPUTE:
+        if kind == "nested":  # a mode is taken over texts, which nested values are not
+            return nothing(fixed.LOG_IMPUTE_TYPE)
         if kind == "string" or spec.semantic(column) == "categorical":
             return _Step(column, kind, "mode")
-        return _Step(column, kind, "median", bounds) if numeric else nothing(fixed.LOG_IMPUTE_TYPE)
+        if not numeric:
+            return nothing(fixed.LOG_IMPUTE_TYPE)
+        return _Step(column, kind, "median", bounds, classes=classes, semantic=spec.semantic(column))
     if name == fixed.SYNTHETIC_SYNTHESIS:
         if not numeric:
             return nothing(fixed.LOG_GAUSS_TYPE)
         low, high = bounds or (None, None)
-        return _Step(column, kind, "gauss", (0.0 if low is None else low, high), include_outliers)
+        domain = (0.0 if low is None else low, high)
+        return _Step(column, kind, "gauss", domain, include_outliers, classes=classes, semantic=spec.semantic(column))
     return nothing(fixed.LOG_UNKNOWN, strategy=name)
 
 
@@ -181,12 +189,15 @@ def _moments(df: DataFrame, steps: list[_Step]) -> None:
             f"count({x}) AS filled{i}",
             f"avg({x}) AS mean{i}",
             f"stddev_pop({x}) AS std{i}",
+            f"min({x}) = 0 AND max({x}) = 1 AS unit{i}",
         ]
     got = df.selectExpr(*aggregates).first()
     for s in asked:
         s.stats["rows"] = got["rows"]
     for i, s in enumerate(numeric):
-        s.stats |= {k: got[f"{k}{i}"] for k in ("filled", "mean", "std")}
+        s.stats |= {"filled": got[f"filled{i}"]} | {k: draws.steady(got[f"{k}{i}"]) for k in ("mean", "std")}
+        # any two values count as binary, but only 0 and 1 are sure to be classes
+        s.stats["classes"] = s.semantic != "binary" or bool(got[f"unit{i}"])
 
 
 def _counts(df: DataFrame, steps: list[_Step]) -> None:

@@ -1,6 +1,6 @@
 """A stable text key per row, for draws, without a driver-side row number.
 
-With an identifying column the key is that column.  Without one, equal rows are
+With an identifying column the key is that column, where it is different for each row.  Else, equal rows are
 interchangeable, so they are counted and spread out again with copy numbers
 0..n-1: the set of keyed rows does not depend on partitioning or retries.  A row
 that is copied millions of times is spread over many tasks in chunks.
@@ -8,25 +8,49 @@ that is copied millions of times is spread over many tasks in chunks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabmend.functions.kinds import ref
 
 COPIES_PER_CHUNK = 1_000_000
 ROW_KEY = "__tabmend_key"
-_COPIES, _CHUNK = "__tabmend_copies", "__tabmend_chunk"
+_COPIES, _CHUNK, _AGAIN = "__tabmend_copies", "__tabmend_chunk", "__tabmend_again"
 
 
 def key_of(columns: list[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(ref(c).cast("string"), F.lit("")) for c in columns])
 
 
+def _hashable(df: DataFrame, column: str) -> Column:
+    """A value that can be hashed: entries in order for a map, JSON for what holds one."""
+    kind = df.schema[column].dataType
+    if "map<" not in kind.simpleString():
+        return ref(column)
+    if isinstance(kind, T.MapType) and "map<" not in kind.valueType.simpleString():
+        return F.sort_array(F.map_entries(ref(column)))
+    return F.to_json(F.struct(ref(column)))
+
+
 def with_row_key(df: DataFrame, id_columns: list[str]) -> DataFrame:
-    """``df`` with the text column ``ROW_KEY``."""
-    if id_columns:
-        return df.withColumn(ROW_KEY, key_of(id_columns))
+    """``df`` with the text column ``ROW_KEY``, different for every row.
+
+    Rows whose identifying columns are null, or repeat those of other rows, are told
+    apart by all their columns and a copy number, as are all rows where there is no such column."""
+    if not id_columns:
+        return _numbered(df)
+    keyed = df.withColumn(ROW_KEY, key_of(id_columns))
+    again = keyed.groupBy(F.col(ROW_KEY).alias(_AGAIN)).agg(F.count(F.lit(1)).alias(_COPIES))
+    again = again.where(F.col(_COPIES) > 1).select(_AGAIN)
+    if again.isEmpty():
+        return keyed
+    same = F.col(ROW_KEY) == F.col(_AGAIN)
+    rest = _numbered(keyed.join(again, same, "left_semi").drop(ROW_KEY))
+    return keyed.join(again, same, "left_anti").unionByName(rest.withColumn(ROW_KEY, F.concat(F.lit("again|"), ROW_KEY)))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
     names = df.columns
-    digest = F.xxhash64(*[ref(c) for c in names])
+    digest = F.xxhash64(*[_hashable(df, c) for c in names])
     counted = df.groupBy(*[ref(c) for c in names]).agg(F.count(F.lit(1)).alias(_COPIES))
     last_chunk = F.expr(f"({_COPIES} - 1) div {COPIES_PER_CHUNK}")
     chunked = counted.withColumn(_CHUNK, F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))

@@ -28,6 +28,8 @@ def read_csv(
     Dates stay text, decimals become doubles.  ``multiline`` allows line breaks
     inside quotes, at the price of files that cannot be split between tasks."""
     options = {"header": True, "multiLine": multiline, "mode": "PERMISSIVE", "escape": '"'}
+    # a cell without quotes and text is null, one of two quotes is blank
+    options |= {"nullValue": "\0", "emptyValue": ""}
     if schema is None:
         seen = spark.read.options(inferSchema=True, **options).csv(path).schema
         schema = T.StructType([T.StructField(f.name, _plain(f.dataType)) for f in seen.fields])

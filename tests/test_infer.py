@@ -164,8 +164,13 @@ def test_alias_limits(spark):
     kept = {r["value"] for r in aliases.alias_sample(df, 250).collect()}
     expected = sorted(rows, key=lambda r: (-r[2], r[1]))[:250]
     assert kept == {r[1] for r in expected}
-    many = [f"w{i}" for i in range(501)] + ["A B", "AB"]
-    assert alias_map(spark, many, aliases.acronym_aliases) == {}
+    many = [f"w{i}" for i in range(1200)] + ["Az By", "AB"]  # a long column keeps its aliases
+    assert alias_map(spark, many, aliases.acronym_aliases) == brute_force_acronyms(many) != {}
+
+
+def test_titles_in_any_script(spark):
+    cells = ["são paulo", "SÃO PAULO", "São Paulo"]
+    assert set(alias_map(spark, cells, aliases.key_aliases).values()) == {"São Paulo"}
 
 
 def test_supplied_schema_replaces_inference(spark):

@@ -67,8 +67,8 @@ def test_orders_end_to_end(spark, tmp_path):
     assert status["is_completed"] and not status["is_waiting"]
     assert status["seed"] == 42 and status["duration_sec"] >= 0 and status["source"] == "orders.csv"
     report = "\n".join(r[0] for r in spark.read.text(f"{out}/report").collect())
-    assert f"| Total Records | 60 | {row[0]} | +{row[0] - 60} |" in report
-    assert "| `amount` | **STATISTICAL_IMPUTE** | Human Approved |" in report
+    assert f"| rows written | {row[0]:,} (+{row[0] - 60}) |" in report
+    assert "| `amount` | STATISTICAL_IMPUTE | Human Approved |" in report
 
 
 def test_a_stored_plan_gives_the_same_result(spark, tmp_path):

@@ -445,3 +445,41 @@ def test_draws_are_uniform_and_normal(spark):
     row = df.selectExpr("avg(u)", "min(u)", "max(u)", "avg(z)", "stddev_pop(z)").first()
     assert row[0] == pytest.approx(0.5, abs=0.01) and 0 < row[1] and row[2] < 1
     assert row[3] == pytest.approx(0, abs=0.03) and row[4] == pytest.approx(1, abs=0.03)
+
+
+# --- rare classes, repeated ids, nested columns ------------------------------------
+
+
+def test_rare_class_of_a_feature_stays(spark):
+    df = spark.range(1000).selectExpr("id", "CAST(id % 25 = 0 AS int) AS vip", "CAST(id % 10 = 0 AS int) AS churn")
+    spec = TableSpec({"vip": ColumnSpec(semantic_type="binary"), "churn": ColumnSpec(role="target", semantic_type="binary")}, "churn")
+    for strategy in ("SYNTHETIC_SYNTHESIS", "STATISTICAL_IMPUTE"):
+        out = apply_decisions(df, {"vip": strategy}, spec, include_outliers=True)[0]
+        assert out.where("vip = 1").count() == 40
+
+
+def test_every_row_has_its_own_key(spark):
+    rows = [(None, 1)] * 3 + [("", 2), ("a", 3), ("a", 4), ("b", 5)]
+    df = spark.createDataFrame(rows, "id string, x int").withColumn("m", F.create_map(F.lit("k"), "x"))
+    for ids in (["id"], []):
+        keyed = rowkeys.with_row_key(df, ids)
+        keys = [r[rowkeys.ROW_KEY] for r in keyed.collect()]
+        assert len(set(keys)) == len(keys) == 7
+        assert sorted(map(str, keyed.drop(rowkeys.ROW_KEY).collect())) == sorted(map(str, df.collect()))
+    alone = rowkeys.with_row_key(df.where("x > 3"), ["id"]).collect()
+    assert sorted(r[rowkeys.ROW_KEY] for r in alone) == ["a", "b"]
+
+
+def test_nested_columns_are_left_alone(spark):
+    df = spark.createDataFrame([(1, [1]), (2, None)], "id int, a array<int>")
+    spec = TableSpec({"a": ColumnSpec(semantic_type="categorical")})
+    out = apply_decisions(df, {"a": "STATISTICAL_IMPUTE"}, spec)[0]
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+
+
+def test_csv_keeps_blanks_apart_from_nulls(spark, tmp_path):
+    from tabmend.sources import csv as csvs
+
+    df = spark.createDataFrame([(1, ""), (2, None), (3, " x ")], "k int, s string")
+    back = csvs.read_csv(spark, csvs.write_csv(df, str(tmp_path / "c")), df.schema)
+    assert column(back, "s") == ["", None, " x "]
