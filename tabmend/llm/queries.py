@@ -73,10 +73,12 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = Workspace(spark).path("warc")
+    space = Workspace(spark)
+    path = space.path("warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
-    return resolved(read_warc(spark, path)).select(
+    records = read_warc(spark, path).withColumn("n", F.octet_length("payload").cast("long")).drop("payload")
+    return resolved(space.stored(records, "records")).select(
         number(F.col("id")).alias("page_id"),
         F.col("n").alias("payload_bytes"),
         F.regexp_replace("digest", "^sha256:", "").alias("payload_digest"),

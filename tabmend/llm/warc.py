@@ -232,9 +232,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """The records, with the payload's length for revisits too, from what they refer to."""
-    sizes = records.filter(F.col("kind") != "revisit").select(
-        F.col("id").alias("r_"), F.octet_length("payload").cast("long").alias("of_")
-    )
+    """Records with the payload's length ``n``, given to revisits too, from what they refer to."""
+    sizes = records.filter(F.col("kind") != "revisit").select(F.col("id").alias("r_"), F.col("n").alias("of_"))
     again = records.join(sizes, (F.col("refers") == F.col("r_")) & (F.col("kind") == "revisit"), "left")
-    return again.withColumn("n", F.coalesce(F.octet_length("payload").cast("long"), F.col("of_"))).drop("r_", "of_")
+    return again.withColumn("n", F.coalesce("n", "of_")).drop("r_", "of_")
