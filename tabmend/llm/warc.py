@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmend.llm.common import full, named, ordered, shipped
+from tabmend.llm.common import Workspace, full, named, ordered, shipped
 
 shipped(__name__)
 
@@ -30,6 +30,8 @@ CHUNK = 4_096
 #: Segments in a file; a file has at most so many times ``segment`` bytes.
 FILE_RECORDS = 1_000
 MIN_REVISIT = 100
+#: Up to so many digests that occur again (some 10 MB) go to every executor.
+BROADCAST_ROWS = 100_000
 CRLF = "\r\n"
 
 
@@ -43,7 +45,10 @@ def with_types(pages: DataFrame, id_col: str, html_col: str, url_col: str, least
     first = df.filter(F.col("n") >= least).groupBy(F.col("digest").alias("d_")).agg(
         F.min("key").alias("first"), F.count(F.lit(1)).alias("times")
     )
-    df = df.join(first.filter("times > 1"), (F.col("digest") == F.col("d_")) & (F.col("n") >= least), "left")
+    first = Workspace(pages.sparkSession).stored(first.filter("times > 1"), "repeated")
+    if first.count() <= BROADCAST_ROWS:  # else payloads move to the digests that occur again
+        first = F.broadcast(first)
+    df = df.join(first, (F.col("digest") == F.col("d_")) & (F.col("n") >= least), "left")
     return df.select("key", "url", "payload", "digest", "n", F.when(F.col("first") != F.col("key"), F.col("first")).alias("first"))
 
 
