@@ -18,7 +18,8 @@ CALLS = (
     "struct<content: string, tool_calls: array<struct<id: string, name: string, arguments: string,"
     " after: array<string>>>, tool_call_id: string>"
 )
-MAX_LEVELS = 1_000
+#: Stands for a null turn where turns are compared: before all others.
+NO_TURN = -(2**63)
 
 
 def canonical(json: Column) -> Column:
@@ -58,46 +59,72 @@ def events(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, tex
 def placed(calls: DataFrame, space: Workspace) -> DataFrame:
     """Calls with ``at``: (turn, level) after the place of all calls they wait for.
 
-    A call that waits for itself, directly or not, never gets a place by the rule; it keeps its own
-    turn and is marked ``cyclic``.  Unknown identifiers are not waited for."""
-    one = calls.filter("first").select(
-        "conv", "call_id", F.struct("turn", F.lit(0).cast("long").alias("level")).alias("own")
-    )
-    waits = calls.filter("first").select("conv", "call_id", F.explode(F.array_distinct("after")).alias("on"))
-    known = one.select(F.col("conv").alias("c_"), F.col("call_id").alias("i_"), F.col("own").alias("on_own"))
-    waits = space.stored(
-        waits.join(known, F.col("conv").eqNullSafe(F.col("c_")) & (F.col("on") == F.col("i_"))).drop("c_", "i_"), "waits"
-    )
+    A wait for a call that lies, with all that it waits for, in earlier turns changes no place and
+    is no part of a cycle; it is let go.  The other calls are settled level by level, each
+    level once all that it waits for is settled: as many rounds as the longest chain of waits
+    that turns do not order.  What never settles waits for itself, directly or not, or keeps its place
+    only after such a call; it keeps its own turn and is marked ``cyclic``.  Unknown identifiers are
+    not waited for."""
+    node = lambda call: F.to_json(F.struct("conv", F.col(call).alias("call")))
     base = calls.withColumns(
         {"at": F.struct("turn", F.lit(0).cast("long").alias("level")), "cyclic": F.lit(False)}
     )
+    firsts = calls.filter("first").withColumn("turn", F.coalesce("turn", F.lit(NO_TURN)))
+    known = firsts.select(F.col("conv").alias("c_"), F.col("call_id").alias("i_"), F.col("turn").alias("on_turn"))
+    waits = firsts.select("conv", "call_id", "turn", F.explode(F.array_distinct("after")).alias("on"))
+    waits = waits.join(known, F.col("conv").eqNullSafe(F.col("c_")) & (F.col("on") == F.col("i_")))
+    waits = space.stored(waits.select(node("call_id").alias("node"), "turn", node("on").alias("on"), "on_turn"), "waits")
+    waits = _unordered(waits, space)
     if waits.isEmpty():
         return base
-    # Calls whose waits are all settled are settled; the rest goes round again.
-    ready = one.join(waits.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti")
-    settled = space.stored(ready.select("conv", "call_id", F.col("own").alias("at")), "settled")
-    left = waits
-    for _ in range(MAX_LEVELS):
-        s = settled.select(F.col("conv").alias("c_"), F.col("call_id").alias("i_"), "at")
-        met = left.join(s, F.col("conv").eqNullSafe(F.col("c_")) & (F.col("on") == F.col("i_")), "left")
-        after = F.struct(F.col("at.turn").alias("turn"), (F.col("at.level") + 1).alias("level"))
-        met = met.groupBy("conv", "call_id").agg(
-            F.bool_and(F.col("at").isNotNull()).alias("all"), F.max(F.when(F.col("at").isNotNull(), after)).alias("after")
-        )
-        fresh = met.filter("all").join(one, ["conv", "call_id"]).select(
-            "conv", "call_id", F.greatest("after", "own").alias("at")
-        )
-        fresh = space.stored(fresh, "settled")
+    left = waits.groupBy("node").agg(
+        F.struct(F.max("turn").alias("turn"), F.lit(0).cast("long").alias("level")).alias("at"), F.count(F.lit(1)).alias("missing")
+    )
+    left = space.stored(left, "left")
+    free = waits.select(F.col("on").alias("node"), "on_turn").distinct().join(left.select("node"), "node", "left_anti")
+    fresh = free.select("node", F.struct(F.col("on_turn").alias("turn"), F.lit(0).cast("long").alias("level")).alias("at"))
+    settled, level = space.path("settled"), 0
+    while True:
+        # one folder for all levels: the plan that reads them does not grow
+        fresh.write.mode("overwrite").parquet(f"{settled}/round={level}")
+        fresh = space.spark.read.parquet(f"{settled}/round={level}")
         if fresh.isEmpty():
             break
-        settled = settled.unionByName(fresh)
-        left = space.stored(left.join(fresh.select("conv", "call_id"), ["conv", "call_id"], "left_anti"), "waits")
-    s = settled.select(F.col("conv").alias("c_"), F.col("call_id").alias("i_"), F.col("at").alias("found"))
-    base = base.join(s, F.col("conv").eqNullSafe(F.col("c_")) & (F.col("call_id") == F.col("i_")), "left")
-    return base.withColumns({
-        "at": F.coalesce("found", "at"),
-        "cyclic": F.col("first") & F.col("found").isNull(),
-    }).drop("c_", "i_", "found")
+        met = waits.join(fresh.select(F.col("node").alias("n_"), F.col("at").alias("a_")), F.col("on") == F.col("n_"))
+        after = F.struct(F.col("a_.turn").alias("turn"), (F.col("a_.level") + 1).alias("level"))
+        met = met.groupBy(F.col("node").alias("n_")).agg(F.count(F.lit(1)).alias("now"), F.max(after).alias("after"))
+        left = left.join(met, F.col("node") == F.col("n_"), "left").select(
+            "node", F.greatest("at", "after").alias("at"), (F.col("missing") - F.coalesce("now", F.lit(0))).alias("missing")
+        )
+        left = space.stored(left, "left")
+        fresh, left = left.filter("missing = 0").select("node", "at"), left.filter("missing > 0")
+        level += 1
+    place = F.struct(F.nullif(F.col("at.turn"), F.lit(NO_TURN)).alias("turn"), F.col("at.level").alias("level"))
+    found = space.spark.read.parquet(settled).select(F.col("node").alias("n_"), place.alias("found"), F.lit(False).alias("stuck"))
+    stuck = left.select(F.col("node").alias("n_"), F.lit(None).cast(found.schema["found"].dataType).alias("found"), F.lit(True).alias("stuck"))
+    base = base.join(found.unionByName(stuck), F.col("first") & (node("call_id") == F.col("n_")), "left")
+    return base.withColumns(
+        {"at": F.coalesce("found", "at"), "cyclic": F.coalesce("stuck", F.lit(False))}
+    ).drop("n_", "found", "stuck")
+
+
+def _unordered(waits: DataFrame, space: Workspace) -> DataFrame:
+    """The waits whose order does not follow from turns.
+
+    ``top`` is the latest turn among a call and all that it waits for, where that is not its own: it
+    spreads from waits for later turns, to calls that lie before it only."""
+    fresh = waits.filter("on_turn > turn").groupBy("node").agg(F.max("on_turn").alias("top"))
+    fresh = top = space.stored(fresh, "tops")
+    while not fresh.isEmpty():
+        up = fresh.select(F.col("node").alias("n_"), F.col("top").alias("up"))
+        high = top.select(F.col("node").alias("h_"), "top")
+        more = waits.join(up, F.col("on") == F.col("n_")).join(high, F.col("node") == F.col("h_"), "left")
+        more = more.filter(F.col("up") > F.greatest("turn", "top")).groupBy("node").agg(F.max("up").alias("top"))
+        fresh = space.stored(more, "tops")
+        top = space.stored(top.unionByName(fresh).groupBy("node").agg(F.max("top").alias("top")), "tops")
+    high = top.select(F.col("node").alias("h_"), "top")
+    kept = waits.join(high, F.col("on") == F.col("h_"), "left").filter(F.greatest("on_turn", "top") >= F.col("turn"))
+    return space.stored(kept.select(*waits.columns), "waits")
 
 
 def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -166,7 +193,7 @@ def format_chat(
     first = calls.groupBy("conv", "call_id").agg(F.min(F.struct("turn", "number")).alias("f_"))
     first = first.withColumnsRenamed({"conv": "c_", "call_id": "i_"})
     calls = calls.join(first, F.col("conv").eqNullSafe(F.col("c_")) & (F.col("call_id") == F.col("i_")), "left")
-    is_first = F.coalesce((F.col("f_.turn") == F.col("turn")) & (F.col("f_.number") == F.col("number")), F.lit(False))
+    is_first = F.coalesce(F.col("f_.turn").eqNullSafe(F.col("turn")) & (F.col("f_.number") == F.col("number")), F.lit(False))
     calls = space.stored(calls.withColumn("first", is_first).drop("c_", "i_", "f_"), "calls")
     calls = placed(calls, space)
     found = results.groupBy(F.col("conv").alias("c_"), F.col("call_id").alias("i_")).agg(

@@ -1,6 +1,7 @@
 """Each operator against brute force on small fixtures, and on nulls, empty and odd inputs."""
 
 import hashlib
+import json
 import random
 import re
 import sys
@@ -220,6 +221,30 @@ def test_chat(spark):
     assert format_chat(df.limit(0), schemas).count() == 0
 
 
+def test_chat_order(spark):
+    """Places against the rule, told call by call; a long chain is neither cut nor called a cycle."""
+    r = random.Random(11)
+    rows, want = [], {}
+    for conv in [*range(12), None]:
+        turns = {f"c{k}": r.randrange(6) if r.random() < 0.9 else None for k in range(12)}
+        order = sorted(turns, key=lambda _: r.random())
+        after = {c: r.sample(order[:k], min(k, r.choice([0, 1, 1, 2]))) for k, c in enumerate(order)}
+        for c in order:
+            own = -1 if turns[c] is None else turns[c]
+            want[conv, c] = max([(own, 0), *[(t, n + 1) for t, n in (want[conv, x] for x in after[c])]])
+        for turn in set(turns.values()):
+            made = [{"id": c, "name": "f", "arguments": "{}", "after": after[c]} for c in order if turns[c] == turn]
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": made})))
+    for k in range(1500):
+        rows.append((99, k, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "f", "after": [f"c{k - 1}", "none"]}]})))
+        want[99, f"c{k}"] = (k, 0)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    schemas = spark.createDataFrame([("f", "x", "string", False, None)], "name string, param string, type string, required boolean, most double")
+    got = format_chat(df, schemas).filter("kind = 'call'").collect()
+    assert {(g.conv_id, g.call_id): (-1 if g.at_turn is None else g.at_turn, g.level) for g in got} == want
+    assert not any("cyclic" in g.problems for g in got) and len(got) == len(want)
+
+
 # 6
 
 
