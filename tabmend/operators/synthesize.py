@@ -23,7 +23,8 @@ from tabmend.spec import ColumnSpec, TableSpec
 LITERAL_VALUES = 1_000
 # Distinct values per bucket where they are numbered without a global sort.
 VALUES_PER_BUCKET = 100_000
-MAX_BUCKETS = 4_096
+# Blocks of places one value is put into by a single row.
+BLOCKS_PER_ROW = 1_000_000
 ROWS_PER_TASK = 1_000_000
 
 ROW = "__tabmend_i"
@@ -147,8 +148,8 @@ def synthetic_rows(
             cells[c] = _normal(c, kind[c], spec.bounds(c), numbers[c], seed, i)
         elif w == "person":
             cells[c] = _person(c, seed, i)
-        elif w == "choice" and lists[c].size > LITERAL_VALUES:
-            rows = lists[c].joined(rows, df, c, seed)
+        elif w in ("choice", "weighted") and lists[c].size > LITERAL_VALUES:
+            rows = lists[c].joined(rows, df, c, seed, w == "weighted")
             cells[c] = F.col(_slot(df, c))
         elif w == "choice" and lists[c].size:
             cells[c] = lists[c].uniform(c, seed, i)
@@ -261,10 +262,6 @@ class _Values:
 
     def weighted(self, column: str, seed: int, i: Column) -> Column:
         """syn_weighted: values as likely as they are frequent."""
-        if not self.rows:
-            raise ValueError(
-                f"column '{column}' is declared binary but has {self.size} distinct values"
-            )
         u = draws.uniform(seed, column, "u", i) * F.lit(float(self.cells))
         choice, upto = None, self.cells
         for value, n in reversed(self.rows):
@@ -272,33 +269,49 @@ class _Values:
             choice = F.lit(value) if choice is None else F.when(u >= upto + n, choice).otherwise(value)
         return choice
 
-    def joined(self, rows: DataFrame, df: DataFrame, column: str, seed: int) -> DataFrame:
-        """Uniform choice from a long list: number the values, join by number."""
-        at = f"{_slot(df, column)}_at"
-        numbered = number_values(self.table, self.size).select(
-            F.col("at").alias(at), F.col("value").alias(_slot(df, column))
-        )
+    def joined(self, rows: DataFrame, df: DataFrame, column: str, seed: int, weighted: bool) -> DataFrame:
+        """A choice from a long list, uniform or as frequent: the values lie one after another,
+        each as wide as its weight, and a draw takes the value at its place."""
+        slot = _slot(df, column)
+        at, block, start, width = (f"{slot}_{x}" for x in ("at", "block", "start", "width"))
+        total = self.cells if weighted else self.size
         u = draws.uniform(seed, column, "u", F.col(ROW), digits=13)
-        wanted = F.floor(u * F.lit(float(self.size))).cast("long")
-        return rows.withColumn(at, wanted).join(numbered, at, "left").drop(at)
+        wanted = F.least(F.floor(u * F.lit(float(total))).cast("long"), F.lit(total - 1))
+        numbered = number_values(self.table, self.size, weighted).select(
+            F.col("value").alias(slot), F.col("at").alias(start), F.col("n").alias(width)
+        )
+        if not weighted:
+            return rows.withColumn(at, wanted).join(numbered.drop(width), F.col(at) == F.col(start), "left").drop(at, start)
+        # blocks of the mean width: a value lies in as many as it fills, a hot one in many
+        mean = math.ceil(total / self.size)
+        last = F.floor((F.col(start) + F.col(width) - 1) / mean).cast("long")
+        numbered = numbered.withColumn(
+            block, F.explode(F.sequence(F.floor(F.col(start) / mean).cast("long"), last, F.lit(BLOCKS_PER_ROW).cast("long")))
+        )
+        numbered = numbered.withColumn(
+            block, F.explode(F.sequence(F.col(block), F.least(F.col(block) + BLOCKS_PER_ROW - 1, last)))
+        )
+        rows = rows.withColumn(at, wanted).withColumn(f"{block}_of", F.floor(F.col(at) / mean).cast("long"))
+        here = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + F.col(width))
+        found = rows.join(numbered, (F.col(f"{block}_of") == F.col(block)) & here, "left")
+        return found.drop(at, block, f"{block}_of", start, width)
 
 
-def number_values(values: DataFrame, size: int) -> DataFrame:
-    """(value, at) with ``at`` counting 0..size-1, without a global sort.
+def number_values(values: DataFrame, size: int, weighted: bool = False) -> DataFrame:
+    """(value, at, n): values one after another from 0, each ``n`` wide (1, or its count), without
+    a global sort.
 
-    Values are hashed to buckets, numbered inside their bucket, and shifted by
-    the sizes of the buckets before it (one number per bucket on the driver).
-    Values are distinct, so buckets are even."""
-    buckets = min(MAX_BUCKETS, max(1, math.ceil(size / VALUES_PER_BUCKET)))
-    placed = values.select("value", F.pmod(F.xxhash64("value"), F.lit(buckets)).alias("bucket"))
-    sizes = {r["bucket"]: r["count"] for r in placed.groupBy("bucket").count().collect()}
-    starts, total = [], 0
-    for b in range(buckets):
-        starts.append(total)
-        total += sizes.get(b, 0)
-    start = F.element_at(F.array(*[F.lit(s) for s in starts]), F.col("bucket").cast("int") + 1)
-    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("value"))
-    return placed.select("value", (start + inside - 1).cast("bigint").alias("at"))
+    Values are hashed to buckets, placed inside their bucket, and shifted by the widths of
+    the buckets before it (one row per bucket).  Values are distinct, so buckets are even."""
+    buckets = max(1, math.ceil(size / VALUES_PER_BUCKET))
+    n = F.col("n") if weighted else F.lit(1).cast("bigint")
+    placed = values.select("value", n.alias("n"), F.pmod(F.xxhash64("value"), F.lit(buckets)).alias("bucket"))
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(F.col("bucket").alias("of")).agg(F.sum("n").alias("width"))
+    starts = starts.select("of", F.coalesce(F.sum("width").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("upto", F.sum("n").over(inside)).join(starts, F.col("bucket") == F.col("of"))
+    return placed.select("value", (F.col("start") + F.col("upto") - F.col("n")).cast("bigint").alias("at"), "n")
 
 
 def _value_lists(df: DataFrame, columns: list[str]) -> dict[str, _Values]:
@@ -319,7 +332,7 @@ def _value_lists(df: DataFrame, columns: list[str]) -> dict[str, _Values]:
     return {
         c: _Values(
             *sizes.get(c, (0, 0)),
-            value_counts(df, [c]).select("value"),
+            value_counts(df, [c]).select("value", "n"),
             [(value, n) for _, _, value, n in sorted(rows[c])],
         )
         for c in columns

@@ -414,6 +414,22 @@ def test_binary_features_keep_their_shares(spark):
     assert share == pytest.approx(0.25, abs=0.03)
 
 
+def test_long_weighted_lists_keep_their_shares(spark):
+    """1,001 values, one of them in a third of all rows."""
+    df = spark.range(12_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('v', id % 1000) END AS s", "CAST(id < 400 AS INT) AS y"
+    )
+    assert df.select("s").distinct().count() == 1001
+    spec = TableSpec({"s": ColumnSpec(semantic_type="binary")}, "y")
+    balance = synthesize.balance_of(df, "y", spec)
+    rows = synthesize.synthetic_rows(df, "y", balance, spec)
+    again = synthesize.synthetic_rows(df.repartition(5), "y", balance, spec)
+    assert rows.count() == balance.needed and rows.where("s IS NULL").count() == 0
+    assert rows.selectExpr("avg(CAST(s = 'hot' AS INT))").first()[0] == pytest.approx(1 / 3, abs=0.03)
+    assert rows.select("s").distinct().count() > 900
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, again.collect()))
+
+
 def test_people(spark):
     df = spark.range(50).selectExpr(
         "concat('n', id) AS full_name", "'e' AS email", "'a' AS home_address", "'x' AS notes",
