@@ -19,6 +19,9 @@ from tabmend.operators.colstats import COLUMNS_PER_SCAN, collect_stats
 from tabmend.session import local_table
 from tabmend.spec import TableSpec
 
+# from here on, different integers may be one double
+EXACT_INTEGER = 2**53
+
 PROFILE_SCHEMA = pa.schema(
     [
         ("ord", pa.int32()),
@@ -110,20 +113,38 @@ def _count_cells(df: DataFrame, stats: list[dict]) -> None:
     got = df.selectExpr(*aggregates).first()
     for i, s in enumerate(stats):
         two_values = s["min"] < s["max"] and got[f"lo{i}"] + got[f"hi{i}"] == s["filled"]
+        large = s["kind"] == "integer" and max(abs(s["min"]), abs(s["max"])) >= EXACT_INTEGER
+        ends = _large_ends(df, s) if large and got[f"lo{i}"] + got[f"hi{i}"] >= s["filled"] else None
+        if large:
+            two_values = ends is not None
         declared = s["semantic_type"] == "binary"
         flag = {s["min"], s["max"]} <= {0.0, 1.0} and (two_values or s["min"] == s["max"])
         s["binary"] = two_values and (declared or flag)
         s["out_of_bounds"] = got[f"oob{i}"]
         plain = not declared and not flag and s["semantic_type"] != "categorical"
         s["outliers"] = got[f"z{i}"] if plain else 0
-        if two_values:
-            low_is_rarer = got[f"lo{i}"] <= got[f"hi{i}"]
-            value = s["min"] if low_is_rarer else s["max"]
-            s["minority_n"] = min(got[f"lo{i}"], got[f"hi{i}"])
+        if ends:
+            s |= ends
+        elif two_values:
+            value, s["minority_n"] = (
+                (s["min"], got[f"lo{i}"]) if got[f"lo{i}"] <= got[f"hi{i}"] else (s["max"], got[f"hi{i}"])
+            )
             s["minority_value"] = str(int(value)) if s["kind"] == "integer" else str(value)
             s["classes_n"] = s["filled"]
 
 
+def _large_ends(df: DataFrame, s: dict) -> dict | None:
+    """Ends of an integer column that doubles may confuse, with their cells: the rarer
+    one where no other value exists, else None."""
+    cell = present(s["column"], s["kind"])
+    low, high = df.selectExpr(f"min({cell})", f"max({cell})").first()
+    cells = df.selectExpr(*[f"count_if({cell} = CAST('{v}' AS {s['dtype']}))" for v in (low, high)]).first()
+    if low == high or sum(cells) != s["filled"]:
+        return None
+    value, n = (low, cells[0]) if cells[0] <= cells[1] else (high, cells[1])
+    return {"minority_value": str(value), "minority_n": n, "classes_n": s["filled"]}
+
+
 def _class_counts(df: DataFrame, column: str) -> dict:
     """Smallest class of a target of any type; counted after a partial aggregate."""
     cell = present(column, kinds(df)[column])

@@ -1,8 +1,9 @@
-"""Distinct values and their counts, for all asked columns in one shuffle.
+"""Distinct values and their counts.
 
-Rows are turned long, (column, value), and counted with a partial aggregate
-before the shuffle, so a value that fills a third of the table crosses the
-network once per map task.
+Values are counted with a partial aggregate before the shuffle, so a value that
+fills a third of the table crosses the network once per map task.  Where the values
+themselves are wanted, rows are turned long, (column, value), as text; where only
+their number is, each column is grouped in its own type.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ FEW_VALUES = 5_000
 LONG_TEXT = 32
 
 
-def _long(df: DataFrame, columns: list[str], key) -> DataFrame:
+def _long(df: DataFrame, columns: list[str]) -> DataFrame:
     """(ord, value, num) per non-null cell; ``num`` orders numbers by size.
 
     Wide tables are read in groups of columns, each scan reading its own only."""
@@ -30,10 +31,10 @@ def _long(df: DataFrame, columns: list[str], key) -> DataFrame:
         columns[i : i + colstats.COLUMNS_PER_SCAN]
         for i in range(0, len(columns), colstats.COLUMNS_PER_SCAN)
     ]
-    return reduce(DataFrame.unionAll, [_long_group(df, group, key) for group in groups])
+    return reduce(DataFrame.unionAll, [_long_group(df, group) for group in groups])
 
 
-def _long_group(df: DataFrame, columns: list[str], key) -> DataFrame:
+def _long_group(df: DataFrame, columns: list[str]) -> DataFrame:
     kind = kinds(df)
     cells = []
     for name in columns:
@@ -41,38 +42,20 @@ def _long_group(df: DataFrame, columns: list[str], key) -> DataFrame:
         size = measure(name, k) if is_numeric(k) else "CAST(NULL AS DOUBLE)"
         cells.append(
             f"named_struct('ord', {df.columns.index(name)}, "
-            f"'value', {key(present(name, k), df.schema[name].dataType)}, 'num', {size})"
+            f"'value', CAST({present(name, k)} AS STRING), 'num', {size})"
         )
     return df.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
 
 
-def _as_text(cell: str, _dtype: T.DataType) -> str:
-    return f"CAST({cell} AS STRING)"
-
-
-# the largest integer below which every integer is a double
-_EXACT = 2**53
-
-
-def _as_key(cell: str, dtype: T.DataType) -> str:
-    """Text that tells values apart, cheaply and in bounded length: none for numbers
-    that the double beside it holds exactly, a count of microseconds or days for
-    times, a digest for long strings."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.ByteType, T.ShortType, T.IntegerType)):
-        return f"CASE WHEN {cell} IS NOT NULL THEN '' END"
-    if isinstance(dtype, T.LongType):
-        return f"CASE WHEN {cell} BETWEEN -{_EXACT} AND {_EXACT} THEN '' ELSE CAST({cell} AS STRING) END"
+def _key(cell: str, dtype: T.DataType) -> str:
+    """The cell in its own type; a long string by its digest, so that texts don't
+    cross the network to be told apart."""
     if isinstance(dtype, T.StringType):
         digest = f"concat('#md5:', md5({cell}))"
         return f"CASE WHEN length({cell}) <= {LONG_TEXT} THEN {cell} ELSE {digest} END"
-    if isinstance(dtype, T.TimestampNTZType):
-        start = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-        return f"CAST(timestampdiff(MICROSECOND, {start}, {cell}) AS STRING)"
-    if isinstance(dtype, T.TimestampType):
-        return f"CAST(unix_micros({cell}) AS STRING)"
-    if isinstance(dtype, T.DateType):
-        return f"CAST(unix_date({cell}) AS STRING)"
-    return _as_text(cell, dtype)
+    if isinstance(dtype, T.VariantType):  # can't be grouped
+        return f"CAST({cell} AS STRING)"
+    return cell
 
 
 def _named(df: DataFrame, counted: DataFrame) -> DataFrame:
@@ -85,7 +68,7 @@ def _named(df: DataFrame, counted: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """prof_value_counts: (ord, column, value, num, n) over non-null cells."""
     names = columns if columns is not None else countable(df)
-    counted = _long(df, names, _as_text).groupBy("ord", "value", "num").agg(F.expr("count(1) AS n"))
+    counted = _long(df, names).groupBy("ord", "value", "num").agg(F.expr("count(1) AS n"))
     return _named(df, counted)
 
 
@@ -94,13 +77,20 @@ def countable(df: DataFrame) -> list[str]:
 
 
 def unique_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(ord, n_unique, filled) of the columns that have values."""
-    distinct = (
-        _long(df, columns, _as_key).groupBy("ord", "value", "num").agg(F.expr("count(1) AS n"))
-    )
-    return distinct.groupBy("ord").agg(
-        F.expr("count(1) AS n_unique"), F.expr("sum(n) AS filled")
-    )
+    """(ord, n_unique, filled) of the columns that have values.
+
+    Each column is grouped in its own type by a scan that reads it alone; the
+    columns then share one job."""
+    kind = kinds(df)
+    parts = []
+    for name in columns:
+        cell = _key(present(name, kind[name]), df.schema[name].dataType)
+        cells = df.selectExpr(f"{cell} AS value").where("value IS NOT NULL")
+        sizes = cells.groupBy("value").agg(F.expr("count(1) AS n")).agg(
+            F.expr("count(1) AS n_unique"), F.expr("sum(n) AS filled")
+        )
+        parts.append(sizes.selectExpr(f"{df.columns.index(name)} AS ord", "n_unique", "filled"))
+    return reduce(DataFrame.unionAll, parts).where("n_unique > 0")
 
 
 def unique_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

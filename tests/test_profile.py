@@ -129,6 +129,23 @@ def test_unique_counts_of_long_texts_and_empty_columns(spark):
     assert got == {"t": (7, 40), "e": (0, 0)}
 
 
+@pytest.mark.parametrize("values_, classes", [([2**53, 2**53 + 1], 2), ([2**53, 2**53 + 1, 2**53 + 2], 3)])
+def test_integers_that_share_a_double_stay_apart(spark, values_, classes):
+    cells = [values_[0]] * 40 + [v for v in values_[1:] for _ in range(3)]
+    df = frame(spark, (cells, [0.5] * len(cells)), "code bigint, x double")
+    assert values.unique_counts(df).first()["n_unique"] == classes
+    row = profile(df, TableSpec({"code": ColumnSpec(semantic_type="binary")})).first()
+    assert row["binary"] == (classes == 2)
+    if classes == 2:
+        assert (row["minority_value"], row["minority_n"], row["classes_n"]) == (str(2**53 + 1), 3, 43)
+
+
+def test_distinct_counts_by_type(spark):
+    rows = "VALUES (1.50, date'2020-01-01', X'00', true, -0.0D), (1.50, date'2020-01-02', X'01', NULL, 0.0D)"
+    df = spark.sql(f"SELECT * FROM {rows} AS t(d, day, b, flag, z)")
+    assert [r["n_unique"] for r in values.unique_counts(df).orderBy("ord").collect()] == [1, 2, 2, 1, 1]
+
+
 def test_wide_tables_are_scanned_in_groups(spark, monkeypatch):
     monkeypatch.setattr(colstats, "COLUMNS_PER_SCAN", 3)
     df = spark.range(10).selectExpr(*[f"id + {i} AS c{i}" for i in range(8)])
