@@ -108,7 +108,7 @@ def plan(
     override: str | dict | None = None,
     advice: str = "",
     seed: int = fixed.DEFAULT_SEED,
-    exact: bool = False,
+    exact: bool = True,
     run_id: str | None = None,
     source: str | None = None,
 ) -> Plan:
