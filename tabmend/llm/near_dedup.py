@@ -9,9 +9,10 @@ darts, not on elements times coordinates.  Equal minima are as likely as the set
 Copies with equal shingles become one representative.  Coordinates are joined in bands, and members of a
 band's bucket are compared with its most central member.  Where a bucket still holds several classes,
 its members are dealt anew into finer buckets, each of three bands that must all agree, and compared with
-a member picked by hash; texts at 0.8 share some ten of these, which hold few others.  So the
-comparisons grow with the members of a bucket, not with its pairs.  They are made on all shingles.
-Classes are the connected components of the links found.
+a member picked by hash; this merges most of what belongs together.  Texts whose buckets are mixed even
+then are joined exactly: two sets at the wanted similarity share one of their rarest shingles at
+positions that leave room for the overlap needed, so texts that have only boilerplate in common don't meet.
+Comparisons are made on all shingles.  Classes are the connected components of the links found.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LOW_CELL = -6  # ranks below 2**LOW_CELL are one cell
 ROUNDS = 100
 #: Finer buckets of a text: each of three bands, spread evenly by a fixed rule.
 TRIPLES = 300
+#: Cells in which shingles are counted to order them by rarity; two that share a cell cost time only.
+CELLS = 1 << 18
 
 U = np.uint64
 
@@ -221,6 +224,13 @@ def components(nodes: DataFrame, edges: DataFrame, space: Workspace) -> DataFram
     return full_.select("id", F.coalesce("comp", "id").alias("comp"))
 
 
+def _mixed(spots: DataFrame, comp: DataFrame, space: Workspace) -> DataFrame:
+    """(m_, comp): the members of buckets that hold several classes."""
+    placed = space.stored(spots.select("key", "rep").join(comp, F.col("rep") == F.col("id")).drop("id"), "placed")
+    mixed = placed.groupBy(F.col("key").alias("k_")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    return placed.join(mixed.select("k_"), F.col("key") == F.col("k_")).select(F.col("rep").alias("m_"), "comp").distinct()
+
+
 def triples(bands: int, count: int) -> list[tuple[int, int, int]]:
     """``count`` different threes of bands (fewer if there are no more), by steps of a fixed generator."""
     found: dict[tuple[int, ...], None] = {}
@@ -235,6 +245,72 @@ def triples(bands: int, count: int) -> list[tuple[int, int, int]]:
     return list(found)
 
 
+def _tokens(column: pa.Array, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, element) of a batch, each copy by itself where copies count, and the size of each text."""
+    owner, element, times = shingles(*_codes(column))
+    if weights == "count":
+        number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        owner, element = np.repeat(owner, times), np.repeat(element, times) + number.astype(np.uint64) * U(0x9E3779B97F4A7C15)
+    return owner, _mix(element), np.bincount(owner, minlength=len(column))
+
+
+def prefixes(texts: DataFrame, similarity: float, weights: str) -> DataFrame:
+    """(id, comp, n, token, pos): the rarest elements of each text (id, comp, codes), counted from 0.
+
+    Any total order of elements makes the join whole; counts of all texts in cells make it short."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                token = _tokens(batch.slice(at, 256).column(2), weights)[1]
+                cells += np.bincount((token % U(CELLS)).astype(np.int64), minlength=CELLS)
+        some = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], names=["cell", "n"])
+
+    counted = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(CELLS, np.int64)
+    often[np.asarray(counted["cell"])] = np.asarray(counted["n"])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                owner, token, size = _tokens(part.column(2), weights)
+                order = np.lexsort((token, often[(token % U(CELLS)).astype(np.int64)], owner))
+                owner, token = owner[order], token[order]
+                pos = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+                here = np.flatnonzero(pos <= size[owner] * (1 - similarity) + 1e-9)
+                which = pa.array(owner[here])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(which), part.column(1).take(which), pa.array(size[owner[here]]),
+                     pa.array(token[here].view(np.int64)), pa.array(pos[here])],
+                    names=["id", "comp", "n", "token", "pos"],
+                )
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(rarest, f"id {kind}, comp {kind}, n long, token long, pos long")
+
+
+def possible(texts: DataFrame, similarity: float, weights: str, space: Workspace) -> DataFrame:
+    """The pairs (a, b) of texts (id, comp, codes) of different classes that can be similar enough.
+
+    No such pair is missed.  The first element that two sets have in common, x and y places from their
+    ends, leaves an overlap of at most the smaller of x and y."""
+    all_ = space.stored(prefixes(texts, similarity, weights), "prefixes")
+    share = similarity / (1 + similarity)
+    short = all_.filter(F.col("pos") <= F.col("n") * (1 - 2 * share) + 1e-9)
+    short = short.select(*[F.col(c).alias(f"{c}_") for c in short.columns])
+    met = short.join(
+        all_,
+        (F.col("token_") == F.col("token")) & (F.col("comp_") != F.col("comp"))
+        & ((F.col("n_") < F.col("n")) | (F.col("n_") == F.col("n")) & (F.col("id_") < F.col("id")))
+        & (F.col("n_") >= similarity * F.col("n") - 1e-9)
+        & (F.least(F.col("n_") - F.col("pos_"), F.col("n") - F.col("pos")) >= share * (F.col("n_") + F.col("n")) - 1e-9),
+    )
+    return met.select(F.greatest("id_", "id").alias("a"), F.least("id_", "id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -271,10 +347,8 @@ def near_duplicates(
     links = space.stored(similar(pairs, known, id_col, text_col, similarity, weights).distinct(), "links")
     nodes = reps.select(F.col("rep").alias("id"))
     comp = space.stored(components(spots.select(F.col("rep").alias("id")).distinct(), links, space), "classes")
-    # buckets that still hold several classes: all members of the smaller ones meet all others
-    placed = space.stored(spots.select("key", "rep").join(comp, F.col("rep") == F.col("id")).drop("id"), "placed")
-    mixed = placed.groupBy(F.col("key").alias("k_")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    mixed = placed.join(mixed.select("k_"), F.col("key") == F.col("k_")).select(F.col("rep").alias("m_"), "comp").distinct()
+    # buckets that still hold several classes: members meet one of each finer bucket
+    mixed = _mixed(spots, comp, space)
     fine = F.array(*[
         F.struct(*[F.lit(i).alias(c) for c, i in zip("abc", three, strict=True)]) for three in triples(bands, TRIPLES)
     ])
@@ -294,7 +368,19 @@ def near_duplicates(
     more = space.stored(more.join(done, ["a", "b"], "left_anti"), "pairs")
     new = similar(more, known, id_col, text_col, similarity, weights)
     links = space.stored(links.unionByName(new).distinct(), "links")
-    comp = components(nodes, links, space).withColumnRenamed("id", "r_")
+    comp = space.stored(components(nodes, links, space), "classes")
+    # texts of buckets that are mixed even then: all pairs that can be similar enough
+    mixed = space.stored(_mixed(spots, comp, space), "mixed")
+    if not mixed.isEmpty():
+        texts = known.select(named(id_col).alias("id"), full(named(text_col)).alias("t"))
+        texts = texts.join(mixed, F.col("id") == F.col("m_")).select("id", "comp", _word_codes(F.col("t")).alias("codes"))
+        last = possible(texts, similarity, weights, space)
+        last = last.join(done, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti")
+        last = space.stored(last, "pairs")
+        new = similar(last, known, id_col, text_col, similarity, weights)
+        links = space.stored(links.unionByName(new).distinct(), "links")
+        comp = components(nodes, links, space)
+    comp = comp.withColumnRenamed("id", "r_")
     told = reps.select("same1", "same2", "rep").join(comp, F.col("rep") == F.col("r_")).select(
         F.col("same1").alias("s1"), F.col("same2").alias("s2"), "comp"
     )

@@ -289,6 +289,26 @@ def test_near(spark):
     assert got == {i: root(i) for i in sets}
 
 
+@pytest.mark.parametrize("weights", ["set", "count"])
+def test_near_in_boilerplate(spark, weights):
+    """A family held together by boilerplate at 0.75 hides no pair at 0.8 to 0.85."""
+    r = random.Random(12)
+    base = words(77, 300).split()
+    own = lambda n: [f"w{r.getrandbits(60)}" for _ in range(n)]
+    rows = [(i, base + own(45)) for i in range(2000)]
+    for i in range(0, 400, 2):
+        mine = rows[i][1][300:]
+        rows[i + 1] = (i + 1, base + mine[: r.randint(14, 22)] + own(25))
+    sets = {i: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in rows}
+    assert all(max(c.values()) == 1 for c in sets.values())
+    alike = lambda a, b: len(sets[a].keys() & sets[b].keys()) / len(sets[a].keys() | sets[b].keys())
+    assert 0.7 < alike(1000, 1001) < 0.8
+    want = {i: i for i, _ in rows} | {i + 1: i for i in range(0, 400, 2) if alike(i, i + 1) >= 0.8}
+    assert sum(i != c for i, c in want.items()) > 100
+    got = {g.doc_id: g.class_id for g in near_duplicates(docs(spark, [(i, " ".join(w), "a") for i, w in rows]), weights=weights).collect()}
+    assert got == want
+
+
 # 7
 
 
