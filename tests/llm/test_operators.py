@@ -190,6 +190,26 @@ def test_extract(spark):
     assert sorted(r.text for r in extract_text(df).collect())[0] == ""
 
 
+def test_extract_weighs_articles():
+    """Surges decide on every page; article and main elements only weigh."""
+    body = [words(i, 40) for i in range(5)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in body)
+    text = "\n".join(body)
+    cards = "".join(f'<article><h3><a href={i}>{words(20 + i, 6)}</a></h3><p>{words(30 + i, 12)}</p></article>' for i in range(4))
+    assert main_text(f"<div>{paragraphs}</div><div>{cards}</div>") == text
+    assert main_text(f"<main><div>{paragraphs}</div>{cards}</main>") == text
+    comments = "".join(f'<article class="comment"><p>{words(40 + i, 50)}</p></article>' for i in range(3))
+    assert main_text(f"<article>{paragraphs}</article><div>{comments}</div>") == text
+    teasers = "".join(f'<article class="news-teaser"><p>{words(50 + i, 50)}</p></article>' for i in range(3))
+    assert main_text(f"<article class='post'>{paragraphs}</article>{teasers}") == text
+    assert main_text(f"<article>{paragraphs}</article><div><p>{words(60, 8)}</p></div>") == text
+    short = f"<article>{paragraphs}<aside>{words(61, 9)}</aside><p>Anna</p></article>"
+    assert main_text(short) == text + "\nAnna"
+    plain = f"<p>{body[0]}</p><p><a href=1>more</a></p><p>Short.</p><p><a href=2>more</a></p><p>{body[1]}</p>"
+    assert main_text(plain) == f"{body[0]}\nShort.\n{body[1]}"
+    assert main_text(f"<main><h1>Head</h1><article>{paragraphs}</article><p>By Anna</p></main><p>x</p>") == f"Head\n{text}\nBy Anna"
+
+
 # 5
 
 
