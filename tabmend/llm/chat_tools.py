@@ -233,15 +233,17 @@ def format_chat(
         F.lit("result").alias("kind"), "call_id", F.lit(True).alias("linked"), F.lit("").alias("problems"),
         F.col("r_.content").alias("content"),
     ).withColumn("json", answer).drop("content")
-    taken = calls.filter(F.col("r_").isNotNull()).select(
+    # equal rows are counted, and as many copies as were linked are no longer lost
+    taken = calls.filter(F.col("r_").isNotNull()).groupBy(
         F.col("conv").alias("c_"), F.col("call_id").alias("i_"), F.col("r_.turn").alias("t_"), F.col("r_.content").alias("x_")
-    )
-    lost = results.join(
+    ).agg(F.count(F.lit(1)).alias("linked_"))
+    lost = results.groupBy("conv", "turn", "call_id", "content").agg(F.count(F.lit(1)).alias("copies_")).join(
         taken,
         F.col("conv").eqNullSafe(F.col("c_")) & (F.col("call_id") == F.col("i_")) & F.col("turn").eqNullSafe(F.col("t_"))
         & (F.col("content") == F.col("x_")),
-        "left_anti",
-    )
+        "left",
+    ).withColumn("over_", F.col("copies_") - F.coalesce("linked_", F.lit(0)))
+    lost = lost.filter("over_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), "over_")))
     lost = lost.select(
         "conv", F.col("turn").alias("at_turn"), zero.alias("level"), zero.alias("number"), F.lit(2).alias("step"),
         F.lit("result").alias("kind"), "call_id", F.lit(False).alias("linked"), F.lit("no call for it").alias("problems"),

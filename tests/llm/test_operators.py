@@ -241,6 +241,19 @@ def test_chat(spark):
     assert format_chat(df.limit(0), schemas).count() == 0
 
 
+def test_chat_repeats(spark):
+    """Equal result rows: as many as there are calls are linked, the others stay as unlinked events."""
+    schemas = spark.createDataFrame([], "name string, param string, type string, required boolean, most double")
+    ask = '{"content":"go","tool_calls":[{"id":"1","name":"f","arguments":"{}"}]}'
+    tell = '{"tool_call_id":"1","content":"yes"}'
+    rows = [(c, 1, "assistant", ask) for c in (1, None, 3, 3)] + [(c, 2, "tool", tell) for c in (1, 1, None, None, None, 3, 3, 4, 4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = format_chat(df, schemas).filter("kind = 'result'").collect()
+    want = {(1, True): 1, (1, False): 1, (None, True): 1, (None, False): 2, (3, True): 2, (4, False): 2}
+    assert Counter((g.conv_id, g.linked) for g in got) == want
+    assert {g.at_turn for g in got if not g.linked} == {2} and {g.json for g in got} == {'{"content":"yes","role":"tool","tool_call_id":"1"}'}
+
+
 def test_chat_order(spark):
     """Places against the rule, told call by call; a long chain is neither cut nor called a cycle."""
     r = random.Random(11)
