@@ -459,3 +459,17 @@ def test_pipeline(spark):
         assert kept.columns == d.columns, name
         assert kept.select("doc_id").subtract(d.select("doc_id")).isEmpty()
     assert corpus_pipeline.run(spark, sf).agg(F.sum("taken")).first()[0] > 0
+
+
+def test_pipeline_near_copies(spark):
+    """Rows that share an id are judged by their texts, whatever their order."""
+    import corpus_pipeline
+
+    one, two = words(1, 100), words(2, 100)
+    rows = [(1, one, "a"), (1, two, "a"), (2, two + " end", "a"), (3, words(3, 60), "b"), (3, words(3, 60), "a"), (4, words(4, 60), "a")]
+    rows += [(5, one + " end", "a"), (5, words(5, 60), "a"), (None, one, "a"), (None, one, "a"), (6, None, "a"), (6, "", "a")]
+    want = Counter([(1, one, "a"), (1, two, "a"), (3, words(3, 60), "a"), (4, words(4, 60), "a"), (5, words(5, 60), "a"), (None, one, "a"), (None, one, "a")])
+    for given in (rows, rows[::-1]):
+        got = corpus_pipeline.near_copies(spark, docs(spark, given), "").collect()
+        assert Counter((g.doc_id, g.text, g.source) for g in got if g.doc_id != 6) == want
+        assert sum(g.doc_id == 6 for g in got) == 1
