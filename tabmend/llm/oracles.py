@@ -139,4 +139,99 @@ SELECT conv_id, turn, 0, 0, 2, 'result', call_id, false, 'no call for it',
 FROM lost
 """
 
+OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(LOWERED, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+        FROM documents) GROUP BY ALL),
+bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 | (unicode(x) >> 6), 128 | (unicode(x) & 63)]::BIGINT[] END)) AS b
+  FROM runs),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, b),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) AS h FROM bytes, crc),
+vocab AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word
+        FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM vocab)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word < b.word
+  UNION SELECT c.word, v.word FROM cut c JOIN vocab v ON v.word = c.rest),
+near AS (SELECT a AS word, b AS other FROM pairs UNION SELECT b, a FROM pairs),
+most AS (
+  SELECT v.word, v.n, count(o.word) AS n_near, max(o.n) AS m
+  FROM vocab v LEFT JOIN near USING (word) LEFT JOIN vocab o ON o.word = near.other GROUP BY v.word, v.n),
+told AS (
+  SELECT s.word, s.n, s.n_near, CASE WHEN s.m >= 2 * s.n THEN s.m END AS form_n,
+    CASE WHEN s.m >= 2 * s.n THEN (SELECT min(o.word) FROM near JOIN vocab o ON o.word = near.other WHERE near.word = s.word AND o.n = s.m) END AS form
+  FROM most s),
+way AS (
+  SELECT word, word AS at_ FROM told
+  UNION ALL SELECT way.word, told.form FROM way JOIN told ON told.word = way.at_ WHERE told.form IS NOT NULL)
+SELECT told.word, told.form, way.at_ AS root, told.n, told.n_near, told.form_n
+FROM told JOIN way USING (word) JOIN told e ON e.word = way.at_ WHERE e.form IS NULL
+""".replace("LOWERED", LOWER.format("coalesce(text, '')"))
+
+
+def op12(rounds: int = 10) -> str:
+    """Every round spelled out: the nearest centroid, then floors of means."""
+    apart = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+    nearest = f"""SELECT rid, arg_min(k, (d, k)) AS k, min(d) AS d
+  FROM (SELECT rid, k, {apart} AS d FROM vec, c{{0}}) GROUP BY rid"""
+    sql = """
+WITH vec AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c
+  FROM (SELECT v, sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h FROM vec ORDER BY h, v LIMIT 8)),"""
+    for r in range(rounds):
+        sql += f"""
+a{r} AS MATERIALIZED ({nearest.format(r)}),
+s{r} AS (
+  SELECT k, i, sum(x) AS s, count(*) AS n
+  FROM (SELECT k, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r} JOIN vec USING (rid)) GROUP BY k, i),
+c{r + 1} AS MATERIALIZED (
+  SELECT k, coalesce(m, c) AS c
+  FROM c{r} LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM s{r} GROUP BY k) USING (k)),"""
+    return sql + f"""
+z AS MATERIALIZED ({nearest.format(rounds)})
+SELECT vec_id, k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM z JOIN vec USING (rid) JOIN c{rounds} USING (k)
+"""
+
+
+OP13 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, LOWERED AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+c AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN
+    regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '\.?(:(80|443)?)?$', ''), '^www\.', '')
+    || regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '')
+    || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS canon
+  FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+          lambda x: x <> '' AND NOT regexp_full_match(x, '(?s)(utm_[^=]*|gclid|fbclid|ref)(=.*)?'))) AS query FROM p)),
+listed AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)')),
+r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS r(at_, start, says)),
+fit AS (
+  SELECT page_id, host, path, arg_max(at_ || start, length(at_ || start)) AS rule, arg_max(says, length(at_ || start)) AS says
+  FROM (SELECT DISTINCT page_id, host, path FROM c) JOIN r ON ends_with('.' || host, '.' || at_) AND starts_with(path, start)
+  GROUP BY ALL)
+SELECT c.page_id, c.host, c.path, fit.rule, coalesce(fit.says, CASE WHEN l.canon IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+  l.canon IS NOT NULL AS listed
+FROM c LEFT JOIN fit ON fit.page_id IS NOT DISTINCT FROM c.page_id AND fit.host = c.host AND fit.path = c.path
+  LEFT JOIN listed l ON l.canon = c.canon
+""".replace("LOWERED", LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')"))
+
 ORACLES = {"op5_chat_tools": OP5, "op8_warc": OP8, "op7_quality_rules": OP7, "op9_line_dedup": OP9, "op10_decontaminate": OP10}
+ORACLES |= {"op11_spelling": OP11, "op12_clusters": op12(), "op13_url_filter": OP13}

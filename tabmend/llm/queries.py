@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabmend.llm.centroids import cluster_vectors
 from tabmend.llm.chat_tools import format_chat
 from tabmend.llm.common import Workspace, full, table
 from tabmend.llm.decontaminate import decontaminate
@@ -14,7 +15,9 @@ from tabmend.llm.mixing import mix_sources
 from tabmend.llm.near_dedup import near_duplicates
 from tabmend.llm.quality_model import score_quality
 from tabmend.llm.quality_rules import quality_rules
+from tabmend.llm.spelling import spelling_groups
 from tabmend.llm.substring_dedup import dedup_substrings
+from tabmend.llm.url_filter import filter_urls, host_path
 from tabmend.llm.warc import read_warc, resolved, write_warc
 
 
@@ -108,6 +111,38 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    digits = F.transform("centroid", lambda x: x.cast("string"))
+    return told.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(digits, ","), 256).alias("centroid_sha256"),
+    )
+
+
+#: Rules of the query: host, start of the path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+#: Labels of hosts whose pages make up the list of the query.
+JUNK_HOSTS = r"(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the addresses of all pages of junk hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.filter(host_path(F.col("url"))[0].rlike(JUNK_HOSTS))
+    return filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -119,4 +154,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_spelling": op11_spelling,
+    "op12_clusters": op12_clusters,
+    "op13_url_filter": op13_url_filter,
 }
