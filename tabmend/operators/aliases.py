@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tabmend.functions import fixed
 from tabmend.functions.text import alias_key, initials, is_title, strip, words
 from tabmend.operators.values import value_counts
+from tabmend.session import Scratch
 
 
 def alias_sample(counts: DataFrame, size: int = fixed.ALIAS_SAMPLE) -> DataFrame:
@@ -47,7 +48,8 @@ def acronym_aliases(values: DataFrame) -> DataFrame:
     with the initials and an underscore; that makes every match an equality on
     one of three keys of the alias.  Values with other spellings take no part,
     an alias belongs to the smallest canonical that matches it, and a value
-    claimed by a smaller canonical claims nothing itself."""
+    claimed by a smaller canonical claims nothing itself.  The claims are settled
+    in rounds, each stored; what is returned reads the last one."""
     free = (
         spelling_groups(values)
         .where((F.col("key") == "") | (F.col("spellings") == 1))
@@ -58,45 +60,59 @@ def acronym_aliases(values: DataFrame) -> DataFrame:
             (F.size(words(F.col("value"))) > 1).alias("several"),
         )
     )
-    keys = free.selectExpr(
+    keyed = free.selectExpr(
         "column",
-        "value AS alias",
+        "value AS name",
         "several",
-        """inline(array(
-             named_struct('key', upper, 'least', 1),
-             named_struct('key', left(upper, length(upper) - 1), 'least', 2),
-             named_struct('key', CASE WHEN instr(upper, '_') > 1
-                                      THEN substring_index(upper, '_', 1) END, 'least', 1)))""",
-    ).where("key IS NOT NULL AND key <> '' AND length(key) >= least")
-    names = free.where("several").select(
-        "column", F.col("value").alias("canonical"), initials(F.col("value")).alias("key")
-    )
-    edges = keys.join(names.hint("merge"), ["column", "key"]).where("alias <> canonical")
-    return _claim(edges.select("column", "alias", "several", "canonical"))
-
-
-def _claim(edges: DataFrame) -> DataFrame:
-    """Give each alias to its smallest active canonical.
-
-    A canonical is inactive once a smaller, active one claims it.  That is
-    decided in ascending order over the few canonicals that are aliases too."""
-    chains = (
-        edges.where("several AND canonical < alias")
-        .groupBy("column")
-        .agg(F.expr("sort_array(collect_set(struct(alias AS name, canonical AS by))) AS chain"))
-    )
-    inactive = chains.selectExpr(
-        "column",
-        """aggregate(chain, CAST(array() AS array<string>), (lost, c) ->
-             CASE WHEN array_contains(lost, c.by) THEN lost
-                  ELSE array_union(lost, array(c.name)) END) AS inactive""",
-    )
-    return (
-        edges.join(inactive.hint("merge"), "column", "left")
-        .where("NOT coalesce(array_contains(inactive, canonical), false)")
-        .groupBy("column", "alias")
-        .agg(F.min("canonical").alias("canonical"))
+        """array_distinct(filter(array(
+             upper,
+             CASE WHEN length(upper) > 1 THEN left(upper, length(upper) - 1) END,
+             CASE WHEN instr(upper, '_') > 1 THEN substring_index(upper, '_', 1) END),
+             k -> k <> '')) AS keys""",
+    ).withColumn("short", F.when(F.col("several"), initials(F.col("name"))))
+    scratch = Scratch(values.sparkSession)
+    keyed = scratch.stored(keyed.drop("several"), "keyed")
+    active = _active(keyed.where("short <> ''"), scratch)
+    return _smallest_other(keyed, active)
+
+
+def _active(names: DataFrame, scratch: Scratch) -> DataFrame:
+    """(column, name, short): the names that claim, by a fixed point over rounds.
+
+    A name is lost once a smaller active one has initials among its keys.  Of the names with one key
+    only the smallest that is not lost, and the smallest that is active, can decide, so a round groups the
+    names by key and looks up two names for each key of a name: nothing grows with the pairs.  A
+    round settles every name whose smaller claimants are settled, the smallest at least."""
+    state = names.select("column", "name", "short", "keys", F.lit(None).cast("boolean").alias("active"))
+    while True:
+        claims = state.where("coalesce(active, true)").groupBy("column", F.col("short").alias("key")).agg(
+            F.min("name").alias("alive"), F.min(F.when(F.col("active"), F.col("name"))).alias("sure")
+        )
+        asked = state.where("active IS NULL").select("column", "name", F.explode("keys").alias("key"))
+        told = asked.join(claims.hint("merge"), ["column", "key"]).groupBy("column", "name").agg(
+            F.bool_or(F.coalesce(F.col("sure") < F.col("name"), F.lit(False))).alias("lost"),
+            F.bool_or(F.col("alive") < F.col("name")).alias("waits"),
+        )
+        verdict = F.expr("CASE WHEN active IS NOT NULL THEN active WHEN lost THEN false WHEN NOT coalesce(waits, false) THEN true END")
+        state = state.join(told.hint("merge"), ["column", "name"], "left").select(
+            "column", "name", "short", "keys", verdict.alias("active")
+        )
+        state = scratch.stored(state, "claims")
+        if state.where("active IS NULL").isEmpty():
+            return state.where("active").select("column", "name", "short")
+
+
+def _smallest_other(keyed: DataFrame, active: DataFrame) -> DataFrame:
+    """Each name with a claimant of its keys: the smallest other than itself."""
+    by_key = active.groupBy("column", F.col("short").alias("key")).agg(F.min("name").alias("one"))
+    rest = active.withColumnRenamed("short", "key").join(by_key.hint("merge"), ["column", "key"]).where("name <> one")
+    two = rest.groupBy("column", "key").agg(F.min("name").alias("two"))
+    claims = by_key.join(two.hint("merge"), ["column", "key"], "left")
+    asked = keyed.select("column", F.col("name").alias("alias"), F.explode("keys").alias("key"))
+    met = asked.join(claims.hint("merge"), ["column", "key"]).select(
+        "column", "alias", F.when(F.col("one") == F.col("alias"), F.col("two")).otherwise(F.col("one")).alias("by")
     )
+    return met.where("by IS NOT NULL").groupBy("column", "alias").agg(F.min("by").alias("canonical"))
 
 
 def detect_aliases(df: DataFrame, columns: list[str]) -> dict[str, dict[str, str]]:

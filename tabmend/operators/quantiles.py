@@ -2,18 +2,20 @@
 
 Spark's ``percentile`` keeps every distinct value of a column in one reducer.
 That is the fastest way for small tables: one fused aggregate.  Beyond that the
-distinct values are counted in one grouped aggregate, a value that fills a third
-of the table being one row, and the order statistics are read off a running sum.
-Where a column may hold too many values for one task's running sum, the search is
-narrowed first:
-
-1. a KLL sketch per partition group, merged, proposes a value range around the
-   wanted ranks;
-2. an exact count of the cells below and inside the range confirms it, or the
-   range before it stays;
-3. until the range holds few enough distinct values.
-
-Sketch errors can only cost another round, never change the answer.
+order statistics are distributed:
+
+1. distinct values are counted in one grouped aggregate, a value that fills a third
+   of the table being one row;
+2. the counted values are dealt by value into ranges whose cut points Spark samples, and
+   stored with the number of their range;
+3. the totals of the ranges, a row for each, give by prefix sums the one range that
+   holds a rank, and how many cells come before it;
+4. only that range is read again, and the rank is found by a running sum inside it.
+
+No task ever sees more than a range, whatever the size of the column.  Where a column
+is long, a KLL sketch first proposes the values around the wanted ranks, and an exact count
+confirms them, so that little is stored; a sketch that is wrong costs space, never
+the answer.
 """
 
 from __future__ import annotations
@@ -24,20 +26,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tabmend.functions.kinds import number
+from tabmend.session import Scratch
 
 # Cells one fused ``percentile`` job may keep, over all its columns.
 DIRECT_CELLS = 200_000
-# Distinct values a range may hold when its values are counted and ranked; also the
-# number of rows one task of the running sum may get.
-RANGE_VALUES = 1_000_000
+# Cells that a range of values holds at most, about; longer columns are narrowed first.
+RANGE_VALUES = 100_000
 # Columns searched together in the same scans.
 COLUMNS_PER_SEARCH = 32
 SKETCH_K = 1000
 SKETCH_PAD = 0.01
 SKETCH_GROUPS = 256
-# A round leaves about 2% of the cells; this is never reached in practice and
-# only bounds the search for an answer that stays exact either way.
-MAX_ROUNDS = 12
 
 
 @dataclass
@@ -51,7 +50,6 @@ class _Search:
     high: float
     below: int
     inside: int
-    distinct: int
 
     @property
     def first(self) -> int:
@@ -120,17 +118,15 @@ def _direct(df, values, probs, names) -> dict[str, dict[float, float]]:
 def _narrowed(df, values, probs, cells, keep) -> dict[str, dict[float, float]]:
     x = {n: f"CAST({v} AS DOUBLE)" for n, v in values.items()}
     everything = (-math.inf, math.inf)
-    searches = [_Search(n, p, cells[n], *everything, 0, cells[n], cells[n]) for n in x for p in probs]
-    for _ in range(MAX_ROUNDS):
-        todo = [s for s in searches if s.low < s.high and s.distinct > keep]
-        if not todo:
-            break
-        _tighten(df, x, todo)
-    return _order_statistics(df, x, searches)
+    searches = [_Search(n, p, cells[n], *everything, 0, cells[n]) for n in x for p in probs]
+    long = [s for s in searches if s.inside > keep]
+    if long:
+        _tighten(df, x, long)
+    return _order_statistics(df, x, searches, keep)
 
 
 def _tighten(df, x, searches: list[_Search]) -> None:
-    """One narrowing round, two scans: sketch the range of every search (searches
+    """Two scans: sketch the range of every search (searches
     with one range share a sketch), then count the proposed ranges."""
     ranges = list(dict.fromkeys((s.name, s.low, s.high) for s in searches))
     slot = {r: i for i, r in enumerate(ranges)}
@@ -171,20 +167,19 @@ def _tighten(df, x, searches: list[_Search]) -> None:
         counts += [
             f"count_if({v} < {number(low)}) AS b{i}",
             f"count_if({inside}) AS i{i}",
-            f"approx_count_distinct(CASE WHEN {inside} THEN {v} END) AS d{i}",
         ]
     got = df.selectExpr(*counts).first()
     for i, (s, (low, high)) in enumerate(zip(searches, proposed)):
-        below, inside, distinct = got[3 * i : 3 * i + 3]
+        below, inside = got[2 * i : 2 * i + 2]
         if s.holds(below, inside):
-            s.low, s.high, s.below, s.inside, s.distinct = low, high, below, inside, distinct
+            s.low, s.high, s.below, s.inside = low, high, below, inside
 
 
-def _order_statistics(df, x, searches: list[_Search]) -> dict[str, dict[float, float]]:
-    """Count the distinct values left in each range and read off the two ranks.
-    Searches with one range share its counts."""
-    ranges = list(dict.fromkeys((s.name, s.low, s.high) for s in searches))
-    slot = {r: i for i, r in enumerate(ranges)}
+def _order_statistics(df, x, searches: list[_Search], keep: int) -> dict[str, dict[float, float]]:
+    """Count the distinct values of each search, deal them into ranges, and read off
+    two ranks.  Searches over the same values share the counts."""
+    spans = list(dict.fromkeys((s.name, s.low, s.high) for s in searches))
+    slot = {r: i for i, r in enumerate(spans)}
     kept = {(s.name, s.low, s.high): s.kept(x[s.name]) for s in searches}
     cells = ", ".join(f"named_struct('slot', {i}, 'value', {kept[r]})" for r, i in slot.items())
     counted = (
@@ -193,25 +188,44 @@ def _order_statistics(df, x, searches: list[_Search]) -> dict[str, dict[float, f
         .groupBy("slot", "value")
         .agg(F.expr("count(1) AS n"))
     )
-    wanted = []
-    for i, s in enumerate(searches):
-        here = f"slot = {slot[s.name, s.low, s.high]}"
-        wanted += [
-            f"min(value) FILTER (WHERE {here} AND upto > {s.first - s.below}L) AS a{i}",
-            f"min(value) FILTER (WHERE {here} AND upto > {s.second - s.below}L) AS b{i}",
-        ]
-    row = (
-        counted.selectExpr(
-            "*",
-            "sum(n) OVER (PARTITION BY slot ORDER BY value "
-            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto",
-        )
-        .selectExpr(*wanted)
-        .first()
-    )
+    most = sum({(s.name, s.low, s.high): s.inside for s in searches}.values())
+    scratch = Scratch(df.sparkSession)
+    # the number of a range holds for the written table alone: another run may draw other cut points
+    dealt = counted.repartitionByRange(max(1, math.ceil(most / keep)), "slot", "value")
+    dealt = scratch.stored(dealt.withColumn("part", F.spark_partition_id()), "ranges")
+    totals = sorted(tuple(r) for r in dealt.groupBy("slot", "part").agg(F.sum("n")).collect())
+    spots = {}
+    for s in searches:
+        for rank in {s.first, s.second}:
+            spots[s.name, s.prob, rank] = _spot(totals, slot[s.name, s.low, s.high], rank - s.below)
+    found = _look_up(dealt, sorted(set(spots.values())))
+    scratch.discard()
     result: dict[str, dict[float, float]] = {}
-    for i, s in enumerate(searches):
-        a, b = row[f"a{i}"], row[f"b{i}"]
+    for s in searches:
+        a, b = (found[spots[s.name, s.prob, rank]] for rank in (s.first, s.second))
         exact = a if s.weight == 0.0 else (1.0 - s.weight) * a + s.weight * b
         result.setdefault(s.name, {})[s.prob] = float(exact)
     return result
+
+
+def _spot(totals: list[tuple[int, int, int]], slot: int, rank: int) -> tuple[int, int, int]:
+    """(slot, part, rank inside the part) of a rank among the values of a slot."""
+    for own, part, n in totals:
+        if own == slot:
+            if rank < n:
+                return slot, part, rank
+            rank -= n
+    raise ValueError("there are fewer cells than were counted before; has the input changed?")
+
+
+def _look_up(dealt: DataFrame, spots: list[tuple[int, int, int]]) -> dict[tuple, float]:
+    """The values at some ranks: a running sum over the ranges that hold them."""
+    places = sorted({spot[:2] for spot in spots})
+    here = " OR ".join(f"slot = {s} AND part = {p}" for s, p in places)
+    upto = "sum(n) OVER (PARTITION BY slot, part ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    wanted = [
+        f"min(value) FILTER (WHERE slot = {s} AND part = {p} AND upto > {rank}L) AS v{i}"
+        for i, (s, p, rank) in enumerate(spots)
+    ]
+    row = dealt.where(here).selectExpr("*", f"{upto} AS upto").selectExpr(*wanted).first()
+    return dict(zip(spots, row, strict=True))

@@ -1,9 +1,9 @@
 """Distinct values and their counts.
 
 Values are counted with a partial aggregate before the shuffle, so a value that
-fills a third of the table crosses the network once per map task.  Where the values
-themselves are wanted, rows are turned long, (column, value), as text; where only
-their number is, each column is grouped in its own type.
+fills a third of the table crosses the network once per map task.  Rows are turned
+long, (column, value): as text where the values themselves are wanted, and in
+their own type, the columns of one type together, where only their number is.
 """
 
 from __future__ import annotations
@@ -79,18 +79,38 @@ def countable(df: DataFrame) -> list[str]:
 def unique_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(ord, n_unique, filled) of the columns that have values.
 
-    Each column is grouped in its own type by a scan that reads it alone; the
-    columns then share one job."""
+    Columns whose cells have one type share a scan and an exchange by (column, value),
+    in groups of columns; every cell keeps its own type, so nothing is told apart or put together
+    by a cast.  A value that fills a column crosses the network once per map task."""
     kind = kinds(df)
-    parts = []
+    by_type: dict[str, list[str]] = {}
+    cells = {}
     for name in columns:
-        cell = _key(present(name, kind[name]), df.schema[name].dataType)
-        cells = df.selectExpr(f"{cell} AS value").where("value IS NOT NULL")
-        sizes = cells.groupBy("value").agg(F.expr("count(1) AS n")).agg(
-            F.expr("count(1) AS n_unique"), F.expr("sum(n) AS filled")
-        )
-        parts.append(sizes.selectExpr(f"{df.columns.index(name)} AS ord", "n_unique", "filled"))
-    return reduce(DataFrame.unionAll, parts).where("n_unique > 0")
+        dtype = df.schema[name].dataType
+        cells[name] = _key(present(name, kind[name]), dtype)
+        by_type.setdefault(_key_type(dtype), []).append(name)
+    parts = []
+    for names in by_type.values():
+        for i in range(0, len(names), colstats.COLUMNS_PER_SCAN):
+            group = names[i : i + colstats.COLUMNS_PER_SCAN]
+            parts.append(_sizes(df, {df.columns.index(n): cells[n] for n in group}))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _key_type(dtype: T.DataType) -> str:
+    """The type that ``_key`` gives a cell."""
+    return "string" if isinstance(dtype, T.VariantType) else dtype.simpleString()
+
+
+def _sizes(df: DataFrame, cells: dict[int, str]) -> DataFrame:
+    """One scan and one exchange for cells of one type."""
+    if len(cells) == 1:
+        long = df.selectExpr(*[f"{i} AS ord" for i in cells], *[f"{cell} AS value" for cell in cells.values()])
+    else:
+        each = ", ".join(f"named_struct('ord', {i}, 'value', {cell})" for i, cell in cells.items())
+        long = df.selectExpr(f"inline(array({each}))")
+    counted = long.where("value IS NOT NULL").groupBy("ord", "value").agg(F.expr("count(1) AS n"))
+    return counted.groupBy("ord").agg(F.expr("count(1) AS n_unique"), F.expr("sum(n) AS filled"))
 
 
 def unique_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

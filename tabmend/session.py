@@ -47,6 +47,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tabmend-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables of one call, below ``spark.checkpoint.dir``.
+
+    A written table ends its lineage: a lost executor costs the tasks that read it, and what
+    later steps see doesn't change when tasks run again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, shared_folder(spark), 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count:03d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def discard(self) -> None:
+        """Delete all tables of the call; only once nothing reads them any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
     """A driver-side table of a few rows (one per column, issue or decision).
 

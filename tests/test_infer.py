@@ -158,6 +158,53 @@ def test_claims_equal_the_sequential_rule(spark, cells):
     assert alias_map(spark, cells, aliases.acronym_aliases) == brute_force_acronyms(cells)
 
 
+def sequential_acronyms(cells):
+    """The sequential rule by look-up, for long columns without other spellings."""
+    import re
+
+    keys, names = {}, {}
+    for c in cells:
+        text, parts = c.strip().upper(), [p for p in re.split(r"[\s_\-]+", c.strip()) if p]
+        keys[c] = {text, text[:-1] if len(text) > 1 else "", text.split("_")[0] if text.find("_") > 0 else ""} - {""}
+        if len(parts) > 1:
+            names[c] = "".join(p[0] for p in parts).upper()
+    by_key: dict[str, list[str]] = {}
+    for c in cells:
+        for k in keys[c]:
+            by_key.setdefault(k, []).append(c)
+    found: dict[str, str] = {}
+    for name in sorted(names):
+        if name not in found:
+            for other in by_key.get(names[name], []):
+                if other != name and other not in found:
+                    found[other] = name
+    return found
+
+
+def test_claims_of_a_long_column(spark):
+    """100,000 phrases with chains of claims and hot initials, against the sequential rule."""
+    import random
+
+    r = random.Random(7)
+    cells = {f"{a}{i % 97}x_{b}{i} {c}{i}" for i in range(60_000) for a, b, c in [r.choices("ABC", k=3)]}
+    cells |= {f"{r.choice('ABCD')}{r.choice('ABCD')}{r.choice('ABCD')}_{r.choice('ABCD')}n{i} Z{i}" for i in range(39_000)}
+    cells |= {f"{a}{b}{c}{d}" for a in "ABCD" for b in "ABCD" for c in "ABCDZ" for d in ["", "A", "Z", "1"]}
+    cells |= {f"HOT{i} Word{i}" for i in range(1_000)} | {"HW", "HWQ", "HW_1"}
+    want = sequential_acronyms(sorted(cells))
+    assert len(want) > 5_000 and any(c in want and len(c) > 8 for c in cells)
+    assert sequential_acronyms(["A B", "AB_X", "AX_Y", "AY_Z", "AZ"]) == brute_force_acronyms(["A B", "AB_X", "AX_Y", "AY_Z", "AZ"])
+    assert alias_map(spark, sorted(cells), aliases.acronym_aliases) == want
+
+
+def test_claims_in_a_chain(spark):
+    """Each name claims the next: every second one is active, however long the chain."""
+    cells = ["AA_B CC"] + [f"A{x}_{y} Z" for x, y in zip("BCDEFGHIJ", "CDEFGHIJK")]
+    assert alias_map(spark, cells, aliases.acronym_aliases) == brute_force_acronyms(cells)
+    two = spark.createDataFrame([("c", "A B"), ("d", "AB"), ("d", "A C")], "column string, value string")
+    assert aliases.acronym_aliases(two).isEmpty()  # columns don't claim each other's values
+    assert aliases.acronym_aliases(two.limit(0)).isEmpty()
+
+
 def test_alias_limits(spark):
     rows = [("c", f"v{i:04d}", 1 + i % 3) for i in range(600)]
     df = spark.createDataFrame(rows, "column string, value string, n int")

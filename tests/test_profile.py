@@ -146,6 +146,32 @@ def test_distinct_counts_by_type(spark):
     assert [r["n_unique"] for r in values.unique_counts(df).orderBy("ord").collect()] == [1, 2, 2, 1, 1]
 
 
+def test_distinct_counts_share_exchanges(spark):
+    """1,000 columns of three types: a scan and an exchange by value for each 64 columns of a type."""
+    makes = ["id % {} AS c{}", "CAST(id % {} AS STRING) AS c{}", "CAST(id % {} AS DOUBLE) AS c{}"]
+    df = spark.range(50).selectExpr(*[makes[i % 3].format(i % 40 + 1, i) for i in range(1_000)])
+    sizes = values.unique_sizes(df, df.columns)
+    plan = sizes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 50") == 18  # 334 columns of a type are six groups
+    got = {r["ord"]: (r["n_unique"], r["filled"]) for r in sizes.collect()}
+    assert got == {i: (min(i % 40 + 1, 50), 50) for i in range(1_000)}
+
+
+@pytest.mark.parametrize("keep", [1, 50, 10**6])
+def test_ranks_by_ranges(spark, monkeypatch, keep):
+    """Ranks are found in ranges of any size, hot values and equal neighbours included, also
+    where the sketch proposes nothing."""
+    rng = np.random.default_rng(keep)
+    cells = {"a": rng.integers(0, 900, 3_000) * 1.0, "b": np.where(np.arange(3_000) < 1_000, -0.0, rng.normal(0, 9, 3_000)), "c": np.full(3_000, 4.0)}
+    df = spark.createDataFrame(list(zip(*[c.tolist() for c in cells.values()])), "a double, b double, c double").repartition(5)
+    monkeypatch.setattr(quantiles, "_tighten", lambda *_: None)
+    probs = (0.0, 0.1, 1 / 3, 0.5, 0.9999, 1.0)
+    got = quantiles.exact_quantiles(df, {c: c for c in cells}, probs, dict.fromkeys(cells, 3_000), direct_cells=0, range_values=keep)
+    for name, column in cells.items():
+        for p in probs:
+            assert got[name][p] == pytest.approx(float(np.percentile(column, p * 100)), rel=1e-12)
+
+
 def test_wide_tables_are_scanned_in_groups(spark, monkeypatch):
     monkeypatch.setattr(colstats, "COLUMNS_PER_SCAN", 3)
     df = spark.range(10).selectExpr(*[f"id + {i} AS c{i}" for i in range(8)])
