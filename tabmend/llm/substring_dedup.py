@@ -10,7 +10,8 @@ text falls into runs (about one to 40 strings), and equal strings lie in runs of
    Burrows-Wheeler transform of the block is searched breadth first.  All strings of one
    letter are its first intervals; extending every interval backwards by a letter gives those of the
    next length, and what falls apart at that step has just this length as common prefix.  The
-   search stops at ``length``: suffixes not yet apart share a whole string.
+   search stops at ``length``: suffixes not yet apart share a whole string.  Runs none of whose strings
+   has a hash that occurs again in the block are left out before: they lose nothing and take nothing.
 3. Leads that a sample of the texts shows to be very frequent would fill a block; their
    strings are compared by a hash of each whole string instead, of which one per task is sent.  Which leads
    these are changes the cost, never the result.
@@ -230,8 +231,10 @@ def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told.combine_chunks().to_batches()
 
 
-def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """The rank of each suffix: sorted by 7 symbols, then by twice as many each time."""
+def suffix_order(symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """The rank of each suffix: sorted by 7 symbols, then by twice as many each time.
+
+    With ``depth`` suffixes that agree in so many symbols stay in the order of their places."""
     n = len(symbols)
     code = np.zeros(n, np.int64)
     padded = np.concatenate((symbols, np.zeros(7, np.int64)))
@@ -246,7 +249,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     rank[order] = first
     left = order[(~new) | np.append(~new[1:], False)]
     step = 7
-    while len(left):
+    while len(left) and (depth is None or step < depth):
         ahead = rank[np.minimum(left + step, n)]
         by = np.lexsort((ahead, rank[left]))
         left, ahead = left[by], ahead[by]
@@ -260,9 +263,29 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         alone = new & np.append(new[1:], True)
         left = left[~alone]
         step *= 2
+    if len(left):
+        left = left[np.lexsort((left, rank[left]))]
+        at = np.arange(len(left))
+        start = np.diff(rank[left], prepend=-1) != 0
+        rank[left] += at - np.maximum.accumulate(np.where(start, at, 0))
     return rank[:n]
 
 
+def repeated_runs(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Whether a run holds a string that occurs again in the block, by hashes: equal strings have equal ones."""
+    size = np.diff(ends, prepend=0)
+    strings = np.maximum(size - length + 1, 0)
+    owner = np.repeat(np.arange(len(ends)), strings)
+    first = np.arange(len(owner)) + (ends - size - np.cumsum(strings) + strings)[owner]
+    code = Hashes(data)(first, first + length)
+    order = np.argsort(code)
+    twin = code[order][1:] == code[order][:-1]
+    again = np.zeros(len(ends), bool)
+    again[owner[order[1:][twin]]] = True
+    again[owner[order[:-1][twin]]] = True
+    return again
+
+
 def prefix_classes(symbols: np.ndarray, length: int) -> np.ndarray:
     """For each place, a number that equal strings of ``length`` symbols from there share.
 
@@ -271,7 +294,7 @@ def prefix_classes(symbols: np.ndarray, length: int) -> np.ndarray:
     before it).  Two neighbours of one letter fall apart at length l + 1 if the suffixes after
     the letter fall apart at length l, that is, lie in different intervals of length l."""
     n = len(symbols)
-    row = suffix_order(symbols)
+    row = suffix_order(symbols, length)  # what agrees in so many symbols is never told apart
     place = np.empty(n, np.int64)
     place[row] = np.arange(n)
     after = row[np.minimum(place + 1, n - 1)]
@@ -299,6 +322,11 @@ def compare_runs(length: int):
         for rows in _whole_keys(small, lambda held: sum(b.column("run").nbytes for b in held) >= BLOCK):
             runs = rows.column("run").combine_chunks()
             runs = runs.chunk(0) if isinstance(runs, pa.ChunkedArray) else runs
+            again = repeated_runs(*_bytes_of(runs), length)
+            if not again.any():
+                continue
+            # the search gets the runs that can lose something
+            rows, runs = rows.filter(pa.array(again)), runs.filter(pa.array(again))
             data, ends = _bytes_of(runs)
             size = np.diff(ends, prepend=0)
             owner = np.repeat(np.arange(len(ends)), size)
