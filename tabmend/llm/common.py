@@ -52,6 +52,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.count = spark, shared_folder(spark), 0
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -60,4 +61,13 @@ class Workspace:
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def discard(self, *gone: DataFrame) -> None:
+        """Deletes stored tables that nothing reads any more, now or later."""
+        for table, path in [x for x in self.tables if any(x[0] is g for g in gone)]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.tables = [x for x in self.tables if not any(x[0] is g for g in gone)]

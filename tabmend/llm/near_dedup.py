@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabmend.llm.blocked_filter import among, not_among
 from tabmend.llm.common import Workspace, full, named, shipped, words
 
 shipped(__name__)
@@ -170,11 +171,10 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
     return df.mapInArrow(sketch, f"id {kind.simpleString()}, same1 long, same2 long, n long, keys array<long>")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, weights: str) -> DataFrame:
-    """The pairs (a, b) of ids whose shingles are similar enough, compared in full."""
-    texts = docs.select(named(id_col).alias("t_id"), full(named(text_col)).alias("t"))
-    left = texts.select(F.col("t_id").alias("a_id"), F.col("t").alias("t_a"))
-    right = texts.select(F.col("t_id").alias("b_id"), F.col("t").alias("t_b"))
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, weights: str) -> DataFrame:
+    """The pairs (a, b) of ids whose shingles are similar enough, compared in full over ``texts`` (id, t)."""
+    left = texts.select(F.col("id").alias("a_id"), F.col("t").alias("t_a"))
+    right = texts.select(F.col("id").alias("b_id"), F.col("t").alias("t_b"))
     # a has few pairs, b may have many: its partition is split where it is large
     both = pairs.join(left, F.col("a") == F.col("a_id")).drop("a_id")
     both = both.join(right, F.col("b") == F.col("b_id")).drop("b_id")
@@ -205,6 +205,7 @@ def components(nodes: DataFrame, edges: DataFrame, space: Workspace) -> DataFram
     """(id, comp): each node and the smallest id that it is linked with, over any number of links."""
     edges = space.stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     comp = space.stored(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), "classes")
+    last = comp
     for _ in range(ROUNDS):
         # the smallest class among neighbours, hung under the class it had, then one jump
         c = comp.select(F.col("id").alias("n_"), F.col("comp").alias("c_"))
@@ -215,11 +216,13 @@ def components(nodes: DataFrame, edges: DataFrame, space: Workspace) -> DataFram
         jump = now.select(F.col("id").alias("j_"), F.col("comp").alias("to"))
         now = now.join(jump, F.col("comp") == F.col("j_"), "left").select("id", "was", F.least("comp", F.coalesce("to", "comp")).alias("comp"))
         now = space.stored(now, "classes")
-        comp = now.drop("was")
+        space.discard(last)
+        comp, last = now.drop("was"), now
         if now.filter("comp <> was").isEmpty():
             break
     else:
         raise RuntimeError("the classes did not settle")
+    space.discard(edges)
     full_ = nodes.join(comp.withColumnRenamed("id", "n_"), F.col("id") == F.col("n_"), "left")
     return full_.select("id", F.coalesce("comp", "id").alias("comp"))
 
@@ -335,18 +338,23 @@ def near_duplicates(
     reps = space.stored(reps, "representatives")
     spots = reps.filter("n > 0").select("rep", "n", F.explode("keys").alias("key"))
     shared = spots.groupBy(F.col("key").alias("k_")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    spots = space.stored(spots.join(shared, F.col("key") == F.col("k_")).drop("k_"), "buckets")
-    central = spots.groupBy(F.col("rep").alias("c_")).agg(F.sum("size").alias("central"))
-    spots = space.stored(spots.join(central, F.col("rep") == F.col("c_")).drop("c_"), "buckets")
+    met = space.stored(spots.join(shared, F.col("key") == F.col("k_")).drop("k_"), "buckets")
+    central = met.groupBy(F.col("rep").alias("c_")).agg(F.sum("size").alias("central"))
+    spots = space.stored(met.join(central, F.col("rep") == F.col("c_")).drop("c_"), "buckets")
+    space.discard(met)
+    sharing = space.stored(spots.select(F.col("rep").alias("id")).distinct(), "sharing")
+    # only these texts are ever compared: they move once, and later joins read no others
+    texts = among(known.select(named(id_col).alias("id"), full(named(text_col)).alias("t")), "id", sharing, "id")
+    texts = space.stored(texts, "texts")
     # the most central member leads, the smaller id of equals
     lead = spots.groupBy(F.col("key").alias("k_")).agg(F.min(F.struct(-F.col("central"), "rep", "n")).alias("l"))
     close = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
     pairs = spots.join(lead, F.col("key") == F.col("k_")).select("rep", "n", F.col("l.rep").alias("b"), F.col("l.n").alias("m"))
     pairs = pairs.filter((F.col("rep") != F.col("b")) & close(F.col("n"), F.col("m")))
     pairs = space.stored(pairs.select(F.col("rep").alias("a"), "b").distinct(), "pairs")
-    links = space.stored(similar(pairs, known, id_col, text_col, similarity, weights).distinct(), "links")
+    links = space.stored(similar(pairs, texts, similarity, weights).distinct(), "links")
     nodes = reps.select(F.col("rep").alias("id"))
-    comp = space.stored(components(spots.select(F.col("rep").alias("id")).distinct(), links, space), "classes")
+    comp = space.stored(components(sharing, links, space), "classes")
     # buckets that still hold several classes: members meet one of each finer bucket
     mixed = _mixed(spots, comp, space)
     fine = F.array(*[
@@ -366,20 +374,20 @@ def near_duplicates(
     more = more.select(two.alias("a"), one.alias("b")).distinct()
     done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = space.stored(more.join(done, ["a", "b"], "left_anti"), "pairs")
-    new = similar(more, known, id_col, text_col, similarity, weights)
+    new = similar(more, texts, similarity, weights)
     links = space.stored(links.unionByName(new).distinct(), "links")
     comp = space.stored(components(nodes, links, space), "classes")
     # texts of buckets that are mixed even then: all pairs that can be similar enough
     mixed = space.stored(_mixed(spots, comp, space), "mixed")
     if not mixed.isEmpty():
-        texts = known.select(named(id_col).alias("id"), full(named(text_col)).alias("t"))
-        texts = texts.join(mixed, F.col("id") == F.col("m_")).select("id", "comp", _word_codes(F.col("t")).alias("codes"))
-        last = possible(texts, similarity, weights, space)
+        codes = texts.join(mixed, F.col("id") == F.col("m_")).select("id", "comp", _word_codes(F.col("t")).alias("codes"))
+        last = possible(codes, similarity, weights, space)
         last = last.join(done, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti")
         last = space.stored(last, "pairs")
-        new = similar(last, known, id_col, text_col, similarity, weights)
+        new = similar(last, texts, similarity, weights)
         links = space.stored(links.unionByName(new).distinct(), "links")
-        comp = components(nodes, links, space)
+        comp = space.stored(components(nodes, links, space), "classes")
+    space.discard(spots, texts, sharing, pairs, more)
     comp = comp.withColumnRenamed("id", "r_")
     told = reps.select("same1", "same2", "rep").join(comp, F.col("rep") == F.col("r_")).select(
         F.col("same1").alias("s1"), F.col("same2").alias("s2"), "comp"
@@ -390,3 +398,25 @@ def near_duplicates(
         named(id_col).alias(id_col), named(id_col).alias("class_id")
     )
     return result.unionByName(alone)
+
+
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each class the row of the smallest id stays.
+
+    Texts that share an id are told apart by a hash of the text: each is judged by itself, the smaller hash
+    leads, and of rows with one id and one text the smallest stays.  A row without an id is a class of
+    its own and stays.  Only rows that may go are moved."""
+    space = Workspace(docs.sparkSession)
+    ids = docs.filter(named(id_col).isNotNull()).groupBy(named(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = not ids.filter("n > 1").isEmpty()
+    key = named(id_col)
+    if repeated:
+        key = F.when(named(id_col).isNotNull(), F.struct(named(id_col).alias("id"), F.xxhash64(full(named(text_col))).alias("h")))
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row_"), key.alias("key_"), full(named(text_col)).alias("text_"))
+    told = near_duplicates(rows.select("key_", "text_").filter("key_ IS NOT NULL"), "key_", "text_", **kwargs)
+    gone = space.stored(told.filter("key_ <> class_id").select("key_").distinct(), "gone")
+    kept = not_among(rows.drop("text_"), "key_", gone, "key_")
+    if repeated:
+        once = kept.filter("key_ IS NOT NULL").groupBy("key_").agg(F.min("row_").alias("row_"))
+        kept = kept.filter("key_ IS NULL").select("row_").unionByName(once.select("row_"))
+    return kept.select("row_.*")

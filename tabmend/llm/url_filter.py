@@ -14,11 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabmend.llm.blocked_filter import BITS, MAX_BLOCKS, BlockedFilter
 from tabmend.llm.common import UPPER, Workspace, named
 
-#: Bits of the filter for each listed URL, and blocks it has at most (32 bytes of bits each).
-BITS, MAX_BLOCKS = 12, 1 << 20
-BLOCK_BITS, WORDS = 256, 4  # four longs of two words each
 #: Parameters that say where a reader came from, not what the page is.
 TRACKING = r"(utm_[^=]*|gclid|fbclid|ref)(=.*)?"
 
@@ -47,39 +45,6 @@ def canonical(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), whole)
 
 
-def _places(canon: Column, blocks: int) -> tuple[Column, list[Column]]:
-    """The block of a URL and the bits that it sets there, one in each half of each long."""
-    bits = F.xxhash64(canon, F.lit("bits"))
-    one = F.lit(1).cast("long")
-    at = lambda i: F.shiftrightunsigned(bits, 5 * i).bitwiseAND(31).cast("int")
-    shift = lambda n: F.call_function("shiftleft", one, n)
-    longs = [shift(at(2 * j)).bitwiseOR(shift(at(2 * j + 1) + 32)) for j in range(WORDS)]
-    return F.pmod(F.xxhash64(canon), F.lit(blocks)), longs
-
-
-class BlockedFilter:
-    """The filter of a table of distinct canonical URLs (column ``canon``)."""
-
-    def __init__(self, listed: DataFrame, bits: int = BITS, max_blocks: int = MAX_BLOCKS):
-        need = -(-listed.count() * bits // BLOCK_BITS)
-        self.blocks = max(1, min(need, max_blocks))
-        block, longs = _places(F.col("canon"), self.blocks)
-        self.table = listed.groupBy(block.alias("block_")).agg(
-            *[F.bit_or(w).alias(f"word{j}_") for j, w in enumerate(longs)]
-        )
-
-    def marked(self, df: DataFrame, canon: str) -> DataFrame:
-        """``df`` with ``possible_``: false for URLs that are surely not listed."""
-        block, longs = _places(F.col(canon), self.blocks)
-        # at most max_blocks rows of 40 bytes
-        met = df.withColumn("at_", block).join(F.broadcast(self.table), F.col("at_") == F.col("block_"), "left")
-        there = F.lit(True)
-        for j, word in enumerate(longs):
-            there = there & (F.col(f"word{j}_").bitwiseAND(word) == word)
-        met = met.withColumn("possible_", F.coalesce(there, F.lit(False)) & F.col(canon).isNotNull())
-        return met.drop("at_", "block_", *[f"word{j}_" for j in range(WORDS)])
-
-
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """(rule, verdict) of the longest rule that fits, null without one.
 
@@ -121,7 +86,7 @@ def filter_urls(
     rows = pages.select(
         F.struct(*kept).alias("row_"), host.alias("host_"), path.alias("path_"), canonical(url).alias("canon_")
     ).withColumn("rule_", rule_of(F.col("host_"), F.col("path_"), rules))
-    rows = BlockedFilter(names, bits, max_blocks).marked(rows, "canon_")
+    rows = BlockedFilter(names, "canon", bits, max_blocks).marked(rows, "canon_")
     hits = rows.filter("possible_").join(names, F.col("canon_") == F.col("canon"), "left")
     hits = hits.withColumn("listed_", F.col("canon").isNotNull()).drop("canon")
     rest = rows.filter("NOT possible_").withColumn("listed_", F.lit(False))
