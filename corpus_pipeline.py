@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmend.llm.common import Workspace, full, table
+from tabmend.llm.common import Workspace, table
 from tabmend.llm.decontaminate import decontaminate
 from tabmend.llm.line_dedup import dedup_lines
 from tabmend.llm.mixing import mix_sources
-from tabmend.llm.near_dedup import near_duplicates
+from tabmend.llm.near_dedup import first_copies
 from tabmend.llm.quality_model import good_documents
 
 
@@ -29,17 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class; a document without an id is one of its own.
-
-    Texts that share an id are told apart by a hash of the text: each is judged by itself, the smaller hash
-    leads.  Of rows with one id and one text the smallest stays."""
-    key = F.struct("doc_id", F.xxhash64(full(F.col("text"))).alias("hash"))
-    known = docs.filter(F.col("doc_id").isNotNull()).withColumn("key_", key)
-    told = near_duplicates(known.select("key_", "text"), "key_", "text")
-    first = told.filter(F.col("key_") == F.col("class_id")).select(F.col("key_").alias("first_")).distinct()
-    kept = known.join(first, F.col("key_") == F.col("first_"), "left_semi")
-    kept = kept.groupBy("key_").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each class of near copies."""
+    return first_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
