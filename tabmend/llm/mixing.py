@@ -27,7 +27,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 2
 STEPS = 80
 DIGIT, DIGITS = 16, 3  # bits of a digit, digits of the rounding order
-CLOSERS = 3  # documents that close the last gap
+#: Rounds that close the last gap, documents tried in each, and hash buckets that propose one each.
+CLOSERS, POOL, DEALT = 3, 8, 256
 
 
 def targets(sizes: DataFrame, share: float, weights: tuple, cap: int) -> DataFrame:
@@ -146,36 +147,81 @@ def mix_sources(
         "id", "source", "size", "source_size", "target", "rate", "whole", F.when(can, order).alias("order")
     )
     rated = space.stored(rated, "rates")
-    cut = _cuts(rated, space)
-    beyond = rated.filter(F.col("order").isNotNull()).withColumnRenamed("source", "s_")
-    one = F.struct("order", "size", ordered(F.col("id")).alias("key"))
-    ends = cut.withColumn("more", F.array().cast(f"array<{rated.select(one.alias('x')).schema[0].dataType.simpleString()}>"))
-    for _ in range(CLOSERS):
-        open_ = beyond.join(ends, F.col("s_").eqNullSafe(F.col("source")))
-        open_ = open_.filter((F.col("order") >= F.col("cut")) & ~F.array_contains("more", one))
-        near = F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), one.alias("one"))).alias("near")
-        best = open_.groupBy("s_").agg(near)
-        ends = ends.join(best, F.col("source").eqNullSafe(F.col("s_")), "left")
-        better = F.col("near.off") < F.col("gap")
-        ends = ends.select(
-            "source", "cut",
-            F.when(better, F.col("gap") - F.col("near.one.size")).otherwise(F.col("gap")).alias("gap"),
-            F.when(better, F.array_append("more", F.col("near.one"))).otherwise(F.col("more")).alias("more"),
-        )
-        ends = space.stored(ends, "cut")
-    ends = ends.select(F.col("source").alias("s_"), "cut", F.col("more").alias("closers"))
+    ends = _closed(rated, _cuts(rated, space), cap, space)
+    ends = ends.select(F.col("source").alias("s_"), "cut", "changes")
     done = rated.join(ends, F.col("source").eqNullSafe(F.col("s_")), "left")
-    closes = F.array_contains("closers", one)
-    more = F.coalesce((F.col("order") < F.col("cut")) | closes, F.lit(False)).cast("long")
-    copies = (F.col("whole") + more).cast("long")
+    mine = F.filter("changes", lambda x: x["one"] == F.struct("size", ordered(F.col("id")).alias("key")))
+    copies = F.coalesce(_base() + F.coalesce(F.get(mine, F.lit(0))["more"], F.lit(0)), F.lit(0)).cast("long")
     return done.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"),
     )
 
 
+def _base() -> Column:
+    """Copies by the rounding order alone."""
+    return F.col("whole") + F.coalesce(F.col("order") < F.col("cut"), F.lit(False)).cast("long")
+
+
+def _closed(rated: DataFrame, cut: DataFrame, cap: int, space: Workspace) -> DataFrame:
+    """(source, cut, gap, changes): a few documents near the cut get a copy more or less, so that the words taken
+    come close to the target.
+
+    Of the documents nearest to the cut, one for each of ``DEALT`` hash buckets, ``POOL`` are tried in all
+    combinations of one copy less, as many, one more; the best one is kept if it is better than
+    none.  Rounds take other documents.  A source of few documents is tried as a whole."""
+    one = F.struct("size", ordered(F.col("id")).alias("key"))
+    kind = rated.select(one.alias("one")).schema["one"].dataType.simpleString()
+    ends = cut.withColumn("changes", F.array().cast(f"array<struct<one: {kind}, more: bigint>>"))
+    rows = rated.filter("size > 0").withColumnRenamed("source", "s_")
+    for _ in range(CLOSERS):
+        open_ = ends.filter(F.abs("gap") >= 1)
+        if open_.isEmpty():
+            break
+        near = rows.join(open_, F.col("s_").eqNullSafe(F.col("source")))
+        near = near.filter(~F.exists("changes", lambda x: x["one"] == one))
+        far = F.abs(F.coalesce("order", F.lit(2 ** (DIGIT * DIGITS))) - F.col("cut"))
+        best = near.groupBy("s_", F.pmod(F.xxhash64("id", "size"), F.lit(DEALT)).alias("bucket")).agg(
+            F.min(F.struct(far.alias("far"), one.alias("one"))).alias("near")
+        )
+        pool = best.groupBy(F.col("s_").alias("p_")).agg(  # at most DEALT rows
+            F.transform(F.slice(F.array_sort(F.collect_list("near")), 1, POOL), lambda x: x["one"]).alias("pool")
+        )
+        # rows that repeat an id and a size change together
+        tried = near.join(pool, F.col("s_").eqNullSafe(F.col("p_"))).filter(F.array_contains("pool", one))
+        tried = tried.groupBy("s_", one.alias("one"), _base().alias("base")).agg(F.sum("size").alias("words"))
+        tried = tried.groupBy("s_").agg(F.array_sort(F.collect_list(F.struct("one", "base", "words"))).alias("tried"))
+        ends = ends.join(tried, F.col("source").eqNullSafe(F.col("s_")), "left")
+        found = F.array_min(F.transform(_sums(F.col("tried"), cap), lambda x: F.struct(F.abs(F.col("gap") - x["words"]).alias("off"), x["code"].alias("code"), x["words"].alias("words"))))
+        ends = space.stored(ends.withColumn("found", found), "tried")
+        better = F.coalesce(F.col("found.off") < F.abs("gap"), F.lit(False))
+        digit = lambda i: F.floor(F.col("found.code") / F.pow(F.lit(3.0), i.cast("double"))) % 3 - 1
+        told = F.transform("tried", lambda x, i: F.struct(x["one"].alias("one"), digit(i).cast("long").alias("more")))
+        ends = ends.select(
+            "source", "cut",
+            F.when(better, F.col("gap") - F.col("found.words")).otherwise(F.col("gap")).alias("gap"),
+            F.when(better, F.concat("changes", told)).otherwise(F.col("changes")).alias("changes"),
+        )
+        ends = space.stored(ends, "cut")
+    return ends
+
+
+def _sums(tried: Column, cap: int) -> Column:
+    """(words, code) of all combinations: digit i of the code, to base 3, is what document i gets, plus 1."""
+    least = F.array(F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("code"), F.lit(1).cast("long").alias("unit")))
+
+    def add(sums: Column, x: Column) -> Column:
+        ways = F.filter(F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)]), lambda d: (x["base"] + d >= 0) & (x["base"] + d <= cap))
+        each = lambda s: F.transform(ways, lambda d: F.struct(
+            (s["words"] + d * x["words"]).alias("words"), (s["code"] + (d + 1) * s["unit"]).alias("code"), (s["unit"] * 3).alias("unit")
+        ))
+        return F.flatten(F.transform(sums, each))
+
+    return F.aggregate(tried, least, add)
+
+
 def _cuts(rated: DataFrame, space: Workspace) -> DataFrame:
-    """(source, cut, gap): documents before the cut fit into the target, ``gap`` words are left."""
+    """(source, cut, gap): documents before the cut fit into the target, ``gap`` words are left (below 0: too many whole copies)."""
     have = rated.groupBy("source").agg(
         F.first("target").alias("target"), F.sum(F.col("whole") * F.col("size")).alias("had")
     )
@@ -183,6 +229,7 @@ def _cuts(rated: DataFrame, space: Workspace) -> DataFrame:
         "source",
         F.lit(0).cast("long").alias("cut"),
         F.greatest(F.floor("target") - F.col("had"), F.lit(0)).cast("long").alias("gap"),
+        (F.col("target") - F.floor("target") + F.least(F.floor("target") - F.col("had"), F.lit(0))).alias("rest"),
         F.lit(False).alias("all_in"),
     )
     cut = space.stored(cut, "cut")
@@ -212,7 +259,8 @@ def _cuts(rated: DataFrame, space: Workspace) -> DataFrame:
             "source",
             F.when(none, F.lit(2 ** (DIGIT * DIGITS)).cast("long")).otherwise(F.col("cut") + more).alias("cut"),
             F.when(none, F.col("gap")).otherwise(F.col("gap") - F.col("at.before")).alias("gap"),
+            "rest",
             none.alias("all_in"),
         )
         cut = space.stored(cut, "cut")
-    return cut
+    return cut.select("source", "cut", (F.col("gap") + F.col("rest")).alias("gap"))

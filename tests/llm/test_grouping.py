@@ -10,9 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabmend.llm.blocked_filter import BlockedFilter, among, not_among
 from tabmend.llm.centroids import Centroids, cluster_vectors
 from tabmend.llm.spelling import spelling_groups
-from tabmend.llm.url_filter import BlockedFilter, canonical, filter_urls, host_path
+from tabmend.llm.url_filter import canonical, filter_urls, host_path
 
 CLASH = ["word", "n", "key", "canon", "canon_", "row_", "host_", "possible_", "block_", "v", "c_", "cluster", "rule_"]
 
@@ -202,11 +203,20 @@ def test_canonical(spark):
 def test_filter_rate(spark):
     """Nothing listed is missed, and few others pass."""
     names = spark.range(20_000).select(F.concat(F.lit("h.net/"), "id").alias("canon"))
-    marked = BlockedFilter(names).marked(spark.range(40_000).select("id", F.concat(F.lit("h.net/"), "id").alias("c")), "c")
+    marked = BlockedFilter(names, "canon").marked(spark.range(40_000).select("id", F.concat(F.lit("h.net/"), "id").alias("c")), "c")
     assert marked.filter("id < 20000 AND NOT possible_").isEmpty()
     assert marked.filter("id >= 20000 AND possible_").count() < 600
 
 
+def test_among(spark):
+    rows = spark.createDataFrame([(i if i % 10 else None, f"t{i}") for i in range(500)], "k long, t string")
+    keys = spark.createDataFrame([(i,) for i in range(0, 600, 3)], "id long")
+    inside = {f"t{i}" for i in range(500) if i % 10 and i % 3 == 0}
+    assert {r.t for r in among(rows, "k", keys, "id").collect()} == inside
+    assert {r.t for r in not_among(rows, "k", keys, "id").collect()} == {f"t{i}" for i in range(500)} - inside
+    assert among(rows, "k", keys.limit(0), "id").isEmpty() and not_among(rows, "k", keys.limit(0), "id").count() == 500
+
+
 def test_urls_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     some = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/"), (None, None)], "page_id long, url string")
