@@ -76,17 +76,22 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def archived(pages: DataFrame) -> DataFrame:
+    """Pages written as an archive and read back."""
+    spark = pages.sparkSession
     space = Workspace(spark)
     path = space.path("warc")
-    write_warc(table(spark, sf_dir, "pages"), path)
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    write_warc(pages, path)
     records = read_warc(spark, path).withColumn("n", F.octet_length("payload").cast("long")).drop("payload")
     return resolved(space.stored(records, "records")).select(
-        number(F.col("id")).alias("page_id"),
+        F.col("page").cast("long").alias("page_id"),
         F.col("n").alias("payload_bytes"),
         F.regexp_replace("digest", "^sha256:", "").alias("payload_digest"),
         F.col("kind").alias("record_type"),
-        number(F.col("refers")).alias("refers_to"),
+        F.regexp_extract("refers", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("refers_to"),
         "uri",
         "ok",
     )

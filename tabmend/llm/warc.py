@@ -72,10 +72,15 @@ def write_warc(
 ) -> None:
     """Writes one logical record per row below ``path``, in files of bounded size.
 
-    Null pages are empty payloads, null ids are named "none".  Rows that repeat an id and a
-    payload repeat its record; reading gives them once.  Rows of one id with other payloads can't be
-    told apart by a reader, so ids should be unique."""
+    Null pages are empty payloads.  The record of a page is named after its id, which stands in a header of
+    its own too; rows without an id, and rows that share one, get a number of their row in the name, so that
+    each is a record.  A revisit refers to the page by id and digest; a null id comes after all others."""
     df = with_types(pages, id_col, html_col, url_col)
+    ids = df.filter("key.id IS NOT NULL").groupBy(F.col("key").alias("k_")).agg(F.count(F.lit(1)).alias("times"))
+    ids = Workspace(pages.sparkSession).stored(ids.filter("times > 1").select("k_"), "shared")
+    df = df.join(ids, F.col("key") == F.col("k_"), "left") if not ids.isEmpty() else df.withColumn("k_", F.lit(None))
+    number = F.when(F.col("k_").isNotNull() | F.col("key.id").isNull(), F.concat(F.lit(":row"), F.monotonically_increasing_id()))
+    df = df.withColumn("row", F.coalesce(number, F.lit(""))).drop("k_")
     count = F.ceil(F.col("n") / chunk).cast("int")
     framed = F.transform(
         F.sequence(F.lit(1), count),
@@ -90,21 +95,23 @@ def write_warc(
     # the cast keeps bytes as they are
     block = F.concat(head, body, F.lit("0\r\n\r\n")).cast("binary")
     block = F.when(F.col("first").isNull(), block).otherwise(F.encode(F.lit("HTTP/1.1 200 OK\r\n\r\n"), "UTF-8"))
-    df = df.select("key", "url", "digest", "n", "first", block.alias("block")).withColumn("total", F.octet_length("block"))
+    df = df.select("key", "row", "url", "digest", "n", "first", block.alias("block")).withColumn("total", F.octet_length("block"))
     pieces = F.greatest(F.ceil(F.col("total") / segment).cast("int"), F.lit(1))
     df = df.withColumn("pieces", pieces).select("*", F.explode(F.sequence(F.lit(1), F.col("pieces"))).alias("seg"))
     part = F.substring(F.col("block"), (F.col("seg") - 1) * segment + 1, F.lit(segment))
-    me = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("key.id").cast("string"), F.lit("none")), F.when(F.col("seg") > 1, F.concat(F.lit("#"), "seg")).otherwise(""), F.lit(">"))
+    own = F.concat(F.lit("urn:page:"), F.coalesce(F.col("key.id").cast("string"), F.lit("none")), F.col("row"))
+    me = F.concat(F.lit("<"), own, F.when(F.col("seg") > 1, F.concat(F.lit("#"), "seg")).otherwise(""), F.lit(">"))
     kind = F.when(F.col("seg") > 1, "continuation").when(F.col("first").isNotNull(), "revisit").otherwise("response")
     cut = F.col("pieces") > 1
     header = F.concat(
         _lines(("WARC/1.1",), ("WARC-Type: ", kind), ("WARC-Record-ID: ", me), ("WARC-Target-URI: ", F.regexp_replace("url", r"[\r\n]", "")),
                ("WARC-Date: 1970-01-01T00:00:00Z",), ("Content-Type: application/http; msgtype=response",)),
+        F.when((F.col("seg") == 1) & F.col("key.id").isNotNull(), _lines(("WARC-Page-ID: ", F.col("key.id").cast("string")))).otherwise(""),
         F.when(F.col("seg") == 1, _lines(("WARC-Payload-Digest: sha256:", F.col("digest")))).otherwise(""),
         F.when(F.col("first").isNotNull(), _lines(("WARC-Refers-To: ", _name(F.col("first"))),
                ("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",))).otherwise(""),
         F.when(cut, _lines(("WARC-Segment-Number: ", F.col("seg").cast("string")))).otherwise(""),
-        F.when(cut & (F.col("seg") > 1), _lines(("WARC-Segment-Origin-ID: ", _name(F.col("key"))))).otherwise(""),
+        F.when(cut & (F.col("seg") > 1), _lines(("WARC-Segment-Origin-ID: <", own, ">"))).otherwise(""),
         F.when(cut & (F.col("seg") == F.col("pieces")), _lines(("WARC-Segment-Total-Length: ", F.col("total").cast("string")))).otherwise(""),
         _lines(("Content-Length: ", F.octet_length(part).cast("string")), ("",)),
     )
@@ -114,7 +121,7 @@ def write_warc(
     ).text(path)
 
 
-FIELDS = "kind string, id string, uri string, digest string, refers string, seg int, origin string, total long, block binary"
+FIELDS = "kind string, id string, page string, uri string, digest string, refers string, seg int, origin string, total long, block binary"
 
 
 def _records(data: bytes) -> Iterator[tuple]:
@@ -147,7 +154,7 @@ def _records(data: bytes) -> Iterator[tuple]:
             raise ValueError(f"record {head.get('warc-record-id')} is cut off")
         seg, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
         yield (
-            head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"),
+            head.get("warc-type"), head.get("warc-record-id"), head.get("warc-page-id"), head.get("warc-target-uri"),
             head.get("warc-payload-digest"), head.get("warc-refers-to"), int(seg) if seg else None,
             head.get("warc-segment-origin-id"), int(total) if total else None, block,
         )
@@ -198,7 +205,7 @@ def payload_of(block: bytes) -> bytes | None:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per logical record: id, uri, kind, refers, digest, payload, ok.
+    """One row per logical record: id, page (where a header names it), uri, kind, refers, digest, payload, ok.
 
     ``ok`` is true where all segments are there, the total length is right, the framing can be undone and
     the digest fits; a record that fails any of these has no payload.  Segments that occur
@@ -210,7 +217,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     # a group is one record: its segments, whose number is bounded by its length
     lead = lambda name: F.max(F.when(F.col("kind") != "continuation", F.col(name))).alias(name)
     whole = rows.groupBy("origin").agg(
-        F.max(F.when(F.col("kind") != "continuation", F.col("kind"))).alias("type"), lead("uri"), lead("digest"), lead("refers"),
+        F.max(F.when(F.col("kind") != "continuation", F.col("kind"))).alias("type"), lead("page"), lead("uri"), lead("digest"), lead("refers"),
         F.max("total").alias("total"), F.max("seg").alias("last"),
         F.array_sort(F.collect_set(F.struct("seg", "block"))).alias("parts"),
     )
@@ -231,13 +238,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     fits = F.col("found.payload").isNotNull() & F.coalesce(F.col("digest") == F.col("found.digest"), F.col("digest").isNull())
     ok = F.col("complete") & F.coalesce(F.when(own, fits).otherwise(F.col("refers").isNotNull()), F.lit(False))
     return whole.select(
-        F.col("origin").alias("id"), "uri", F.col("type").alias("kind"), "refers", "digest",
+        F.col("origin").alias("id"), "page", "uri", F.col("type").alias("kind"), "refers", "digest",
         F.when(ok, F.col("found.payload")).alias("payload"), ok.alias("ok"),
     )
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Records with the payload's length ``n``, given to revisits too, from what they refer to."""
-    sizes = records.filter(F.col("kind") != "revisit").select(F.col("id").alias("r_"), F.col("n").alias("of_"))
-    again = records.join(sizes, (F.col("refers") == F.col("r_")) & (F.col("kind") == "revisit"), "left")
-    return again.withColumn("n", F.coalesce("n", "of_")).drop("r_", "of_")
+    """Records with the payload's length ``n``, given to revisits too, from what they refer to.
+
+    That is a record's id, or the page of several equal records, and the digest."""
+    named_ = F.coalesce(F.concat(F.lit("<urn:page:"), F.col("page"), F.lit(">")), F.col("id"))
+    sizes = records.filter(F.col("kind") != "revisit").groupBy(named_.alias("r_"), F.col("digest").alias("d_"))
+    sizes = sizes.agg(F.max("n").alias("of_"))
+    again = (F.col("refers") == F.col("r_")) & F.col("digest").eqNullSafe(F.col("d_")) & (F.col("kind") == "revisit")
+    return records.join(sizes, again, "left").withColumn("n", F.coalesce("n", "of_")).drop("r_", "d_", "of_")
