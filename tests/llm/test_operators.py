@@ -5,6 +5,7 @@ import json
 import random
 import re
 import sys
+import time
 from collections import Counter, defaultdict
 from itertools import product
 from pathlib import Path
@@ -18,11 +19,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 from tabmend.llm import near_dedup as nd
 from tabmend.llm.chat_tools import format_chat
 from tabmend.llm.decontaminate import decontaminate
-from tabmend.llm.html_extract import extract_text, main_text
+from tabmend.llm.html_extract import extract_text, main_text, tokens
 from tabmend.llm.line_dedup import dedup_lines
 from tabmend.llm.mixing import mix_sources, targets
 from tabmend.llm.near_dedup import near_duplicates
 from tabmend.llm.quality_model import fit, good_documents, score_quality
+from tabmend.llm.queries import archived
 from tabmend.llm.quality_rules import quality_rules, text_counts
 from tabmend.llm.substring_dedup import dedup_substrings, prefix_classes, repeated_runs, suffix_order
 from tabmend.llm.warc import payload_of, read_segments, read_warc, unchunked, write_warc
@@ -441,6 +443,22 @@ def test_warc(spark, tmp_path):
     assert payload_of(b"HTTP/1.1 200 OK\r\n\r\nx") == b"x" and payload_of(b"x") is None
 
 
+def test_warc_nulls_and_repeats(spark):
+    """Every row is a record: null ids, repeated rows, one id with several payloads, other columns."""
+    one, two = words(1, 60), words(2, 4000)
+    rows = [(None, "a", one), (None, "a", one), (None, None, None), (3, "u", one), (3, "u", one), (3, "v", two), (4, "w", two), (5, "x", one), (6, "y", "s"), (6, "y", "s")]
+    pages = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = Counter((r.page_id, r.uri, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.ok) for r in archived(pages).collect())
+    want = Counter()
+    for i, url, page in rows:
+        data = (page or "").encode()
+        first = min((j for j, _, p in rows if p == page and j is not None), default=None)
+        again = len(data) >= 100 and first is not None and first != i
+        want[(i, url or "", len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first if again else None, True)] += 1
+    assert got == want
+    assert archived(pages.limit(0)).isEmpty()
+
+
 def test_warc_cut_off(spark, tmp_path):
     head = "WARC/1.1\r\nWARC-Type: {}\r\nWARC-Record-ID: <a{}>\r\n{}Content-Length: {}\r\n\r\n{}\r\n\r\n"
     block = "HTTP/1.1 200 OK\r\n\r\nhello"
@@ -520,3 +538,38 @@ def test_pipeline_near_copies(spark):
         got = corpus_pipeline.near_copies(spark, docs(spark, given), "").collect()
         assert Counter((g.doc_id, g.text, g.source) for g in got if g.doc_id != 6) == want
         assert sum(g.doc_id == 6 for g in got) == 1
+
+
+# 4, broken markup
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<p class=\"", "<p class='x", "<", "<a<", "<!", "<!-- ", "</p", "<a b=\"'", "<script ", "<div>", "</b></i>", "<div></p>", "<p>x", "<script>"])
+@pytest.mark.parametrize("end", ["", ">", "\">"])
+def test_broken_markup_in_linear_time(piece, end):
+    """1 MB of anything that never ends, or ends at the last sign."""
+    start = time.process_time()
+    main_text("<p>Some words here.</p>" + piece * (1_000_000 // len(piece)) + end)
+    assert time.process_time() - start < 20
+
+
+def test_tokens():
+    """The markup of small pages, against a search that tries every way from every place."""
+    tag = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+    r = random.Random(6)
+    for _ in range(3_000):
+        page = "".join(r.choice(["<", ">", "a", "b ", "/", "\"", "'", "=", "<p ", "</p", "x\n"]) for _ in range(r.randint(1, 25)))
+        want, at = [], 0
+        while at < len(page):
+            m = tag.match(page, at)
+            if m:
+                want.append((m.start(), m.end(), bool(m[1]), m[2].lower(), m[3]))
+            at = m.end() if m else at + 1
+        assert list(tokens(page)) == want, page
+
+
+def test_comments_of_readers():
+    body = "<p>" + words(3, 120) + "</p>"
+    for name in ("user-comments-list", "comments", "list_of_replies", "CommentList comment"):
+        page = f"<article>{body}<div class=\"{name}\"><p>{words(4, 80)}</p></div></article>"
+        assert main_text(page) == words(3, 120), name
+    assert words(4, 80) in main_text(f"<article>{body}<div class=\"post-content-with-sidebar\"><p>{words(4, 80)}</p></div></article>")
