@@ -133,6 +133,8 @@ ACTION_MANUAL = "Manual override: %s"
 # --- ledger messages (str.format) -------------------------------------------
 LOG_STRIP = "Applied whitespace stripping across {n} string features."
 LOG_ALIAS = "Normalized {n} aliases in '{column}' to canonical values: {canonicals}."
+LOG_STRIPPED_CELLS = "Stripped {n} cells of '{column}'."
+LOG_ALIASED_CELLS = "Replaced {n} cells of '{column}' by their canonical value."
 LOG_NO_COLUMN = "Skipped '{column}': column not found in dataset."
 LOG_DROP = (
     "Applied DROP strategy on '{column}': removed feature column "

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tabmend.functions import fixed
 from tabmend.functions.kinds import kinds, ref
@@ -14,6 +14,7 @@ from tabmend.spec import TableSpec
 CASE_PAIRS = 32
 # Up to this many pairs are broadcast to the tasks; more are joined by a shuffle.
 BROADCAST_PAIRS = 100_000
+_BEFORE = "__tabmend_before"
 _ALIAS, _CANONICAL = "__tabmend_alias", "__tabmend_canonical"
 
 
@@ -77,7 +78,49 @@ def clean_messages(df: DataFrame, spec: TableSpec) -> list[dict]:
     return entries
 
 
+def observe_clean(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, Observation, dict[str, tuple[str, str]]]:
+    """The cleaned frame with counts of the cells that each step changes, taken by the job that writes it.
+
+    The counts are metrics of one node of the plan, so they cost no scan; ``changed_cells`` reads
+    them once that job has run."""
+    asked: dict[str, tuple[str, str]] = {}
+    counts, before = [], {}
+    for name in string_columns(df):
+        i = len(before)
+        before[f"{_BEFORE}{i}"] = ref(name)
+        was, column = F.col(f"{_BEFORE}{i}"), spec.get(name)
+        asked[f"strip{i}"] = ("strip", name)
+        counts.append(F.count_if(strip(was) != was).alias(f"strip{i}"))
+        if column and column.aliases:
+            asked[f"alias{i}"] = ("alias", name)
+            counts.append(F.count_if(ref(name) != strip(was)).alias(f"alias{i}"))
+    observation = Observation()
+    if not counts:
+        return replace_aliases(df, spec), observation, asked
+    cleaned = replace_aliases(_keep(df, before), spec)
+    return cleaned.observe(observation, *counts).drop(*before), observation, asked
+
+
+def _keep(df: DataFrame, before: dict) -> DataFrame:
+    """Stripped strings beside what they were."""
+    stripped = {name: strip(ref(name)) for name in string_columns(df)}
+    return df.withColumns(before).withColumns(stripped)
+
+
+def changed_cells(observation: Observation, asked: dict[str, tuple[str, str]]) -> list[dict]:
+    """Ledger entries with the cells replaced, one for each column and step that changed any."""
+    if not asked:
+        return []
+    found = observation.get
+    templates = {"strip": fixed.LOG_STRIPPED_CELLS, "alias": fixed.LOG_ALIASED_CELLS}
+    return [
+        {"step": "clean", "column": name, "message": templates[what].format(n=found[key], column=name), "cells": found[key], "what": what}
+        for key, (what, name) in asked.items()
+        if found[key]
+    ]
+
+
 def clean(df: DataFrame, spec: TableSpec | None = None) -> tuple[DataFrame, list[dict]]:
     """cln_pipeline: strip, then aliases; the schema is inferred when not given."""
-    spec = spec if spec is not None else infer_rules(df, exact=False)
+    spec = spec if spec is not None else infer_rules(df)
     return replace_aliases(strip_strings(df), spec), clean_messages(df, spec)

@@ -16,7 +16,7 @@ from tabmend.functions.kinds import is_numeric, kinds, measure, present, ref
 from tabmend.functions.masks import anomalous
 from tabmend.operators.quantiles import exact_quantiles
 from tabmend.operators.rowkeys import ROW_KEY, with_row_key
-from tabmend.operators.synthesize import synthesize_minority
+from tabmend.operators.synthesize import minority_rows
 from tabmend.operators.values import extremes
 from tabmend.spec import TableSpec
 
@@ -67,32 +67,39 @@ def apply_decisions(
     seed: int = fixed.DEFAULT_SEED,
     key: list[str] | None = None,
     include_outliers: bool = False,
+    onto: DataFrame | None = None,
 ) -> tuple[DataFrame, list[dict]]:
     """rem_dispatch: the remediated frame and one ledger entry per decision.
 
     ``key`` names the columns that identify a row for reproducible draws; by
     default the id columns of the schema.  With ``include_outliers`` a Gaussian
     replacement also replaces z-outliers, not only missing and out-of-bounds
-    cells."""
+    cells.  ``onto`` is a frame of the same rows that the result is built on, while all
+    statistics read ``df``: what only the final job should do can hang on it."""
     spec = spec or TableSpec()
+    onto = df if onto is None else onto
     entries: list[dict] = []
     run: dict[str, str] = {}
     for column, strategy in decisions.items():
         if column in df.columns and _is_synthesis(strategy) and spec.is_target(column):
-            df = _column_local(df, run, spec, seed, key, include_outliers, entries)
+            df, onto = _column_local(df, onto, run, spec, seed, key, include_outliers, entries)
             run = {}
-            df, message = synthesize_minority(df, column, spec=spec, seed=seed)
+            rows, message = minority_rows(df, column, spec=spec, seed=seed)
+            if rows is not None:
+                plain = df.unionByName(rows)
+                df, onto = plain, plain if onto is df else onto.unionByName(rows)
             entries.append({"step": "remediate", "column": column, "message": message})
         else:
             run[column] = strategy
-    return _column_local(df, run, spec, seed, key, include_outliers, entries), entries
+    return _column_local(df, onto, run, spec, seed, key, include_outliers, entries)[1], entries
 
 
 def _is_synthesis(strategy: str) -> bool:
     return parse_strategy(strategy)[0] == fixed.SYNTHETIC_SYNTHESIS
 
 
-def _column_local(df, run, spec, seed, key, include_outliers, entries) -> DataFrame:
+def _column_local(df, onto, run, spec, seed, key, include_outliers, entries) -> tuple[DataFrame, DataFrame]:
+    """The run's decisions on ``df`` and on ``onto``."""
     kind = kinds(df)
     steps: list[_Step] = []
     for column, strategy in run.items():
@@ -106,9 +113,10 @@ def _column_local(df, run, spec, seed, key, include_outliers, entries) -> DataFr
     _medians(df, steps)
     _modes(df, steps)
     key = key if key is not None else [c for c in spec.id_columns if c in df.columns]
-    result = _project(df, steps, key, seed)
+    result = _project(onto, steps, key, seed)
+    plain = result if onto is df else _project(df, steps, key, seed)
     entries += [{"step": "remediate", "column": s.column, "message": s.message} for s in steps]
-    return result
+    return plain, result
 
 
 def _plan(df, column, kind, strategy, spec: TableSpec, include_outliers: bool) -> _Step:

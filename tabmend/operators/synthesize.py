@@ -106,13 +106,23 @@ def synthesize_minority(
     seed: int = fixed.DEFAULT_SEED,
 ) -> tuple[DataFrame, str]:
     """Append the rows that bring the minority class to ``ratio``; and a message."""
+    rows, message = minority_rows(df, target, ratio, spec, seed)
+    return df if rows is None else df.unionByName(rows), message
+
+
+def minority_rows(
+    df: DataFrame,
+    target: str,
+    ratio: float = fixed.BALANCE_TARGET,
+    spec: TableSpec | None = None,
+    seed: int = fixed.DEFAULT_SEED,
+) -> tuple[DataFrame | None, str]:
+    """The rows that are missing, None if none is; and a message."""
     balance = balance_of(df, target, spec, ratio)
     message = _outcome(balance, ratio).format(
         column=target, n=balance.needed, old=balance.ratio * 100, new=balance.new_ratio * 100
     )
-    if not balance.needed:
-        return df, message
-    return df.unionByName(synthetic_rows(df, target, balance, spec, seed)), message
+    return (synthetic_rows(df, target, balance, spec, seed) if balance.needed else None), message
 
 
 def _outcome(balance: Balance, ratio: float) -> str:

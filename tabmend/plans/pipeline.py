@@ -20,6 +20,7 @@ from tabmend.operators.colstats import collect_stats
 from tabmend.session import local_table
 from tabmend.sources import ledger as ledgers
 from tabmend.sources.csv import read_csv, write_csv
+from tabmend.sources.publish import Folder
 from tabmend.sources.report import render_report, write_report
 from tabmend.spec import TableSpec
 
@@ -187,12 +188,18 @@ def apply(
         decisions = plan.decisions
     chosen = dict(decisions) if isinstance(decisions, dict) else as_decisions(decisions)
     cleaned = clean.replace_aliases(clean.strip_strings(df), plan.spec)
+    counted = cleaned
+    if path:  # the job that writes counts the cells that cleaning replaces
+        counted, observation, asked = clean.observe_clean(df, plan.spec)
     result, log = remediate.apply_decisions(
-        cleaned, chosen, plan.spec, plan.seed, include_outliers=include_outliers
+        cleaned, chosen, plan.spec, plan.seed, include_outliers=include_outliers, onto=counted
     )
-    entries = [*plan.entries, *(_entry(**e) for e in log)]
+    entries = [*plan.entries]
     if path:
         result = _write(result, path, format)
+        changed = clean.changed_cells(observation, asked)
+        entries += [_entry(e["step"], e["column"], e["message"]) for e in changed]
+    entries += [_entry(**e) for e in log]
     after = issues.profile(result, plan.spec)
     residual = issues.issues_of(after)
     if chosen:
@@ -219,29 +226,30 @@ def export(
     include_outliers: bool = True,
 ) -> Applied:
     """Apply a plan and write everything below ``path``: data/, decisions/, delta/,
-    residual/, ledger/ and report/."""
+    residual/, profile/, ledger/ and report/.
+
+    All parts are staged and published together: an export that dies leaves the one before
+    readable, whole.  ``read_part`` finds a part at any moment."""
     spark = plan.spark
-    applied = apply(df, plan, decisions, include_outliers, f"{path}/data", format)
-    done = _entry("export", None, fixed.LOG_EXPORTED.format(path=applied.path))
+    folder = Folder(spark, path)
+    staged, final = folder.stage(), f"{folder.path}/data"
+    applied = apply(df, plan, decisions, include_outliers, f"{staged}/data", format)
+    done = _entry("export", None, fixed.LOG_EXPORTED.format(path=final))
     entries = [*applied.entries, done]
     chosen = decisions_table(spark, applied.decisions)
-    tables = {
-        "decisions": chosen,
-        "delta": verify.compare_profiles(plan.profile, applied.profile),
-        "residual": applied.residual,
-    }
-    for name, table in tables.items():
-        table.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+    profile = _part(applied.profile, f"{staged}/profile")
+    residual = _part(applied.residual, f"{staged}/residual")
+    _part(chosen, f"{staged}/decisions")
+    _part(verify.compare_profiles(plan.profile, profile), f"{staged}/delta")
     log = ledgers.ledger_table(
-        spark, plan.run_id, entries, "completed", plan.source, applied.path, plan.seed
+        spark, plan.run_id, entries, "completed", plan.source, final, plan.seed
     )
-    ledgers.append(log, f"{path}/ledger")
     text = render_report(
         plan.source or "",
-        applied.path,
+        final,
         _rows(plan.profile),
-        _rows(applied.profile),
-        applied.residual.count(),
+        _rows(profile),
+        residual.count(),
         chosen,
         [e["message"] for e in entries],
         plan.advice,
@@ -251,8 +259,30 @@ def export(
             "duration_sec": ledgers.status(log).first()["duration_sec"],
         },
     )
-    write_report(spark, text, f"{path}/report")
-    return applied
+    write_report(spark, text, f"{staged}/report")
+    schemas = {"data": applied.data.schema, "profile": profile.schema, "residual": residual.schema}
+    folder.publish(staged)
+    ledgers.append(log, f"{folder.path}/ledger")
+    data, after, left = (
+        read_part(spark, folder.path, name, schema, format if name == "data" else "parquet")
+        for name, schema in schemas.items()
+    )
+    return Applied(data, left, after, applied.decisions, entries, final)
+
+
+def _part(table: DataFrame, path: str) -> DataFrame:
+    """A small table, written once; what follows reads the file."""
+    table.coalesce(1).write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def read_part(spark: SparkSession, path: str, name: str, schema=None, format: str = "parquet") -> DataFrame:
+    """A part of the last export published in ``path``."""
+    at = Folder(spark, path).part(name)
+    if format == "csv":
+        return read_csv(spark, at, schema)
+    reader = spark.read.format(format)
+    return (reader.schema(schema) if schema else reader).load(at)
 
 
 def _rows(profile: DataFrame) -> int:

@@ -1,4 +1,7 @@
-"""The audit ledger: one row per recorded step of a run, appended, never changed."""
+"""The audit ledger: one row per recorded step, (run_id, seq).
+
+A run has a folder of its own.  Recording it again, after a retry or once it has got further, replaces its
+rows and no others, so every run counts once."""
 
 from __future__ import annotations
 
@@ -49,12 +52,19 @@ def ledger_table(
 
 
 def append(ledger: DataFrame, path: str) -> None:
-    ledger.coalesce(1).write.mode("append").parquet(path)
+    """Records the runs of ``ledger`` below ``path``; other runs stay as they are."""
+    # the prefix keeps Spark from reading an id of digits as a number
+    runs = ledger.withColumn("run", F.concat(F.lit("run-"), "run_id")).coalesce(1)
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def status(ledger: DataFrame, run_id: str | None = None) -> DataFrame:
     """ledger_status: files, state, times, duration and seed of one run or of all."""
     rows = ledger if run_id is None else ledger.where(F.col("run_id") == run_id)
+    # an entry that was recorded twice counts once, as it was recorded last
+    steps = ["run_id", "seq"]
+    rest = F.struct("at", *[c for c in LEDGER_SCHEMA.names if c not in ("at", *steps)])
+    rows = rows.groupBy(*steps).agg(F.max_by(rest, F.col("at")).alias("entry")).select(*steps, "entry.*")
     started, ended = F.min("at"), F.max("at")
     seconds = F.unix_millis(ended.cast("timestamp")) - F.unix_millis(started.cast("timestamp"))
     state = F.max_by("state", "seq")

@@ -147,3 +147,94 @@ def test_dirty_sample(spark):
 def test_entry_and_registry(spark):
     assert entry(spark).count() > 0
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_cells_replaced_are_counted_by_the_writing_job(spark, tmp_path):
+    """Counts per column in the ledger, equal to SQL's, with a synthesis and a mode in between."""
+    from tabmend.operators import clean
+
+    towns = [" New York", "new york", "New York ", "NY", "Boston", None, ""]
+    rows = [(f"K{i:04d}", towns[i % 7], int(i % 20 == 0), " pad" if i % 5 == 0 else "ok") for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, town string, hit int, note string").repartition(6)
+    p = plan(df)
+    decisions = {"town": "STATISTICAL_IMPUTE", "hit": "SYNTHETIC_SYNTHESIS"}
+    out = export(df, p, str(tmp_path / "run"), decisions)
+    aliases = p.spec.get("town").aliases
+    told = {(e["message"].split()[0], e["column"]): int(e["message"].split()[1]) for e in out.entries if " cells of " in e["message"]}
+    want = {("Stripped", "town"): 200, ("Stripped", "note"): 140}
+    want[("Replaced", "town")] = sum((r[1] or "").strip() in aliases for r in rows)
+    assert aliases and told == want
+    plain, observation, asked = clean.observe_clean(df, p.spec)
+    assert plain.columns == df.columns
+    assert sorted(map(str, plain.collect())) == sorted(map(str, clean.clean(df, p.spec)[0].collect()))
+    assert {(e["what"], e["column"]): e["cells"] for e in clean.changed_cells(observation, asked)} == {
+        ("strip", "town"): 200, ("strip", "note"): 140, ("alias", "town"): want["Replaced", "town"]
+    }
+    empty, observation, asked = clean.observe_clean(df.limit(0), p.spec)
+    assert empty.isEmpty() and clean.changed_cells(observation, asked) == []
+
+
+def test_an_export_that_dies_leaves_the_one_before(spark, tmp_path, monkeypatch):
+    from tabmend.plans import pipeline
+    from tabmend.sources.publish import Folder
+
+    df, path = orders(spark), str(tmp_path / "run")
+    p = plan(df, run_id="20240101", source="a")
+    export(df, p, path, {"amount": "STATISTICAL_IMPUTE"})
+    parts = ("data", "decisions", "delta", "residual", "profile", "report")
+
+    def state():
+        return {n: sorted(map(str, pipeline.read_part(spark, path, n, format="text" if n == "report" else "parquet").collect())) for n in parts}
+
+    first = state()
+    assert first == {n: sorted(map(str, (spark.read.text if n == "report" else spark.read.parquet)(f"{path}/{n}").collect())) for n in parts}
+    # dies while it renders the report, after most parts are written
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "render_report", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            export(df, p, path, {"amount": "DROP"})
+    assert state() == first
+    # dies between two moves, after the marker: readers get the new export whole
+    folder, moves = Folder(spark, path), []
+    real = folder._fs
+
+    class Broken:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def rename(self, a, b):
+            moves.append(str(a))
+            return len(moves) < 3 and real.rename(a, b)
+
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "Folder", lambda s, d: folder if d == path else Folder(s, d))
+        folder._fs = Broken()
+        with pytest.raises(OSError, match="publish"):
+            export(df, p, path, {"amount": "DROP"})
+        folder._fs = real
+    second = state()
+    assert len(moves) == 3 and all(second[n] != first[n] for n in ("data", "decisions", "delta", "report"))
+    assert "amount" not in pipeline.read_part(spark, path, "data").columns
+    # the next export finishes those moves first; nothing is left over
+    third = export(df, p, path, {"amount": "STATISTICAL_IMPUTE"})
+    assert {n: v for n, v in state().items() if n != "report"} == {n: v for n, v in first.items() if n != "report"}
+    assert sorted(map(str, third.data.collect())) == first["data"]
+    assert not [f for f in (tmp_path / "run").iterdir() if f.name.startswith("_publishing")]
+
+
+def test_a_run_recorded_twice_counts_once(spark, tmp_path):
+    df, path = orders(spark), str(tmp_path / "run")
+    one, two = plan(df, run_id="0001", source="a"), plan(df, run_id="1e5", source="b")
+    ledgers.append(one.ledger(), f"{path}/ledger")
+    assert ledgers.status(spark.read.parquet(f"{path}/ledger"), "0001").first()["is_waiting"]
+    long = export(df, one, path, {"amount": "STATISTICAL_IMPUTE", "status": "SYNTHETIC_SYNTHESIS"})
+    short = export(df, one, path, {"amount": "DROP"})
+    assert len(short.entries) < len(long.entries)
+    export(df, two, path, {})
+    ledgers.append(two.ledger(), f"{path}/ledger")
+    got = {r["run_id"]: r for r in ledgers.status(spark.read.parquet(f"{path}/ledger")).collect()}
+    assert set(got) == {"0001", "1e5"}
+    assert (got["0001"]["entries"], got["0001"]["is_completed"]) == (len(short.entries), True)
+    assert (got["1e5"]["entries"], got["1e5"]["is_waiting"]) == (len(two.entries), True)
+    twice = one.ledger().unionByName(one.ledger())
+    assert ledgers.status(twice).first()["entries"] == len(one.entries)
