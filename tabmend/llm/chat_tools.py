@@ -3,8 +3,9 @@
 A message whose text is a JSON object with ``tool_calls`` makes calls, one with role
 ``tool`` brings the result of one.  Calls and results are joined by conversation and call
 identifier.  A result goes right after its call; a call goes after the calls named in its
-``after`` list.  Every event's place is (place of its message, level, number, kind), so the
-order needs no sort of a conversation and no conversation has to fit into a task.
+``after`` list.  Every event's place is (place of its message, level, message, number, kind), so the
+order needs no sort of a conversation and no conversation has to fit into a task.  Several
+messages of one turn are told apart by a digest of their text; equal ones are equal events.
 """
 
 from __future__ import annotations
@@ -22,9 +23,32 @@ CALLS = (
 NO_TURN = -(2**63)
 
 
+#: A string, a number or what lies between them, in JSON without blanks.
+TOKEN = r'"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'
+
+
 def canonical(json: Column) -> Column:
-    """JSON with sorted keys and no blanks; null where it is no JSON."""
-    return F.to_json(F.try_parse_json(json))
+    """JSON with sorted keys and no blanks; null where it is no JSON.
+
+    Equal numbers have one form, plain digits without needless zeros (``1``, ``1.0`` and ``1e0`` are ``1``); what
+    needs more than 38 digits so keeps an exponent.  Only the parser's binary numbers need to be rewritten."""
+    plain = F.to_json(F.try_parse_json(json))
+    tokens = F.transform(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0)), lambda t: F.when(t.rlike("^-?[0-9]"), _digits(t)).otherwise(t))
+    return F.when(plain.rlike(r"[0-9]\.0(?![0-9])|[0-9]E"), F.array_join(tokens, "")).otherwise(plain)
+
+
+def _digits(number: Column) -> Column:
+    """The shortest plain form of a number in text."""
+    value, size = number.try_cast("double"), F.abs(number.try_cast("double"))
+    exact = [
+        F.when(among, number.try_cast(f"decimal(38,{scale})"))
+        for scale, among in ((37, size < 1), (10, (size >= 1) & (size < 1e17)), (0, size >= 1e17))
+    ]
+    texts = [F.when(d.cast("double") == value, F.regexp_replace(d.cast("string"), r"(\.[0-9]*?)0+$", "$1")) for d in exact[:2]]
+    texts.append(F.when(exact[2].cast("double") == value, exact[2].cast("string")))
+    short = F.regexp_replace(F.coalesce(*texts), r"\.$", "")
+    binary = number.rlike(r"E|\.0$")
+    return F.when(binary, F.when(value == 0, "0").otherwise(F.coalesce(short, number))).otherwise(number)
 
 
 def events(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> tuple[DataFrame, ...]:
@@ -33,6 +57,7 @@ def events(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, tex
         named(conv_col).alias("conv"), named(turn_col).cast("long").alias("turn"),
         F.coalesce(named(role_col).cast("string"), F.lit("")).alias("role"), full(named(text_col)).alias("text"),
     )
+    df = df.withColumn("message", F.sha2("text", 256))
     looks = F.col("text").startswith("{") & (
         (F.col("role") == "tool") | F.col("text").contains('"tool_calls"')
     )
@@ -40,13 +65,13 @@ def events(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, tex
     calling = F.coalesce(F.size("j.tool_calls") > 0, F.lit(False)) & (F.col("role") != "tool")
     answering = (F.col("role") == "tool") & F.col("j.tool_call_id").isNotNull()
     plain = df.filter(~answering).select(
-        "conv", "turn", "role",
+        "conv", "turn", "message", "role",
         F.when(calling, F.coalesce("j.content", F.lit(""))).otherwise(F.col("text")).alias("content"),
         calling.alias("calls"),
     )
-    calls = df.filter(calling).select("conv", "turn", F.posexplode("j.tool_calls").alias("number", "c"))
+    calls = df.filter(calling).select("conv", "turn", "message", F.posexplode("j.tool_calls").alias("number", "c"))
     calls = calls.select(
-        "conv", "turn", F.col("number").cast("long").alias("number"), F.col("c.id").alias("call_id"),
+        "conv", "turn", "message", F.col("number").cast("long").alias("number"), F.col("c.id").alias("call_id"),
         F.coalesce("c.name", F.lit("")).alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("arguments"),
         F.coalesce("c.after", F.array().cast("array<string>")).alias("after"),
     )
@@ -128,11 +153,11 @@ def _unordered(waits: DataFrame, space: Workspace) -> DataFrame:
 
 
 def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(conv, turn, number, problems): what is wrong with the arguments of each call, sorted.
+    """(conv, turn, message, number, problems): what is wrong with the arguments of each call, sorted.
 
     ``schemas`` has (name, param, type, required, most): types are those of JSON, ``most`` bounds
     a string's code points or a number, null for no bound."""
-    key = ["conv", "turn", "number"]
+    key = ["conv", "turn", "message", "number"]
     sch = schemas.select(
         F.col("name").alias("s_name"), "param", F.col("type").alias("want"), "required", F.col("most").cast("double").alias("most")
     )
@@ -180,20 +205,23 @@ def format_chat(
     role_col: str = "role",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per event: conv, at_turn, level, number, step, kind, call_id, linked, problems, json.
+    """One row per event: conv, at_turn, level, message, number, step, kind, call_id, linked, problems, json.
 
-    Sorting a conversation by (at_turn, level, number, step) gives its order: step 0 is a message, 1 a
-    call, 2 its result.  Of several calls with one identifier the first is linked, of
-    several results the earliest; the others, and results without a call, are kept at their own turn with
+    Sorting a conversation by (at_turn, level, message, number, step) gives its order: step 0 is a message, 1 a
+    call, 2 its result; ``message`` is a digest of the message's text and orders those of one turn.  Of several calls
+    with one identifier the first by (turn, message, number) is linked, of several results the earliest; the others, and results without a call, are kept at their own turn with
     ``linked`` false and a problem.  Null texts are empty, null roles "", null conversations one
     conversation, null turns sort first.  Texts that only look like JSON stay plain text.  Rows that
     repeat give repeated events.  Empty tables give no rows."""
     space = Workspace(messages.sparkSession)
     plain, calls, results = events(messages, conv_col, turn_col, role_col, text_col)
-    first = calls.groupBy("conv", "call_id").agg(F.min(F.struct("turn", "number")).alias("f_"))
+    first = calls.groupBy("conv", "call_id").agg(F.min(F.struct("turn", "message", "number")).alias("f_"))
     first = first.withColumnsRenamed({"conv": "c_", "call_id": "i_"})
     calls = calls.join(first, F.col("conv").eqNullSafe(F.col("c_")) & (F.col("call_id") == F.col("i_")), "left")
-    is_first = F.coalesce(F.col("f_.turn").eqNullSafe(F.col("turn")) & (F.col("f_.number") == F.col("number")), F.lit(False))
+    is_first = F.coalesce(
+        F.col("f_.turn").eqNullSafe(F.col("turn")) & (F.col("f_.message") == F.col("message")) & (F.col("f_.number") == F.col("number")),
+        F.lit(False),
+    )
     calls = space.stored(calls.withColumn("first", is_first).drop("c_", "i_", "f_"), "calls")
     calls = placed(calls, space)
     found = results.groupBy(F.col("conv").alias("c_"), F.col("call_id").alias("i_")).agg(
@@ -201,14 +229,14 @@ def format_chat(
     )
     same = F.col("conv").eqNullSafe(F.col("c_")) & (F.col("call_id") == F.col("i_"))
     calls = calls.join(found, same & F.col("first"), "left").drop("c_", "i_")
-    bad = problems(calls, schemas).withColumnsRenamed({"conv": "c_", "turn": "t_", "number": "n_"})
-    same = F.col("conv").eqNullSafe(F.col("c_")) & F.col("turn").eqNullSafe(F.col("t_")) & (F.col("number") == F.col("n_"))
-    calls = calls.join(bad, same, "left")
-    calls = space.stored(calls.drop("c_", "t_", "n_"), "linked")
+    bad = problems(calls, schemas).withColumnsRenamed({"conv": "c_", "turn": "t_", "message": "m_", "number": "n_"})
+    same = F.col("conv").eqNullSafe(F.col("c_")) & F.col("turn").eqNullSafe(F.col("t_"))
+    calls = calls.join(bad, same & (F.col("message") == F.col("m_")) & (F.col("number") == F.col("n_")), "left")
+    calls = space.stored(calls.drop("c_", "t_", "m_", "n_"), "linked")
     none = F.lit(None).cast("string")
     zero = F.lit(0).cast("long")
     said = plain.select(
-        "conv", F.col("turn").alias("at_turn"), zero.alias("level"), zero.alias("number"), F.lit(0).alias("step"),
+        "conv", F.col("turn").alias("at_turn"), zero.alias("level"), "message", zero.alias("number"), F.lit(0).alias("step"),
         F.lit("message").alias("kind"), none.alias("call_id"), F.lit(True).alias("linked"), F.lit("").alias("problems"),
         F.to_json(F.struct("content", "role")).alias("json"),
     )
@@ -220,7 +248,7 @@ def format_chat(
     text = lambda c: F.get_json_object(F.to_json(F.struct(c.alias("x"))), "$")
     quoted = lambda c: F.substring(text(c), F.lit(6), F.length(text(c)) - 6)
     asked = calls.select(
-        "conv", F.col("at.turn").alias("at_turn"), F.col("at.level").alias("level"), "number", F.lit(1).alias("step"),
+        "conv", F.col("at.turn").alias("at_turn"), F.col("at.level").alias("level"), "message", "number", F.lit(1).alias("step"),
         F.lit("call").alias("kind"), "call_id", F.col("r_").isNotNull().alias("linked"), note.alias("problems"),
         F.concat(
             F.lit('{"arguments":'), arguments, F.lit(',"id":'), quoted(F.coalesce("call_id", F.lit(""))),
@@ -229,7 +257,7 @@ def format_chat(
     )
     answer = F.to_json(F.struct("content", F.lit("tool").alias("role"), F.col("call_id").alias("tool_call_id")))
     told = calls.filter(F.col("r_").isNotNull()).select(
-        "conv", F.col("at.turn").alias("at_turn"), F.col("at.level").alias("level"), "number", F.lit(2).alias("step"),
+        "conv", F.col("at.turn").alias("at_turn"), F.col("at.level").alias("level"), "message", "number", F.lit(2).alias("step"),
         F.lit("result").alias("kind"), "call_id", F.lit(True).alias("linked"), F.lit("").alias("problems"),
         F.col("r_.content").alias("content"),
     ).withColumn("json", answer).drop("content")
@@ -245,7 +273,7 @@ def format_chat(
     ).withColumn("over_", F.col("copies_") - F.coalesce("linked_", F.lit(0)))
     lost = lost.filter("over_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), "over_")))
     lost = lost.select(
-        "conv", F.col("turn").alias("at_turn"), zero.alias("level"), zero.alias("number"), F.lit(2).alias("step"),
+        "conv", F.col("turn").alias("at_turn"), zero.alias("level"), F.sha2("content", 256).alias("message"), zero.alias("number"), F.lit(2).alias("step"),
         F.lit("result").alias("kind"), "call_id", F.lit(False).alias("linked"), F.lit("no call for it").alias("problems"),
         "content",
     ).withColumn("json", answer).drop("content")

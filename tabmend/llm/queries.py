@@ -68,7 +68,7 @@ def op5_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("reply", "question", "string", True, 300.0), ("reply", "turn", "integer", True, None), ("reply", "lang", "string", False, None)],
         "name string, param string, type string, required boolean, most double",
     )
-    return format_chat(wire, schemas)
+    return format_chat(wire, schemas).drop("message")  # a turn has one message
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

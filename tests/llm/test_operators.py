@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from tabmend.llm import near_dedup as nd
-from tabmend.llm.chat_tools import format_chat
+from tabmend.llm.chat_tools import canonical, format_chat
 from tabmend.llm.decontaminate import decontaminate
 from tabmend.llm.html_extract import extract_text, main_text, tokens
 from tabmend.llm.line_dedup import dedup_lines
@@ -303,6 +303,44 @@ def test_chat_repeats(spark):
     assert {g.at_turn for g in got if not g.linked} == {2} and {g.json for g in got} == {'{"content":"yes","role":"tool","tool_call_id":"1"}'}
 
 
+def test_chat_messages_of_one_turn(spark):
+    """Calls of two messages of a turn keep their own problems and order, and of two with one id one is linked."""
+    schemas = spark.createDataFrame([("f", "x", "integer", True, None)], "name string, param string, type string, required boolean, most double")
+    call = lambda i, name, arguments: {"id": i, "name": name, "arguments": arguments}
+    sets = [[call("a", "f", '{"x":1}'), call("s", "f", '{"x":7}')], [call("b", "h", "{}"), call("s", "f", '{"x":8}')]]
+    rows = [(c, t, "assistant", json.dumps({"tool_calls": calls})) for c, t in ((1, 5), (2, None), (None, 5)) for calls in sets]
+    rows += [(c, 6, "tool", json.dumps({"tool_call_id": i, "content": i})) for c in (1, 2, None) for i in "abs"]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("message", F.lit("clash"))
+    got = format_chat(df, schemas).collect()
+    lead = min(sets, key=lambda calls: hashlib.sha256(json.dumps({"tool_calls": calls}).encode()).hexdigest())
+    for conv in (1, 2, None):
+        mine = sorted((g for g in got if g.conv_id == conv), key=lambda g: (g.at_turn or 0, g.level, g.message, g.number, g.step))
+        assert [(g.call_id, g.problems) for g in mine if g.kind == "call" and g.call_id in "ab"] == [
+            (calls[0]["id"], {"a": "", "b": "unknown tool"}[calls[0]["id"]]) for calls in sorted(sets, key=lambda c: c is not lead)
+        ]
+        shared = [g for g in mine if g.call_id == "s"]
+        assert [(g.kind, g.linked, g.problems) for g in shared] == [("call", True, ""), ("result", True, ""), ("call", False, "repeated call")]
+        assert json.loads(shared[0].json)["arguments"] == json.loads(lead[1]["arguments"])
+        for n, g in enumerate(mine):
+            assert g.kind != "result" or (mine[n - 1].kind, mine[n - 1].call_id) == ("call", g.call_id)
+
+
+def test_canonical_numbers(spark):
+    """Equal numbers have one form; digits inside strings and keys stay."""
+    forms = {
+        "1": ["1", "1.0", "1e0", "10e-1", "1.00E+0"], "100": ["100", "1e2", "100.0"], "0": ["0", "-0", "0.0", "-0.0", "-0e0", "0E5"],
+        "-12345678.5": ["-12345678.5", "-1.23456785e7"], "0.00000001": ["1e-8", "0.00000001", "1.0E-8"], "0.1": ["0.1", "0.10", "1e-1"],
+        "1000000000000000000000000000000": ["1e30", "1" + "0" * 30], "12345678901234567890.25": ["12345678901234567890.25"],
+        "120": ["1.2e2", "120"], "9007199254740993": ["9007199254740993"], "1.0E300": ["1e300"],
+    }
+    rows = [(want, f'{{"b": [{form}, "1.0 1.0E2 \\" 3.0E4"], "a.0": {form}}}') for want, all_ in forms.items() for form in all_]
+    df = spark.createDataFrame(rows, "want string, json string")
+    for r in df.select("want", "json", canonical(F.col("json")).alias("got")).collect():
+        assert r.got == f'{{"a.0":{r.want},"b":[{r.want},"1.0 1.0E2 \\" 3.0E4"]}}', r.json
+    odd = spark.createDataFrame([(x,) for x in (None, "", "{", '"1.0"', "1.0", "[]")], "json string")
+    assert [r[0] for r in odd.select(canonical(F.col("json"))).collect()] == [None, None, None, '"1.0"', "1", "[]"]
+
+
 def test_chat_order(spark):
     """Places against the rule, told call by call; a long chain is neither cut nor called a cycle."""
     r = random.Random(11)
