@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from catalog.queries import COUNTED
 from catalog.sqlparts import (
     lit,
     normal,
@@ -238,7 +237,7 @@ def _dirty_gen() -> str:
 
 
 def _samples() -> str:
-    columns = ["customer_id", "name", "age", "country", "market", "segment", "churn"]
+    columns = ALL
     parts = [
         f"SELECT {ALL.index(c)} AS ord, '{c}' AS \"column\", (SELECT string_agg(v, ' | ' ORDER BY k, v) "
         f"FROM (SELECT customer_id AS k, CAST({c} AS VARCHAR) AS v FROM src WHERE {c} IS NOT NULL "
@@ -249,7 +248,7 @@ def _samples() -> str:
 
 
 def _summary() -> str:
-    columns = [c for c in ALL if c not in ("balance", "sparse")]
+    columns = ALL
     samples = " UNION ALL ".join(
         f"SELECT '{c}' AS c, string_agg(v, ' | ' ORDER BY k, v) AS samples "
         f"FROM (SELECT customer_id AS k, CAST({c} AS VARCHAR) AS v FROM src WHERE {c} IS NOT NULL "
@@ -324,7 +323,7 @@ def _pipe_apply() -> str:
     spec = {"spec_src": "SELECT * FROM src"}
     after = {
         "cleaned": _cleaned(),
-        "imputed": f"""SELECT customer_id, {_imputed('age', 'BIGINT', 'cleaned')},
+        "imputed": f"""SELECT customer_id, name, {_imputed('age', 'BIGINT', 'cleaned')},
             {_imputed('balance', 'DOUBLE', 'cleaned')}, country, market, segment, nation_code, churn
             FROM cleaned""",
         "acells": " UNION ALL ".join(
@@ -345,10 +344,10 @@ def _pipe_apply() -> str:
     def chosen(column: str) -> str:
         return _chosen(column, SEED).replace("FROM counts ", "FROM acounts ")
 
-    select = f"""SELECT customer_id, age, round(balance, 2) AS balance, country, market, segment,
+    select = f"""SELECT customer_id, name, age, round(balance, 2) AS balance, country, market, segment,
         nation_code, churn FROM imputed
       UNION ALL
-      SELECT {_SYN_ID}, {drawn('age', 'integer')}, {drawn('balance', 'float')}, {chosen('country')},
+      SELECT {_SYN_ID}, {_name('name')}, {drawn('age', 'integer')}, {drawn('balance', 'float')}, {chosen('country')},
         {chosen('market')}, {chosen('segment')}, {drawn('nation_code', 'integer')}, 1 AS churn FROM {ROWS}"""
     return profile_sql("dirty", select, strip=True, extra={**ALIAS_STAGES, **spec, **after})
 
@@ -475,7 +474,7 @@ ORACLES = {
     "prof_moments": _moments("dirty"),
     "prof_moments_lineitem": _moments("lineitem"),
     "prof_value_counts": dirty_profile(
-        f'SELECT ord, col AS "column", v AS value, n FROM counts WHERE col IN {_in(COUNTED)}'
+        f'SELECT ord, col AS "column", v AS value, n FROM counts'
     ),
     "prof_unique_values": dirty_profile(
         "SELECT ord, col AS \"column\", v AS value FROM counts "
@@ -534,7 +533,7 @@ ORACLES = {
         """SELECT a.col AS "column", a.v AS minority_value, a.n AS minority_n,
              b.v AS mode_value, b.n AS mode_n
            FROM ranked a JOIN ranked b USING (ord)
-           WHERE a.least = 1 AND b.most = 1 AND a.col NOT IN ('balance', 'sparse')"""
+           WHERE a.least = 1 AND b.most = 1"""
     ),
     "inf_nominal": _rule("nominal", "customer", "part", "orders"),
     "inf_discrete": _rule("discrete", "dirty", "lineitem", "conversations"),
@@ -560,12 +559,12 @@ ORACLES = {
         for t in ("lineitem", "orders", "part", "documents")
     },
     "cln_strip": "SELECT "
-    + ", ".join(f"{stripped(c)} AS {c}" for c in ("customer_id", "country", "market", "segment"))
+    + ", ".join(f"{stripped(c)} AS {c}" if k == "string" else c for c, k in dirty_kinds().items())
     + f" FROM {DIRTY}",
     "cln_alias": f"""SELECT customer_id, CASE country WHEN 'US' THEN 'United States' WHEN 'USA' THEN 'US'
         WHEN 'united states ' THEN 'United States' ELSE country END AS country FROM {DIRTY}""",
     "cln_pipeline": dirty_profile(
-        "SELECT customer_id, country, market, segment FROM cleaned",
+        "SELECT * FROM cleaned",
         strip=True,
         extra={**ALIAS_STAGES, "cleaned": _cleaned()},
     ),
@@ -583,6 +582,12 @@ ORACLES = {
     "man_actions": dirty_profile(
         _man_actions("CASE WHEN \"column\" = 'age' THEN 'MANUAL_INPUT:40' ELSE strategy END")
     ),
+    "man_files": f"""
+        SELECT 0 AS ord, '[READ]' AS action, 'dirty' AS path, count(*) || ' rows' AS description FROM ({DIRTY}) UNION ALL
+        SELECT * FROM (VALUES (1, '[CREATE]', '/clean/dirty/data', ''), (2, '[CREATE]', '/clean/dirty/decisions', ''),
+          (3, '[CREATE]', '/clean/dirty/delta', ''), (4, '[CREATE]', '/clean/dirty/profile', ''),
+          (5, '[CREATE]', '/clean/dirty/residual', ''), (6, '[CREATE]', '/clean/dirty/report', ''),
+          (7, '[WRITE]', '/clean/dirty/ledger', 'State: run-1'))""",
     "man_forecast": dirty_profile(
         "SELECT (SELECT target FROM target) AS \"column\", needed FROM balance"
     ),
@@ -626,7 +631,12 @@ ORACLES = {
     ),
     "rem_gauss_outliers": _EVENT_VALUE,
     "rem_gauss_keyless": """
-        SELECT l_returnflag, l_linenumber, count(*) AS n, count(*) AS inside FROM lineitem GROUP BY ALL""",
+        WITH keyed AS (SELECT l_returnflag, l_linenumber, l_quantity,
+          md5(concat_ws(chr(31), l_returnflag, l_linenumber, l_quantity)) AS digest FROM lineitem),
+        src AS (SELECT * EXCLUDE digest, CASE WHEN count(*) OVER w = 1 THEN digest
+          ELSE 'again|' || digest || '|' || (row_number() OVER w - 1) END AS k
+          FROM keyed WINDOW w AS (PARTITION BY l_returnflag, l_linenumber, l_quantity))
+        SELECT l_returnflag, l_linenumber, GAUSS FROM src""".replace("GAUSS", _gauss("l_quantity", "k", "5.0", "45.0", False)),
     "rem_synth_skip": f"SELECT customer_id, country FROM {DIRTY}",
     "rem_chain": _rem_chain(),
     "syn_needed": dirty_profile(
@@ -668,8 +678,19 @@ ORACLES = {
              a.nrows - b.nrows AS rows_delta, a.nulls - b.nulls AS nulls_delta,
              a.oob - b.oob AS out_of_bounds_delta,
              a.z - CASE WHEN b.far_out THEN b.z ELSE 0 END AS outliers_delta
-           FROM judged b JOIN after a USING (ord) WHERE b.col IN ('age', 'balance', 'nation_code', 'churn')""",
-        extra=_after_stages(),
+           FROM judged b LEFT JOIN after a USING (ord) WHERE b.kind <> 'string'
+           UNION ALL
+           SELECT b.ord, b.col, b.nrows, b.nulls, NULL, NULL, d.nrows, d.nulls, NULL, NULL, d.nrows - b.nrows, d.nulls - b.nulls,
+             NULL, NULL
+           FROM judged b JOIN texts d ON d.col = b.col WHERE b.kind = 'string'""",
+        extra=_after_stages()
+        | {
+            "texts": " UNION ALL ".join(
+                f"SELECT '{c}' AS col, count(*) AS nrows, count(*) - count({c}) AS nulls FROM done"
+                for c, k in dirty_kinds().items()
+                if k == "string"
+            )
+        },
     ),
     "ver_telemetry": dirty_profile(
         f"""SELECT 'dirty' AS source, 'nowhere' AS target, true AS is_completed, false AS is_waiting,

@@ -23,8 +23,6 @@ from tabmend.sources.dirty import dirty_customers
 from tabmend.sources.report import decision_rows
 from tabmend.spec import ColumnSpec, TableSpec
 
-COUNTED = ["age", "country", "market", "segment", "nation_code", "churn"]
-
 OVERRIDE = """```json
 {"id_columns": ["customer_id"], "target_column": "churn", "ignore_columns": ["name"],
  "columns": {
@@ -118,8 +116,8 @@ def src_sample_rows(spark, d):
 
 
 def src_sample_values(spark, d):
-    columns = ["customer_id", "name", "age", "country", "market", "segment", "churn"]
-    return csvs.sample_values(dirty(spark, d), ["customer_id"], columns)
+    df = dirty(spark, d)
+    return csvs.sample_values(df, ["customer_id"], df.columns)
 
 
 def src_dirty_gen(spark, d):
@@ -179,7 +177,7 @@ def prof_moments_lineitem(spark, d):
 
 
 def prof_value_counts(spark, d):
-    return values.value_counts(dirty(spark, d), COUNTED).drop("num")
+    return values.value_counts(dirty(spark, d)).drop("num")
 
 
 def prof_unique_values(spark, d):
@@ -240,7 +238,7 @@ def _issues_of(name: str):
 
 
 def prof_summary_table(spark, d):
-    out = summary.summary(dirty(spark, d).drop("balance", "sparse"), ["customer_id"])
+    out = summary.summary(dirty(spark, d), ["customer_id"])
     return _rounded(out.drop("dtype"), "mean", "median", "std")
 
 
@@ -268,8 +266,8 @@ def _of_rule(rule: str, *names: str):
 
 
 def inf_minority(spark, d):
-    """Least and most frequent values; doubles are left out of the comparison."""
-    ends = values.extremes(dirty(spark, d).drop("balance", "sparse"))
+    """Least and most frequent values."""
+    ends = values.extremes(dirty(spark, d))
     return ends.select("column", "minority_value", "minority_n", "mode_value", "mode_n")
 
 
@@ -319,11 +317,8 @@ def _schema_of(name: str):
 
 # --- cleaning ----------------------------------------------------------------
 
-_TEXT = ["customer_id", "country", "market", "segment"]
-
-
 def cln_strip(spark, d):
-    return clean.strip_strings(dirty(spark, d)).select(*_TEXT)
+    return clean.strip_strings(dirty(spark, d))
 
 
 def cln_alias(spark, d):
@@ -340,7 +335,7 @@ def cln_alias(spark, d):
 
 def cln_pipeline(spark, d):
     df = clean.strip_strings(dirty(spark, d))
-    return clean.clean(df, infer.infer_rules(df))[0].select(*_TEXT)
+    return clean.clean(df, infer.infer_rules(df))[0]
 
 
 # --- recommendation ----------------------------------------------------------
@@ -379,6 +374,11 @@ def man_actions(spark, d):
     return manifest.planned_actions(decided, profile).drop("ord")
 
 
+def man_files(spark, d):
+    plan = pipeline.plan(dirty(spark, d), source="dirty", run_id="run-1")
+    return plan.files("/clean/dirty")
+
+
 def man_forecast(spark, d):
     needed = manifest.rows_needed("rows", "minority_n")
     return _profile(spark, d).where("is_target").selectExpr("column", f"{needed} AS needed")
@@ -468,14 +468,10 @@ def rem_gauss_outliers(spark, d):
 
 
 def rem_gauss_keyless(spark, d):
-    """Without an identifying column: copies of a row are numbered instead."""
+    """Without an identifying column: rows are keyed by digest, copies of a row numbered."""
     df = table(spark, d, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity")
     spec = TableSpec({"l_quantity": ColumnSpec(bounds=(5.0, 45.0))})
-    out, _ = remediate.apply_decisions(df, {"l_quantity": "SYNTHETIC_SYNTHESIS"}, spec)
-    inside = F.col("l_quantity").between(5.0, 45.0)
-    return out.groupBy("l_returnflag", "l_linenumber").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("inside")
-    )
+    return remediate.apply_decisions(df, {"l_quantity": "SYNTHETIC_SYNTHESIS"}, spec)[0]
 
 
 def rem_synth_skip(spark, d):
@@ -607,8 +603,9 @@ def ver_delta(spark, d):
     out = _remediated(
         spark, d, {"age": "STATISTICAL_IMPUTE", "balance": "MANUAL_INPUT:4000", "sparse": "DROP"}
     )
-    delta = verify.compare_profiles(_profile(spark, d), issues.profile(out, spec))
-    return delta.where("column IN ('age', 'balance', 'nation_code', 'churn')")
+    before = _profile(spark, d)
+    after = verify.reprofile_touched(out, spec, before, {"age", "balance", "sparse"})
+    return verify.compare_profiles(before, after)
 
 
 def ver_telemetry(spark, d):
@@ -628,7 +625,7 @@ def pipe_plan(spark, d):
 def pipe_apply(spark, d):
     df = dirty(spark, d)
     out = pipeline.apply(df, pipeline.plan(df)).data
-    return _rounded(out.drop("name"), "balance", digits=2)
+    return _rounded(out, "balance", digits=2)
 
 
 QUERIES = {
@@ -691,6 +688,7 @@ QUERIES = {
     "adv_parse": adv_parse,
     "adv_merge": adv_merge,
     "man_actions": man_actions,
+    "man_files": man_files,
     "man_forecast": man_forecast,
     "man_dryrun": man_dryrun,
     "rem_dispatch": rem_dispatch,

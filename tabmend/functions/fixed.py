@@ -125,6 +125,10 @@ ADVICE_NONE = "[Local Rule-Engine Fallback]: No critical remediation required."
 ADVICE_ENTRY = "• '%s' (%s):\n  ➜ Recommended Decision: %s\n  ➜ Decision Impact: %s"
 ADVICE_DECISION = r"Recommended Decision:\s*([A-Z_]+)"
 
+FILE_READ, FILE_CREATE, FILE_WRITE = "[READ]", "[CREATE]", "[WRITE]"
+FILE_ROWS = "%d rows"
+FILE_STATE = "State: {run_id}"
+EXPORT_PARTS = ("data", "decisions", "delta", "profile", "residual", "report")
 ACTION_STRIP = "Strip whitespace padding across string features"
 ACTION_ALIAS = "Normalize aliases to canonical values"
 ACTION_SYNTHESIS = "Generate +%d synthetic rows to balance class"
@@ -155,6 +159,7 @@ LOG_GAUSS = (
     "Synthesized and imputed {n} anomalous/missing values in '{column}' using "
     "Gaussian distribution (mean={mean:,.0f}, bounds=[{low:,.0f}, {high:,.0f}])."
 )
+LOG_NOT_BALANCED = " Not the target: no rows were added, its rarer class keeps {share:.1f}%."
 LOG_GAUSS_EMPTY = "No valid data in '{column}' to compute distribution. Skipped synthesis."
 LOG_GAUSS_NONE = "No anomalous values in '{column}'. Nothing synthesized."
 LOG_GAUSS_TYPE = (

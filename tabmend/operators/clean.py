@@ -12,10 +12,14 @@ from tabmend.spec import TableSpec
 
 # Up to this many pairs are a CASE inside the scan's generated code.
 CASE_PAIRS = 32
-# Up to this many pairs are broadcast to the tasks; more are joined by a shuffle.
+# Dictionaries up to this many pairs and bytes are broadcast to the tasks; larger ones are joined by a shuffle.
 BROADCAST_PAIRS = 100_000
+BROADCAST_BYTES = 16 << 20
+# Most frequent values that are looked up before that shuffle.
+HOT_VALUES = 1_000
 _BEFORE = "__tabmend_before"
 _ALIAS, _CANONICAL = "__tabmend_alias", "__tabmend_canonical"
+_HOT, _HOT_CANONICAL, _CELLS = "__tabmend_hot", "__tabmend_hot_canonical", "__tabmend_cells"
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -42,14 +46,45 @@ def replace_aliases(df: DataFrame, spec: TableSpec) -> DataFrame:
             continue
         pairs = spec.alias_df(df.sparkSession).where(F.col("column") == name)
         known = pairs.select(F.col("alias").alias(_ALIAS), F.col("canonical").alias(_CANONICAL))
-        if len(column.aliases) <= BROADCAST_PAIRS:
-            known = F.broadcast(known)
-        joined = df.join(known, ref(name) == F.col(_ALIAS), "left")
-        swap = F.coalesce(F.col(_CANONICAL), ref(name))
-        df = joined.withColumn(name, swap).drop(_ALIAS, _CANONICAL)
+        if len(column.aliases) <= BROADCAST_PAIRS and _bytes(column.aliases) <= BROADCAST_BYTES:
+            df = _swapped(df, name, F.broadcast(known))
+        else:
+            settled, rest = split_hot(df, name, known, column.aliases)
+            df = settled.unionByName(_swapped(rest, name, known))
     return df
 
 
+def _bytes(aliases: dict[str, str]) -> int:
+    return sum(len(text.encode()) for pair in aliases.items() for text in pair)
+
+
+def _swapped(df: DataFrame, name: str, known: DataFrame) -> DataFrame:
+    joined = df.join(known, ref(name) == F.col(_ALIAS), "left")
+    return joined.withColumn(name, F.coalesce(F.col(_CANONICAL), ref(name))).drop(_ALIAS, _CANONICAL)
+
+
+def split_hot(df: DataFrame, name: str, known: DataFrame, aliases: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose cell is settled where they lie, already replaced, and the rest for a join with ``known``.
+
+    Settled are nulls, cells longer than every alias, and the most frequent values, which are looked
+    up once and broadcast: at most ``HOT_VALUES`` and at most ``BROADCAST_BYTES``, by the longest pair.  None of
+    them is shuffled, so no key of the join is frequent: a value beyond the k most frequent
+    holds at most one cell in k."""
+    longest = max(map(len, aliases))
+    widest = 4 * (longest + max(map(len, aliases.values())))  # a code point takes up to 4 bytes
+    most = max(1, min(HOT_VALUES, BROADCAST_BYTES // widest))
+    cell = ref(name)
+    short = cell.isNotNull() & (F.char_length(cell) <= longest)
+    counts = df.where(short).groupBy(cell.alias(_HOT)).agg(F.count(F.lit(1)).alias(_CELLS))
+    hot = counts.orderBy(F.desc(_CELLS), _HOT).limit(most).select(_HOT)
+    hot = known.join(F.broadcast(hot), F.col(_ALIAS) == F.col(_HOT), "right")
+    hot = F.broadcast(hot.select(_HOT, F.coalesce(_CANONICAL, _HOT).alias(_HOT_CANONICAL)))
+    marked = df.join(hot, cell == F.col(_HOT), "left")
+    settled = marked.where(~F.coalesce(short, F.lit(False)) | F.col(_HOT).isNotNull())
+    settled = settled.withColumn(name, F.coalesce(F.col(_HOT_CANONICAL), cell)).drop(_HOT, _HOT_CANONICAL)
+    return settled, df.where(short).join(hot, cell == F.col(_HOT), "left_anti")
+
+
 def clean_messages(df: DataFrame, spec: TableSpec) -> list[dict]:
     """What cleaning did, as ledger entries (step, column, message)."""
     strings = string_columns(df)

@@ -71,6 +71,18 @@ def planned_actions(decisions: DataFrame, profile: DataFrame) -> DataFrame:
     )
 
 
+def planned_files(profile: DataFrame, source: str | None, target: str, run_id: str) -> DataFrame:
+    """(ord, action, path, description): the table read, the parts created, the ledger written to."""
+    made = [(i, fixed.FILE_CREATE, f"{target}/{part}", "") for i, part in enumerate(fixed.EXPORT_PARTS, 1)]
+    made.append((len(made) + 1, fixed.FILE_WRITE, f"{target}/ledger", fixed.FILE_STATE.format(run_id=run_id)))
+    made = profile.sparkSession.createDataFrame(made, "ord int, action string, path string, description string")
+    rows = f"format_string({text(fixed.FILE_ROWS)}, coalesce(rows, 0L)) AS description"
+    read = profile.selectExpr("max(rows) AS rows").selectExpr(rows).selectExpr(
+        "0 AS ord", f"{text(fixed.FILE_READ)} AS action", f"{text(source or '')} AS path", "description"
+    )
+    return read.unionByName(made)
+
+
 def cleaning_actions(entries: DataFrame) -> DataFrame:
     """The CLEAN actions behind the cleaning entries of a ledger."""
     return entries.where("step = 'clean'").selectExpr(

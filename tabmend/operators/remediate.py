@@ -68,6 +68,7 @@ def apply_decisions(
     key: list[str] | None = None,
     include_outliers: bool = False,
     onto: DataFrame | None = None,
+    weighted: bool = False,
 ) -> tuple[DataFrame, list[dict]]:
     """rem_dispatch: the remediated frame and one ledger entry per decision.
 
@@ -75,7 +76,8 @@ def apply_decisions(
     default the id columns of the schema.  With ``include_outliers`` a Gaussian
     replacement also replaces z-outliers, not only missing and out-of-bounds
     cells.  ``onto`` is a frame of the same rows that the result is built on, while all
-    statistics read ``df``: what only the final job should do can hang on it."""
+    statistics read ``df``: what only the final job should do can hang on it.  ``weighted`` draws
+    the categories of new rows as often as they are seen."""
     spec = spec or TableSpec()
     onto = df if onto is None else onto
     entries: list[dict] = []
@@ -84,7 +86,7 @@ def apply_decisions(
         if column in df.columns and _is_synthesis(strategy) and spec.is_target(column):
             df, onto = _column_local(df, onto, run, spec, seed, key, include_outliers, entries)
             run = {}
-            rows, message = minority_rows(df, column, spec=spec, seed=seed)
+            rows, message = minority_rows(df, column, spec=spec, seed=seed, weighted=weighted)
             if rows is not None:
                 plain = df.unionByName(rows)
                 df, onto = plain, plain if onto is df else onto.unionByName(rows)
@@ -206,6 +208,8 @@ def _moments(df: DataFrame, steps: list[_Step]) -> None:
         s.stats |= {"filled": got[f"filled{i}"]} | {k: draws.steady(got[f"{k}{i}"]) for k in ("mean", "std")}
         # any two values count as binary, but only 0 and 1 are sure to be classes
         s.stats["classes"] = s.semantic != "binary" or bool(got[f"unit{i}"])
+        if got[f"unit{i}"] and s.semantic == "binary":
+            s.stats["share"] = min(got[f"mean{i}"], 1 - got[f"mean{i}"])
 
 
 def _counts(df: DataFrame, steps: list[_Step]) -> None:
@@ -295,6 +299,8 @@ def _gauss_message(s: _Step) -> bool:
         low=low,
         high=float("inf") if high is None else high,
     )
+    if s.stats.get("share", 1) < fixed.MINORITY_LIMIT:  # only the target is balanced by rows
+        s.message += fixed.LOG_NOT_BALANCED.format(share=s.stats["share"] * 100)
     return template == fixed.LOG_GAUSS
 
 

@@ -104,9 +104,12 @@ def synthesize_minority(
     ratio: float = fixed.BALANCE_TARGET,
     spec: TableSpec | None = None,
     seed: int = fixed.DEFAULT_SEED,
+    weighted: bool = False,
 ) -> tuple[DataFrame, str]:
-    """Append the rows that bring the minority class to ``ratio``; and a message."""
-    rows, message = minority_rows(df, target, ratio, spec, seed)
+    """Append the rows that bring the minority class to ``ratio``; and a message.
+
+    Categories are drawn uniformly, or as often as they are seen if ``weighted``."""
+    rows, message = minority_rows(df, target, ratio, spec, seed, weighted)
     return df if rows is None else df.unionByName(rows), message
 
 
@@ -116,13 +119,14 @@ def minority_rows(
     ratio: float = fixed.BALANCE_TARGET,
     spec: TableSpec | None = None,
     seed: int = fixed.DEFAULT_SEED,
+    weighted: bool = False,
 ) -> tuple[DataFrame | None, str]:
     """The rows that are missing, None if none is; and a message."""
     balance = balance_of(df, target, spec, ratio)
     message = _outcome(balance, ratio).format(
         column=target, n=balance.needed, old=balance.ratio * 100, new=balance.new_ratio * 100
     )
-    return (synthetic_rows(df, target, balance, spec, seed) if balance.needed else None), message
+    return (synthetic_rows(df, target, balance, spec, seed, weighted) if balance.needed else None), message
 
 
 def _outcome(balance: Balance, ratio: float) -> str:
@@ -136,12 +140,19 @@ def _outcome(balance: Balance, ratio: float) -> str:
 
 
 def synthetic_rows(
-    df: DataFrame, target: str, balance: Balance, spec: TableSpec | None = None, seed: int = 42
+    df: DataFrame,
+    target: str,
+    balance: Balance,
+    spec: TableSpec | None = None,
+    seed: int = fixed.DEFAULT_SEED,
+    weighted: bool = False,
 ) -> DataFrame:
     """syn_rows: ``balance.needed`` new rows with the columns and types of ``df``."""
     spec = spec or TableSpec()
     kind = kinds(df)
     way = {c: _way(c, kind[c], target, spec) for c in df.columns}
+    if weighted:
+        way = {c: "weighted" if w == "choice" else w for c, w in way.items()}
     numbers = _numbers(df, [c for c, w in way.items() if w in ("normal", "serial")])
     lists = _value_lists(df, [c for c, w in way.items() if w in ("choice", "weighted")])
     slices = max(1, math.ceil(balance.needed / ROWS_PER_TASK))
@@ -179,7 +190,7 @@ def _way(column: str, kind: str, target: str, spec: TableSpec) -> str:
     if known.role == "id":
         return "serial"
     if known.role == "ignore":
-        return "person"
+        return "person" if kind == "string" else "none"  # a name is no number
     if known.semantic_type == "binary":
         return "weighted"
     if numeric:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tabmend.functions import fixed
-from tabmend.operators.issues import issues_of, profile
+from tabmend.functions.kinds import ref
+from tabmend.operators.issues import PROFILE_SCHEMA, collect_profile, issues_of, profile
+from tabmend.session import local_table
 from tabmend.spec import TableSpec
 
 
@@ -14,6 +16,23 @@ def reprofile(df: DataFrame, spec: TableSpec) -> DataFrame:
     return issues_of(profile(df, spec))
 
 
+def reprofile_touched(df: DataFrame, spec: TableSpec, before: DataFrame, touched: set[str]) -> DataFrame:
+    """The profile of ``df``, read from its ``touched`` columns only; the others are as in ``before``.
+
+    ``before`` is the profile of the same rows before the touched columns changed.  Where the number of
+    rows differs, or no column was touched, or a column is new, all columns are profiled."""
+    names = df.columns
+    old = {r["column"]: r for r in before.toArrow().to_pylist()}
+    asked = [c for c in names if c in touched or c not in old]
+    if not asked or len(asked) == len(names):
+        return profile(df, spec)
+    fresh = {r["column"]: r for r in collect_profile(df.select(*[ref(c) for c in asked]), spec)}
+    if {r["rows"] for r in fresh.values()} != {r["rows"] for r in old.values()}:
+        return profile(df, spec)
+    rows = [(fresh.get(c) or old[c]) | {"ord": i} for i, c in enumerate(names)]
+    return local_table(df.sparkSession, rows, PROFILE_SCHEMA)
+
+
 def verification_message(residual: int) -> str:
     return fixed.LOG_RESIDUAL.format(n=residual) if residual else fixed.LOG_VERIFIED
 

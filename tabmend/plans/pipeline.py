@@ -52,6 +52,10 @@ class Plan:
     def manifest(self) -> DataFrame:
         return manifest.manifest(self.decisions, self.profile, self._entry_table())
 
+    def files(self, target: str) -> DataFrame:
+        """man_actions, its file part: what an export to ``target`` reads, creates and writes."""
+        return manifest.planned_files(self.profile, self.source, target, self.run_id)
+
     @property
     def advice(self) -> str:
         return advise.advice_text(self.recommended)
@@ -177,13 +181,17 @@ def apply(
     include_outliers: bool = True,
     path: str | None = None,
     format: str = "parquet",
+    weighted: bool = False,
+    same_input: bool = False,
 ) -> Applied:
     """pipe_apply: clean, apply the decisions, profile again under the plan's schema.
 
     ``decisions`` defaults to the recommendations; a table or dict given here
     replaces them, and an empty one means nothing to remediate.  With ``path`` the
     result is written there once, and verified from what was written; without,
-    it stays a lazy frame."""
+    it stays a lazy frame.  ``weighted`` draws the categories of new rows as often as they are
+    seen.  ``same_input`` states that ``df`` still holds what was planned: then only columns that a decision
+    or an alias touched are profiled again, the others keep the plan's profile."""
     if decisions is None:
         decisions = plan.decisions
     chosen = dict(decisions) if isinstance(decisions, dict) else as_decisions(decisions)
@@ -192,7 +200,7 @@ def apply(
     if path:  # the job that writes counts the cells that cleaning replaces
         counted, observation, asked = clean.observe_clean(df, plan.spec)
     result, log = remediate.apply_decisions(
-        cleaned, chosen, plan.spec, plan.seed, include_outliers=include_outliers, onto=counted
+        cleaned, chosen, plan.spec, plan.seed, include_outliers=include_outliers, onto=counted, weighted=weighted
     )
     entries = [*plan.entries]
     if path:
@@ -200,7 +208,11 @@ def apply(
         changed = clean.changed_cells(observation, asked)
         entries += [_entry(e["step"], e["column"], e["message"]) for e in changed]
     entries += [_entry(**e) for e in log]
-    after = issues.profile(result, plan.spec)
+    if same_input:
+        aliased = {c for c in df.columns if (known := plan.spec.get(c)) and known.aliases}
+        after = verify.reprofile_touched(result, plan.spec, plan.profile, aliased | set(chosen))
+    else:
+        after = issues.profile(result, plan.spec)
     residual = issues.issues_of(after)
     if chosen:
         entries.append(_entry("verify", None, verify.verification_message(residual.count())))
@@ -224,6 +236,8 @@ def export(
     decisions: DataFrame | dict[str, str] | None = None,
     format: str = "parquet",
     include_outliers: bool = True,
+    weighted: bool = False,
+    same_input: bool = False,
 ) -> Applied:
     """Apply a plan and write everything below ``path``: data/, decisions/, delta/,
     residual/, profile/, ledger/ and report/.
@@ -233,7 +247,7 @@ def export(
     spark = plan.spark
     folder = Folder(spark, path)
     staged, final = folder.stage(), f"{folder.path}/data"
-    applied = apply(df, plan, decisions, include_outliers, f"{staged}/data", format)
+    applied = apply(df, plan, decisions, include_outliers, f"{staged}/data", format, weighted, same_input)
     done = _entry("export", None, fixed.LOG_EXPORTED.format(path=final))
     entries = [*applied.entries, done]
     chosen = decisions_table(spark, applied.decisions)

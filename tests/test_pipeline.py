@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tabmend import apply, dry_run, export, load_plan, plan
+from tabmend.operators import verify
 from tabmend.sources import csv as csvs, ledger as ledgers
 from tabmend.sources.dirty import dirty_customers
 
@@ -15,6 +16,34 @@ def write(tmp_path, name, text):
     return str(path)
 
 
+def test_only_touched_columns_are_profiled_again(spark, monkeypatch):
+    """The merged profile equals a full one, whatever was decided; new rows or another input bring the full one back."""
+    df = spark.range(400).selectExpr(
+        "concat('k', id) AS key", "CASE WHEN id % 7 = 0 THEN NULL ELSE id % 50 END AS age", "CAST(id % 91 AS DOUBLE) AS other",
+        "CASE id % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'us ' ELSE 'Peru' END AS country", "CAST(id % 20 = 0 AS INT) AS churn", "id % 9 AS `odd.name`",
+    )
+    planned = plan(df)
+    read = []
+    asked = verify.collect_profile
+    monkeypatch.setattr(verify, "collect_profile", lambda d, spec: read.append(d.columns) or asked(d, spec))
+    for decisions in ({"age": "MANUAL_INPUT:200", "other": "DROP"}, {"odd.name": "MANUAL_INPUT:3"}, {}, {"churn": "SYNTHETIC_SYNTHESIS"}):
+        full = apply(df, planned, decisions)
+        short = apply(df, planned, decisions, same_input=True)
+        assert sorted(map(str, short.profile.collect())) == sorted(map(str, full.profile.collect()))
+        assert sorted(map(str, short.residual.collect())) == sorted(map(str, full.residual.collect()))
+    assert read[0] == ["age", "country"] and all("key" not in columns for columns in read)
+    short = apply(df.limit(50), planned, {"age": "MANUAL_INPUT:3"}, same_input=True)
+    assert short.profile.select("rows").distinct().collect() == [(50,)]
+
+
+def test_files_of_a_plan(spark):
+    planned = plan(spark.range(7).selectExpr("id AS a"), source="/in/t", run_id="r")
+    files = planned.files("/out").orderBy("ord").collect()
+    assert tuple(files[0])[1:] == ("[READ]", "/in/t", "7 rows") and tuple(files[-1])[1:] == ("[WRITE]", "/out/ledger", "State: r")
+    assert {f.path for f in files if f.action == "[CREATE]"} == {f"/out/{p}" for p in ("data", "decisions", "delta", "profile", "residual", "report")}
+    assert plan(spark.range(0)).files("/out").first().description == "0 rows"
+
+
 def test_csv_types_promote_over_all_rows(spark, tmp_path):
     lines = "".join(f"{i},100,2024-01-0{1 + i % 9}\n" for i in range(150))
     df = csvs.read_csv(spark, write(tmp_path, "a.csv", "id,amount,day\n" + lines + "151,1024.86,\n"))

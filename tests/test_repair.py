@@ -1,5 +1,7 @@
 """Cleaning, decisions, remediation, synthesis."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,29 @@ def test_alias_replacement_does_not_chain(spark, monkeypatch, case_pairs, broadc
     assert column(out, "alias") == ["b", "c", "c", None]
 
 
+def test_large_dictionaries_leave_nulls_and_hot_cells_in_place(spark, monkeypatch):
+    """Half the cells null, a sixth one alias, a sixth one other text: no task of the join holds more than twice the median."""
+    monkeypatch.setattr(cleaning, "CASE_PAIRS", 0)
+    monkeypatch.setattr(cleaning, "BROADCAST_BYTES", 1 << 16)
+    pairs = {f"v{i}": f"V {i % 1000}" for i in range(20_000)}
+    cell = """CASE WHEN id % 6 < 3 THEN NULL WHEN id % 6 = 3 THEN 'v7' WHEN id % 6 = 4 THEN 'other'
+              WHEN id % 30 = 5 THEN repeat('v7', 40) ELSE concat('v', id % 40000) END"""
+    df = spark.range(0, 240_000, 1, 8).selectExpr("id", f"{cell} AS `c.x`", "'kept' AS alias")
+    spec = TableSpec({"c.x": ColumnSpec(aliases=pairs)})
+    known = spec.alias_df(spark).select(F.col("alias").alias(cleaning._ALIAS), F.col("canonical").alias(cleaning._CANONICAL))
+    settled, rest = cleaning.split_hot(df, "c.x", known, pairs)
+    assert settled.count() + rest.count() == 240_000
+    assert rest.groupBy("`c.x`").count().agg(F.max("count")).first()[0] < 100
+    assert rest.where("`c.x` IS NULL").isEmpty()
+    sizes = [r[0] for r in settled.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    out = replace_aliases(df, spec)
+    assert out.columns == df.columns
+    both = df.withColumnRenamed("c.x", "was").join(out.select("id", F.col("`c.x`").alias("now")), "id").collect()
+    assert len(both) == 240_000 and all(r.now == pairs.get(r.was, r.was) for r in both)
+    assert replace_aliases(df.limit(0), spec).count() == 0
+
+
 # --- recommendation --------------------------------------------------------------
 
 
@@ -306,6 +331,18 @@ def test_gaussian_replacement_without_a_key(spark, monkeypatch):
     assert len(hot) == 100 and len(set(hot)) > 50  # copies draw on their own
 
 
+def test_rows_without_a_key_are_keyed_where_they_lie(spark):
+    """A row that is its own keeps its digest; repeated and null rows get numbers; digests that clash do no harm."""
+    rows = [(i, f"s{i}") for i in range(50)] + [(1, "s1"), (None, None), (None, None), (None, "\x1e")]
+    df = spark.createDataFrame(rows, "a int, b string")
+    keyed = rowkeys.with_row_key(df, []).collect()
+    assert len({r[rowkeys.ROW_KEY] for r in keyed if r.b != "\x1e"}) == len(rows) - 1
+    assert Counter((r.a, r.b) for r in keyed) == Counter(rows)
+    assert sum(r[rowkeys.ROW_KEY].startswith("again|") for r in keyed) == 5
+    again = rowkeys.with_row_key(df.repartition(3), []).collect()
+    assert {r[rowkeys.ROW_KEY] for r in again} == {r[rowkeys.ROW_KEY] for r in keyed}
+
+
 def test_copy_numbers_are_complete(spark, monkeypatch):
     monkeypatch.setattr(rowkeys, "COPIES_PER_CHUNK", 7)
     df = spark.range(100).selectExpr("id % 3 AS a", "CAST(NULL AS STRING) AS b")
@@ -324,6 +361,13 @@ def test_outliers_are_replaced_on_request(spark):
     assert out.agg(F.max("x")).first()[0] < 10
 
 
+def test_gauss_on_a_rare_class_says_that_no_rows_come(spark):
+    df = spark.range(100).selectExpr("id", "CASE WHEN id % 10 = 0 THEN NULL WHEN id % 33 = 1 THEN 1 ELSE 0 END AS vip")
+    spec = TableSpec({"id": ColumnSpec("id"), "vip": ColumnSpec(semantic_type="binary", bounds=(0, 1))}, "churn")
+    _, log = apply_decisions(df, {"vip": "SYNTHETIC_SYNTHESIS"}, spec)
+    assert [e["message"].endswith("Not the target: no rows were added, its rarer class keeps 3.3%.") for e in log] == [True]
+
+
 # --- synthesis -------------------------------------------------------------------
 
 
@@ -499,3 +543,21 @@ def test_csv_keeps_blanks_apart_from_nulls(spark, tmp_path):
     df = spark.createDataFrame([(1, ""), (2, None), (3, " x ")], "k int, s string")
     back = csvs.read_csv(spark, csvs.write_csv(df, str(tmp_path / "c")), df.schema)
     assert column(back, "s") == ["", None, " x "]
+
+
+def test_weighted_synthesis_follows_frequency(spark):
+    """Uniform by default; ``weighted`` draws categories as often as they are seen, from short lists and long ones."""
+    df = spark.range(0, 20_000).selectExpr(
+        "CASE WHEN id % 10 = 0 THEN 'rare' ELSE 'often' END AS tone",
+        "CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('w', id % 4000) END AS word",
+        "CAST(id % 100 = 0 AS INT) AS y",
+    )
+    spec = TableSpec({"tone": ColumnSpec(semantic_type="categorical"), "word": ColumnSpec(semantic_type="categorical")}, "y")
+    shares = {}
+    for weighted in (False, True):
+        rows, _ = synthesize.minority_rows(df, "y", spec=spec, weighted=weighted)
+        got = rows.agg(F.avg((F.col("tone") == "rare").cast("int")), F.avg((F.col("word") == "hot").cast("int")), F.count("word"), F.count("*"))
+        shares[weighted] = got.first()
+    assert abs(shares[False][0] - 0.5) < 0.03 and shares[False][1] < 0.01
+    assert abs(shares[True][0] - 0.1) < 0.03 and abs(shares[True][1] - 0.5) < 0.03
+    assert all(s[2] == s[3] > 9_000 for s in shares.values())
