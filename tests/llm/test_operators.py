@@ -564,6 +564,79 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, sf).agg(F.sum("taken")).first()[0] > 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All rows of run(): scores decide first, then lines, near copies, benchmark windows and targets by plain Python."""
+    import corpus_pipeline
+
+    r = random.Random(21)
+    shared = [words(500 + i, 12) for i in range(6)]
+    passage = words(900, 25)
+    rows = []
+    for i in range(120):
+        lines = [words(i, r.randint(20, 60)), *r.sample(shared, r.choice([0, 0, 1, 2])), words(1000 + i, r.randint(15, 40))]
+        if i % 11 == 0:
+            lines.insert(1, passage)
+        if i % 10 == 9:
+            lines = [*rows[-1][1].split("\n")[:-1], rows[-1][1].split("\n")[-1] + " tail"]
+        if i % 4 == 1:
+            lines = ["click here buy now !!! $$$ " * 8]
+        rows.append((i, "\n".join(lines), None if i % 17 == 0 else f"s{i % 3}"))
+    rows += [(200, "", "s0"), (201, None, "s1")]
+    docs(spark, rows).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    marks = spark.createDataFrame([(i, int(i % 4 != 1), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b1", passage), ("b2", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    every = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    good = {g.doc_id for g in good_documents(every, marks).collect()}
+    assert {i for i in range(120) if i % 4 != 1} <= good and len(good) < len(rows)
+    left = {i: (t or "", s) for i, t, s in rows if i in good}
+    # lines
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").lower()
+    holds = defaultdict(set)
+    for i, (t, _) in left.items():
+        for line in t.split("\n"):
+            holds[key(line)].add(i)
+    gone = lambda i, line: len(key(line)) >= 10 and len(holds[key(line)]) > 1 and i != min(holds[key(line)])
+    left = {i: ("\n".join(x for x in t.split("\n") if not gone(i, x)), s) for i, (t, s) in left.items()}
+    # near copies
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))) for i, (t, _) in left.items() for w in [t.lower().split()]}
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    left = {i: left[i] for i in left if group[i] == i}
+    # benchmark
+    item = passage.split()
+    windows = {tuple(item[k : k + 10]) for k in range(len(item) - 9)}
+    dirty = lambda w: any(tuple(w[k : k + 10]) in windows for k in range(len(w) - 9))
+    left = {i: (t, s) for i, (t, s) in left.items() if not dirty(t.split())}
+    # mix
+    size = {i: len(t.split()) for i, (t, _) in left.items()}
+    total = Counter()
+    for i, (_, s) in left.items():
+        total[s] += size[i]
+    order = [*sorted(s for s in total if s is not None), *([None] if None in total else [])]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, free, rest = {}, set(order), 1.5 * sum(total.values())
+    while free:
+        over = {s for s in free if rest * weight[s] / sum(weight[f] for f in free) > 2 * total[s]}
+        if not over:
+            target |= {s: rest * weight[s] / sum(weight[f] for f in free) for s in free}
+            break
+        target |= {s: 2.0 * total[s] for s in over}
+        rest -= sum(target[s] for s in over)
+        free -= over
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {g.doc_id: (g.size, g.source, g.source_size) for g in got} == {i: (size[i], s, total[s]) for i, (_, s) in left.items()}
+    assert len(got) == len(left) < len(good) and all(abs(g.target - target[g.source]) < 1e-6 * g.target + 1e-9 for g in got)
+    assert all(0 <= g.taken <= 2 * g.size for g in got)
+    for s in order:
+        assert abs(sum(g.taken for g in got if g.source == s) - target[s]) <= 0.02 * target[s]
+
+
 def test_pipeline_near_copies(spark):
     """Rows that share an id are judged by their texts, whatever their order."""
     import corpus_pipeline
@@ -578,7 +651,22 @@ def test_pipeline_near_copies(spark):
         assert sum(g.doc_id == 6 for g in got) == 1
 
 
-# 4, broken markup
+# 4, headings and broken markup
+
+
+def test_headings_outside_of_articles():
+    """A heading keeps what it leads to up to kept text, and is kept between kept text though it is a link."""
+    one, two = words(70, 40), words(71, 40)
+    lead = "<h1>Title</h1><p>short one.</p><ul><li>a b</li><li><a>linked item</a></li></ul>"
+    assert main_text(f"<div>{lead}<p>{one}</p></div>") == f"Title\nshort one.\na b\nlinked item\n{one}"
+    assert main_text(f"<p>{one}</p><h2><a href='#x'>Part <b>two</b></a></h2><p>{two}</p>") == f"{one}\nPart two\n{two}"
+    # no heading, two lines of links, something else between, nothing kept behind
+    assert main_text(f"<p>short</p><p><a>more</a></p><p>{one}</p>") == one
+    assert main_text(f"<h3>Site</h3><p><a>in</a></p><p><a>out</a></p><p>{one}</p>") == one
+    assert main_text(f"<h3>Site</h3><nav><p>all</p></nav><p>{one}</p>") == one
+    assert main_text(f"<p>{one}</p><p><a>next</a></p><p>{two}</p>") == f"{one}\n{two}"
+    assert main_text(f"<p>{one}</p><p><a>up</a></p><h3>Related</h3><p>few words</p>") == one
+    assert main_text(f"<h3>Teaser</h3><p><a>x</a></p><article><p>{one}</p></article>") == one
 
 
 @pytest.mark.parametrize("piece", ["<a ", "<p class=\"", "<p class='x", "<", "<a<", "<!", "<!-- ", "</p", "<a b=\"'", "<script ", "<div>", "</b></i>", "<div></p>", "<p>x", "<script>"])
