@@ -13,8 +13,9 @@ text falls into runs (about one to 40 strings), and equal strings lie in runs of
    search stops at ``length``: suffixes not yet apart share a whole string.  Runs none of whose strings
    has a hash that occurs again in the block are left out before: they lose nothing and take nothing.
 3. Leads that a sample of the texts shows to be very frequent would fill a block; their
-   strings are compared by a hash of each whole string instead, of which one per task is sent.  Which leads
-   these are changes the cost, never the result.
+   strings are compared by a hash of each whole string instead, of which one per task is sent.  So are those of
+   any lead whose runs, once counted over all texts, exceed a block, wherever the sample missed it: no task holds
+   more than two blocks.  Which leads these are changes the cost, never the result.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SAMPLE, HOT_TIMES, HOT_MOST = 64, 48, 100_000
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BACK = pow(BASE, -1, 1 << 64)
+#: Up to so many leads (8 bytes each) that exceed a block are broadcast; beyond, they are joined by a shuffle.
+WIDE_SENT = 1_000_000
 RUN, LOOP, KNOWN, STRING = 0, 1, 2, 3  # kinds of rows; a loop has its lead at several places
 
 
@@ -215,20 +218,38 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], enough) -> Iterator[pa.Table]
 
 
 def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows to spans that are gone, and runs that have to be compared (``ask``)."""
-    for rows in _whole_keys(batches, lambda held: sum(b.num_rows for b in held) >= 50_000):
-        key, kind, code, size = (rows.column(c).to_numpy() for c in ("key", "kind", "code", "size"))
-        new_key, new = np.ones(len(key), bool), np.ones(len(key), bool)
+    """Sorted rows to spans that are gone, and runs that have to be compared (``ask``).
+
+    A key may have any number of rows: of those before a batch only the last one is known, how many
+    different runs its key has had, and the one run that a second would make ask."""
+    columns = ["key", "none", "id", "part", "start", "size"]
+    last, times, waiting = None, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, kind, code, size = (batch.column(c).to_numpy() for c in ("key", "kind", "code", "size"))
         sort = np.maximum(kind, LOOP)
+        new_key, new = np.ones(len(key), bool), np.ones(len(key), bool)
         new_key[1:] = (key[1:] != key[:-1]) | (sort[1:] != sort[:-1])
         new[1:] = new_key[1:] | (code[1:] != code[:-1]) | (size[1:] != size[:-1])
-        group = np.cumsum(new_key) - 1
+        new_key[0] = last is None or last[:2] != (key[0], sort[0])
+        new[0] = new_key[0] or last[2:] != (code[0], size[0])
+        group = np.cumsum(new_key) - int(new_key[0])
         different = np.bincount(group, new)
+        if not new_key[0]:
+            different[0] += times
+            if waiting is not None and different[0] > 1:
+                yield waiting
+        if different[0] > 1 or group[-1] or new_key[0]:
+            waiting = None
         ask = new & ((kind == LOOP) | (kind == RUN) & (different[group] > 1))
         out = np.flatnonzero(ask | (~new & (kind != KNOWN)) | (kind == KNOWN))
-        told = rows.select(["key", "none", "id", "part", "start", "size"]).take(pa.array(out))
-        told = told.append_column("ask", pa.array(ask[out]))
-        yield from told.combine_chunks().to_batches()
+        told = batch.select(columns).take(pa.array(out))
+        yield told.append_column("ask", pa.array(ask[out]))
+        last, times = (key[-1], sort[-1], code[-1], size[-1]), different[-1]
+        one = np.flatnonzero(new & (group == group[-1]))
+        if times == 1 and len(one) and kind[one[0]] == RUN:
+            waiting = batch.select(columns).take(pa.array(one)).append_column("ask", pa.array([True]))
 
 
 def suffix_order(symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -271,13 +292,18 @@ def suffix_order(symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
     return rank[:n]
 
 
-def repeated_runs(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """Whether a run holds a string that occurs again in the block, by hashes: equal strings have equal ones."""
+def strings_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(run, place in the bytes, hash) of every string in some runs."""
     size = np.diff(ends, prepend=0)
     strings = np.maximum(size - length + 1, 0)
     owner = np.repeat(np.arange(len(ends)), strings)
     first = np.arange(len(owner)) + (ends - size - np.cumsum(strings) + strings)[owner]
-    code = Hashes(data)(first, first + length)
+    return owner, first, Hashes(data)(first, first + length)
+
+
+def repeated_runs(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Whether a run holds a string that occurs again in the block, by hashes: equal strings have equal ones."""
+    owner, _, code = strings_of(data, ends, length)
     order = np.argsort(code)
     twin = code[order][1:] == code[order][:-1]
     again = np.zeros(len(ends), bool)
@@ -286,6 +312,42 @@ def repeated_runs(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray
     return again
 
 
+def spell_out(length: int):
+    """For mapInArrow: (none, id, part, start, key, run) to one row for each different string of some runs,
+    its earliest one, and the spans of the others."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _chunks(batches, 5, BLOCK):
+            data, ends = _bytes_of(batch.column(5))
+            run, at, whole = strings_of(data, ends, length)
+            rank = np.empty(batch.num_rows, np.int64)
+            places = pa.Table.from_batches([batch.select([0, 1, 2, 3])])
+            rank[pc.sort_indices(places, [(c, "ascending") for c in places.column_names]).to_numpy()] = np.arange(batch.num_rows)
+            lead = batch.column(4).to_numpy()[run]
+            order = np.lexsort((at, rank[run], lead, whole))
+            run, at, whole, lead = (x[order] for x in (run, at, whole, lead))
+            same = np.zeros(len(run), bool)
+            same[1:] = (whole[1:] == whole[:-1]) & (lead[1:] == lead[:-1])
+            t, start, end = _joined(run[same], at[same], at[same] + length)
+            first = ~same
+            run = np.concatenate((run[first], t))
+            kind = np.repeat([STRING, KNOWN], [first.sum(), len(t)])
+            key = np.concatenate((whole[first], _mix(rank[t].astype(np.uint64) * U(BASE) + start.astype(np.uint64))))
+            code = np.concatenate((lead[first], np.zeros(len(t), np.int64)))
+            begin = np.diff(ends, prepend=0)
+            inside = np.concatenate((at[first], start)) - (ends - begin)[run]
+            size = np.concatenate((np.full(first.sum(), length), end - start))
+            take = pa.array(run)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(code.astype(np.int64)),
+                 *[batch.column(c).take(take) for c in range(3)],
+                 pa.array(batch.column(3).to_numpy()[run] + inside), pa.array(size.astype(np.int64))],
+                names=["key", "kind", "code", "none", "id", "part", "start", "size"],
+            )
+
+    return work
+
+
 def prefix_classes(symbols: np.ndarray, length: int) -> np.ndarray:
     """For each place, a number that equal strings of ``length`` symbols from there share.
 
@@ -355,7 +417,7 @@ def compare_runs(length: int):
 
 def dedup_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, sample: int = SAMPLE,
-    hot_times: int = HOT_TIMES,
+    hot_times: int = HOT_TIMES, block: int = BLOCK, wide_sent: int = WIDE_SENT,
 ) -> DataFrame:
     """All columns of ``docs`` with n_bytes, n_removed, spans (start, end) and kept (binary).
 
@@ -386,24 +448,39 @@ def dedup_substrings(
     found = some.mapInArrow(count_leads, "lead long, n long").groupBy("lead").agg(F.sum("n").alias("n"))
     found = found.filter(F.col("n") >= hot_times).orderBy(F.desc("n"), "lead").limit(HOT_MOST)
     hot = np.array([r["lead"] for r in found.collect()], dtype=np.int64).view(np.uint64)
-    rows = flat.mapInArrow(
-        find_runs(length, hot), f"key long, kind int, code long, {doc}, start long, size long"
-    )
-    rows = rows.repartition("key").sortWithinPartitions("key", "kind", "code", "size", "none", "id", "part", "start")
-    told = rows.mapInArrow(decide, f"key long, {doc}, start long, size long, ask boolean")
-    told = space.stored(told, "runs")
-    asked = told.filter("ask").groupBy(F.struct("none", "id").alias("of_"), F.col("part").alias("its_")).agg(
-        F.collect_list(F.struct("key", "start", "size")).alias("asks")
+    met = f"key long, kind int, code long, {doc}, start long, size long"
+
+    def decided(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition("key").sortWithinPartitions("key", "kind", "code", "size", "none", "id", "part", "start")
+        return rows.mapInArrow(decide, f"key long, {doc}, start long, size long, ask boolean")
+
+    told = space.stored(decided(flat.mapInArrow(find_runs(length, hot), met)), "runs")
+    asks = told.filter("ask")
+    wide = asks.groupBy("key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > block)
+    wide = space.stored(wide.select(F.col("key").alias("wide")), "wide")
+    n_wide = wide.count()
+    if n_wide:
+        asks = asks.join(F.broadcast(wide) if n_wide <= wide_sent else wide, F.col("key") == F.col("wide"), "left")
+    else:
+        asks = asks.withColumn("wide", F.lit(None).cast("long"))
+    asked = asks.groupBy(F.struct("none", "id").alias("of_"), F.col("part").alias("its_")).agg(
+        F.collect_list(F.struct("key", "wide", "start", "size")).alias("asks")
     )
     here = (F.col("doc") == F.col("of_")) & (F.col("part") == F.col("its_"))
     runs = texts.join(asked, here).select(
         "doc.none", "doc.id", "part", F.col("text").cast("binary").alias("text"), F.explode("asks").alias("a")
     )
     cut = F.substring(F.col("text"), (F.col("a.start") + 1).cast("int"), F.col("a.size").cast("int"))
-    runs = runs.select("a.key", "none", "id", "part", "a.start", cut.alias("run"))
-    runs = runs.repartition("key").sortWithinPartitions("key", "none", "id", "part", "start")
+    runs = runs.select("none", "id", "part", "a.start", "a.key", cut.alias("run"), "a.wide")
+    spelled = None
+    if n_wide:
+        runs = space.stored(runs, "asked")
+        spelled = decided(runs.filter("wide IS NOT NULL").drop("wide").mapInArrow(spell_out(length), met))
+    runs = runs.filter("wide IS NULL").drop("wide").repartition("key").sortWithinPartitions("key", "none", "id", "part", "start")
     late = runs.mapInArrow(compare_runs(length), f"{doc}, start long, size long")
     gone = told.filter("NOT ask").select("none", "id", "part", "start", "size").unionByName(late)
+    if spelled is not None:
+        gone = gone.unionByName(spelled.select("none", "id", "part", "start", "size"))
     gone = gone.groupBy(F.struct("none", "id").alias("of_"), F.col("part").alias("its_")).agg(
         F.collect_list(F.struct("start", "size")).alias("gone_")
     )

@@ -11,6 +11,7 @@ from itertools import product
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from tabmend.llm.near_dedup import near_duplicates
 from tabmend.llm.quality_model import fit, good_documents, score_quality
 from tabmend.llm.queries import archived
 from tabmend.llm.quality_rules import quality_rules, text_counts
-from tabmend.llm.substring_dedup import dedup_substrings, prefix_classes, repeated_runs, suffix_order
+from tabmend.llm.substring_dedup import decide, dedup_substrings, prefix_classes, repeated_runs, suffix_order
 from tabmend.llm.warc import payload_of, read_segments, read_warc, unchunked, write_warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -93,8 +94,9 @@ def brute_spans(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [{}, {"sample": 1, "hot_times": 2}])
+@pytest.mark.parametrize("hot", [{}, {"sample": 1, "hot_times": 2}, {"block": 1}, {"block": 500, "wide_sent": 0}])
 def test_substrings(spark, hot):
+    """By the search of blocks, by leads found hot, and by leads whose runs exceed a block (sent and joined)."""
     r = random.Random(5)
     shared, loop = words(2, 60), "Der " * 80
     rows = [(i, words(100 + i, r.randint(1, 50)) + r.choice(["", " é" + shared, loop, shared[7:]]) + words(500 + i, 9)) for i in range(60)]
@@ -121,6 +123,31 @@ def test_suffixes():
                 assert (same[p] == same[q]) == (data[p : p + 4] == data[q : q + 4]).all()
 
 
+def test_runs_are_decided_in_any_batches():
+    """Rows of a key may be cut anywhere: what is gone and what asks stays the same."""
+    r = np.random.default_rng(7)
+    names = ["key", "kind", "code", "none", "id", "part", "start", "size"]
+    rows = sorted((int(k), int(t), int(c), False, i, 0, i, 100) for i, (k, t, c) in enumerate(
+        zip(r.integers(0, 40, 400), r.integers(0, 4, 400), r.integers(0, 2, 400), strict=True)))
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    told = lambda step: sorted(
+        tuple(x.values()) for b in decide(batch.slice(i, step) for i in range(0, 400, step)) for x in b.to_pylist())
+    want = []
+    for k, t in product(range(40), (1, 2, 3)):
+        group = [x for x in rows if x[0] == k and max(x[1], 1) == t]
+        runs = {x[2] for x in group}
+        before = None
+        for x in group:
+            new = before is None or before[2] != x[2]
+            ask = new and (x[1] == 1 or x[1] == 0 and (len(runs) > 1 or any(y[1] != x[1] and y[2] != x[2] for y in group)))
+            if ask or not new or t == 2:
+                want.append((x[0], *x[3:], ask))
+            before = x
+    assert told(400) == sorted(want)
+    assert all(told(step) == told(400) for step in (1, 2, 3, 7, 50))
+
+
 def test_repeated_runs():
     """Every run with a string that another run, or the run itself, has too; short runs never."""
     r = np.random.default_rng(4)
