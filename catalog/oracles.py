@@ -290,6 +290,15 @@ NO_SPEC = """
 SELECT s.*, 'feature' AS role, 'none' AS semantic, CAST(NULL AS DOUBLE) AS low,
        CAST(NULL AS DOUBLE) AS high, {target} AS is_target FROM stats s"""
 
+DOMAINS_SPEC = """
+SELECT s.*, CASE col WHEN 'l_orderkey' THEN 'id' ELSE 'feature' END AS role,
+  CASE WHEN col IN ('l_quantity', 'l_discount', 'l_tax', 'l_orderkey') THEN 'numerical' ELSE 'none' END AS semantic,
+  CAST(CASE col WHEN 'l_quantity' THEN 5 WHEN 'l_discount' THEN 0 WHEN 'l_tax' THEN 0.01 WHEN 'l_orderkey' THEN 0 END
+       AS DOUBLE) AS low,
+  CAST(CASE col WHEN 'l_quantity' THEN 45 WHEN 'l_discount' THEN 0.05 WHEN 'l_tax' THEN 0.08 WHEN 'l_orderkey' THEN 10 END
+       AS DOUBLE) AS high,
+  col = 'l_linenumber' AS is_target FROM stats s"""
+
 # what is left after the remediation of ver_reprofile and ver_delta
 _FIXED = f"""
 SELECT customer_id, name, {_imputed('age', 'BIGINT')},
@@ -525,6 +534,9 @@ ORACLES = {
         f"prof_issues_{t}": profile_sql(t, f"SELECT {ISSUE_COLUMNS} FROM issues")
         for t in ("lineitem", "events", "documents", "labels")
     },
+    "prof_issues_domains": profile_sql(
+        "lineitem", f"SELECT {ISSUE_COLUMNS} FROM issues", overrides={"spec": DOMAINS_SPEC}
+    ),
     "prof_summary_table": _summary(),
     "inf_id": _rule("id", "dirty", "labels", "events"),
     "inf_ignore_text": _rule("ignore_text", "dirty", "documents", "part"),
@@ -704,3 +716,9 @@ ORACLES = {
     ),
     "pipe_apply": _pipe_apply(),
 }
+# the parts of an export hold what the operators return
+ORACLES |= {
+    "snk_audit_data": ORACLES["pipe_apply"],
+    "snk_audit_delta": ORACLES["ver_delta"],
+    "snk_audit_residual": ORACLES["ver_reprofile"],
+}

@@ -45,6 +45,9 @@ ADVICE = (
 )
 
 
+REPAIRS = {"age": "STATISTICAL_IMPUTE", "balance": "MANUAL_INPUT:4000", "sparse": "DROP"}
+
+
 @lru_cache(maxsize=64)
 def _spec(spark: SparkSession, sf_dir: str, name: str = "dirty") -> TableSpec:
     """Inferred once per session, folder and table; the queries that use a schema
@@ -137,6 +140,25 @@ def snk_audit(spark, d):
     return decision_rows(spark.read.parquet(f"{path}/decisions")).drop("ord")
 
 
+def _published(spark, d, part: str, decisions: dict[str, str] | None = None) -> DataFrame:
+    """One part of an export, found as its readers find it."""
+    df, path = dirty(spark, d), shared_folder(spark)
+    pipeline.export(df, pipeline.plan(df, source="dirty"), path, decisions, same_input=True)
+    return pipeline.read_part(spark, path, part)
+
+
+def snk_audit_data(spark, d):
+    return _rounded(_published(spark, d, "data"), "balance", digits=2)
+
+
+def snk_audit_delta(spark, d):
+    return _published(spark, d, "delta", REPAIRS)
+
+
+def snk_audit_residual(spark, d):
+    return _rounded(_published(spark, d, "residual", REPAIRS), "ratio", digits=9)
+
+
 def ledger_status(spark, d):
     plan = pipeline.plan(dirty(spark, d), run_id="run-1", source="dirty")
     path = shared_folder(spark)
@@ -237,6 +259,15 @@ def _issues_of(name: str):
     return query
 
 
+def prof_issues_domains(spark, d):
+    """Line items against stated domains, a rare class and an id."""
+    domains = {"l_quantity": (5.0, 45.0), "l_discount": (0.0, 0.05), "l_tax": (0.01, 0.08)}
+    columns = {c: ColumnSpec(semantic_type="numerical", bounds=b) for c, b in domains.items()}
+    columns["l_orderkey"] = ColumnSpec("id", "numerical", bounds=(0.0, 10.0))
+    spec = TableSpec(columns, target="l_linenumber")
+    return issues.find_issues(table(spark, d, "lineitem"), spec)
+
+
 def prof_summary_table(spark, d):
     out = summary.summary(dirty(spark, d), ["customer_id"])
     return _rounded(out.drop("dtype"), "mean", "median", "std")
@@ -591,20 +622,16 @@ def syn_seed(spark, d):
 
 
 def ver_reprofile(spark, d):
-    out = _remediated(
-        spark, d, {"age": "STATISTICAL_IMPUTE", "balance": "MANUAL_INPUT:4000", "sparse": "DROP"}
-    )
+    out = _remediated(spark, d, REPAIRS)
     left = verify.reprofile(out, _spec(spark, d))
     return _rounded(left, "ratio", digits=9)
 
 
 def ver_delta(spark, d):
     spec = _spec(spark, d)
-    out = _remediated(
-        spark, d, {"age": "STATISTICAL_IMPUTE", "balance": "MANUAL_INPUT:4000", "sparse": "DROP"}
-    )
+    out = _remediated(spark, d, REPAIRS)
     before = _profile(spark, d)
-    after = verify.reprofile_touched(out, spec, before, {"age", "balance", "sparse"})
+    after = verify.reprofile_touched(out, spec, before, set(REPAIRS))
     return verify.compare_profiles(before, after)
 
 
@@ -636,6 +663,9 @@ QUERIES = {
     "src_dirty_gen": src_dirty_gen,
     "snk_csv": snk_csv,
     "snk_audit": snk_audit,
+    "snk_audit_data": snk_audit_data,
+    "snk_audit_delta": snk_audit_delta,
+    "snk_audit_residual": snk_audit_residual,
     "ledger_status": ledger_status,
     "prof_rowcount": prof_rowcount,
     "prof_type": prof_type,
@@ -656,6 +686,7 @@ QUERIES = {
     "prof_labels": prof_labels,
     "prof_issues": prof_issues,
     "prof_issues_lineitem": _issues_of("lineitem"),
+    "prof_issues_domains": prof_issues_domains,
     "prof_issues_events": _issues_of("events"),
     "prof_issues_documents": _issues_of("documents"),
     "prof_issues_labels": _issues_of("labels"),
