@@ -1,6 +1,6 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Documents come in batches of rising ids.  A run is a table of (line hash, first document),
+Documents come in batches of rising ids, cut at quantiles of numbers and at splitters of a sample of other ids.  A run is a table of (line hash, first document),
 partitioned and sorted by hash, and no hash is in two runs.  A batch reduces its lines to
 one row per hash, anti-joins them with the runs by merging, and adds the rest as a new run of
 level 0.  Where a level holds ``fanout`` runs, they are compacted into one run of the next
@@ -14,13 +14,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from tabmend.llm.common import SPACE, UPPER, Workspace, full, named, ordered
 
 MIN_CHARS = 10
 BATCHES = 4
 FANOUT = 2
+SPLITTERS = 250
 
 
 def line_key(line: Column) -> Column:
@@ -120,10 +121,21 @@ def dedup_lines(
 
 
 def _ranges(docs: DataFrame, id_col: str, batches: int) -> list[tuple]:
-    """(above, up to) of each batch's ids, about evenly; ids that are not numbers: one batch."""
-    if batches < 2 or not isinstance(docs.select(named(id_col)).schema[0].dataType, NumericType):
+    """(above, up to) of each batch's ids, about evenly; ids that are neither numbers nor text: one batch.
+
+    Where the cuts lie changes the sizes of batches, never the result.  Text is cut at splitters
+    among the ids with the smallest hashes, at most ``SPLITTERS`` to a batch."""
+    key = named(id_col)
+    kind = docs.select(key).schema[0].dataType
+    if batches < 2 or not isinstance(kind, (NumericType, StringType)):
         return [(None, None)]
     shares = [k / batches for k in range(1, batches)]
-    cuts = docs.select(F.percentile_approx(named(id_col), shares, 1000).alias("c")).first()["c"] or []
+    if isinstance(kind, NumericType):
+        cuts = docs.select(F.percentile_approx(key, shares, 1000).alias("c")).first()["c"] or []
+    else:
+        ids = docs.select(key.alias("id")).filter("id IS NOT NULL").distinct()
+        few = ids.orderBy(F.xxhash64("id"), "id").limit(SPLITTERS * batches).collect()
+        sample = sorted(r["id"] for r in few)  # in the order of code points, as Spark compares
+        cuts = [sample[int(len(sample) * share)] for share in shares] if sample else []
     cuts = sorted(set(cuts))
     return list(zip([None, *cuts], [*cuts, None], strict=True))

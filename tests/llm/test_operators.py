@@ -21,7 +21,7 @@ from tabmend.llm import near_dedup as nd
 from tabmend.llm.chat_tools import canonical, format_chat
 from tabmend.llm.decontaminate import decontaminate
 from tabmend.llm.html_extract import extract_text, main_text, tokens
-from tabmend.llm.line_dedup import dedup_lines
+from tabmend.llm.line_dedup import _ranges as line_ranges, dedup_lines
 from tabmend.llm.mixing import mix_sources, targets
 from tabmend.llm.near_dedup import near_duplicates
 from tabmend.llm.quality_model import fit, good_documents, score_quality
@@ -555,6 +555,25 @@ def test_lines(spark, batches):
     assert got == want
 
 
+def test_lines_of_named_documents(spark):
+    """Ids that are text come in batches by code points, so their runs are levelled too."""
+    pool = [words(i, 4) for i in range(12)]
+    r = random.Random(9)
+    rows = [(f"{r.choice('aZé一😀')}{i}", "\n".join(r.choice(pool) if r.random() < 0.6 else words(77 * i + k, 3) for k in range(9))) for i in range(60)]
+    rows += [(rows[0][0], pool[0]), ("", pool[3]), (None, pool[1] + "\n" + pool[1]), (None, words(5000, 5))]
+    order = lambda i: (i is None, i or "")
+    first = {}
+    for i, t in sorted(rows, key=lambda x: order(x[0])):
+        for line in t.split("\n"):
+            first.setdefault(line, i)
+    want = Counter((i, "\n".join(x for x in t.split("\n") if len(x) < 10 or first[x] == i)) for i, t in rows)
+    df = spark.createDataFrame(rows, "name string, text string")
+    cuts = line_ranges(df, "name", 5)
+    assert len(cuts) == 5 and cuts[0][0] is None and cuts[-1][1] is None
+    assert Counter((g.name, g.text) for g in dedup_lines(df, "name", batches=5).collect()) == want
+    assert dedup_lines(df.limit(0), "name", batches=5).isEmpty()
+
+
 # 10
 
 
