@@ -14,8 +14,8 @@ text falls into runs (about one to 40 strings), and equal strings lie in runs of
    has a hash that occurs again in the block are left out before: they lose nothing and take nothing.
 3. Leads that a sample of the texts shows to be very frequent would fill a block; their
    strings are compared by a hash of each whole string instead, of which one per task is sent.  So are those of
-   any lead whose runs, once counted over all texts, exceed a block, wherever the sample missed it: no task holds
-   more than two blocks.  Which leads these are changes the cost, never the result.
+   any lead whose runs, once counted over all texts, exceed a block, wherever the sample missed it: no block
+   grows with a lead, though one run may be as long as its text.  Which leads these are changes the cost, never the result.
 """
 
 from __future__ import annotations
